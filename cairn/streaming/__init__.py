@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The survey records that the system being rebuilt has no streams, windows over event time or
+streaming state.  Incremental work is a batch anti join against the result table instead: see
+``cairn.operators.annotation.pending_work`` (M2, J6).
+"""
