@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.binding import let
 from cairn.functions.text import strip
 
 
@@ -12,16 +13,23 @@ def json_body(raw: Column) -> Column:
     """M6: the JSON object inside a response: fences removed, first '{' to last '}'."""
     text = strip(F.coalesce(raw, F.lit("")))
     text = strip(F.regexp_replace(text, "(?i)^```(?:json)?|```$", ""))
-    first = F.instr(text, "{")
-    last = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    found = (first > 0) & (F.instr(text, "}") > 0) & (last > first)
-    return F.when(found, F.substr(text, first, last - first + 1)).otherwise(text)
+
+    def cut(t: Column) -> Column:
+        first = F.instr(t, "{")
+        last = F.length(t) - F.instr(F.reverse(t), "}") + 1
+        found = (first > 0) & (F.instr(t, "}") > 0) & (last > first)
+        return F.when(found, F.substr(t, first, last - first + 1)).otherwise(t)
+
+    return let(text, cut)
 
 
 def is_json_object(body: Column) -> Column:
     """True for exactly one well-formed JSON object, nothing before or after it."""
-    as_list = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")
-    return F.coalesce(body.startswith("{") & (F.size(as_list) == 1), F.lit(False))
+    def check(b: Column) -> Column:
+        as_list = F.from_json(F.concat(F.lit("["), b, F.lit("]")), "array<string>")
+        return F.coalesce(b.startswith("{") & (F.size(as_list) == 1), F.lit(False))
+
+    return let(body, check)
 
 
 def text_list(value: Column) -> Column:

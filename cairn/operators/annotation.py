@@ -12,9 +12,10 @@ from cairn.functions.json_body import json_source
 from cairn.functions.skew import salted_lookup_join
 from cairn.functions.text import contains_any, strip, truncated, words_found
 from cairn.operators.duplicates import representatives, with_representative
-from cairn.operators.validation import validate_annotations
+from cairn.operators.validation import is_usable, validate_annotations
 from cairn.rules import DEFAULT_RULES, POLARITIES, Rules
 from cairn.schema import RESPONSE_SCHEMA
+from cairn.session import cut_lineage
 
 RULE, REUSE, CALL, EXCLUDED = "rule", "reuse", "call", "excluded"
 
@@ -103,7 +104,7 @@ def stub_responses(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     ))
     size = F.length(text).cast("bigint")
     return rows.select(
-        "comment_id", body.alias("raw_text"), F.lit(1).alias("attempt"),
+        "comment_id", "spot_name", "content", body.alias("raw_text"), F.lit(1).alias("attempt"),
         F.floor(size / 1.5).alias("prompt_tokens"), F.floor(F.length(body) / 1.5).alias("completion_tokens"),
         F.floor((size + F.length(body)) / 1.5).alias("total_tokens"),
         F.lit(None).cast("string").alias("error_kind"), F.lit(None).cast("string").alias("error_reason"),
@@ -121,7 +122,7 @@ def run_annotator(rows: DataFrame, annotate: Annotator, partitions: int | None =
     ``annotate`` maps a Series of texts to a list with one item per text: a dict with ``raw_text``
     and token counts, or an exception.  ``partitions`` bounds how many calls run at once.
     """
-    work = rows.select("comment_id", "content")
+    work = rows.select("comment_id", "spot_name", "content")
     if partitions:
         work = work.repartition(partitions, "comment_id")
     names = RESPONSE_SCHEMA.fieldNames()
@@ -133,10 +134,10 @@ def run_annotator(rows: DataFrame, annotate: Annotator, partitions: int | None =
             except Exception as error:
                 answers = [error] * len(batch)
             records = []
-            for comment_id, answer in zip(batch["comment_id"], answers):
+            for row, answer in zip(batch.itertuples(index=False), answers):
                 if isinstance(answer, Exception):
                     answer = {"error_kind": type(answer).__name__, "error_reason": str(answer)[:512]}
-                records.append({"comment_id": comment_id, "attempt": 1, **answer})
+                records.append({**row._asdict(), "attempt": 1, **answer})
             yield pd.DataFrame.from_records(records).reindex(columns=names)
 
     return work.mapInPandas(job, RESPONSE_SCHEMA)
@@ -174,13 +175,15 @@ def call_statistics(calls: DataFrame) -> DataFrame:
 
 # --- result tables -------------------------------------------------------------------------------
 
-def annotated_rows(call_rows: DataFrame, responses: DataFrame, mode: str = "real", rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Validated results of the call layer with provenance."""
-    answered = responses.filter(F.col("error_kind").isNull()).select(
-        "comment_id", "raw_text", "prompt_tokens", "completion_tokens", "total_tokens"
+def annotated_rows(responses: DataFrame, mode: str = "real", rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """Validated results of the call layer with provenance.
+
+    Responses carry the entity and text they answer; join stored ones with their reviews first.
+    """
+    answered = responses.filter(F.col("error_kind").isNull() & is_usable(F.col("raw_text"))).select(
+        "comment_id", "spot_name", "content", "raw_text", "prompt_tokens", "completion_tokens", "total_tokens"
     )
-    joined = call_rows.select("comment_id", "spot_name", "content").join(answered, "comment_id")
-    checked = validate_annotations(joined, rules).filter(F.col("is_usable"))
+    checked = validate_annotations(answered, rules)
     raw = F.to_json(F.struct(
         F.lit(rules.annotated_method).alias("source"), F.lit(mode).alias("mode"),
         "polarity", "intensity", "is_valid",
@@ -213,8 +216,12 @@ def sentiment_table(results: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFra
 
 
 def aspect_table(results: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """One row per accepted aspect."""
-    return results.select("comment_id", "spot_name", F.explode("aspects").alias("a")).select(
+    """One row per accepted aspect.
+
+    The outer variant keeps the optimizer from testing the size of the (expensive) list twice.
+    """
+    exploded = results.select("comment_id", "spot_name", F.explode_outer("aspects").alias("a"))
+    return exploded.filter(F.col("a").isNotNull()).select(
         "comment_id", "spot_name", F.col("a.aspect").alias("aspect_name"), "a.polarity", "a.evidence",
         F.lit(rules.annotated_method).alias("method"),
     )
@@ -232,10 +239,12 @@ def reuse_rows(layered: DataFrame, results: DataFrame, rules: Rules = DEFAULT_RU
     A representative without a result leaves its members pending.
     """
     members = layered.filter(F.col("layer") == REUSE).select("comment_id", "spot_name", "representative_id")
+    # Only representatives are repeated per salt bucket, not every result.
+    stands_for = layered.filter(F.col("comment_id") == F.col("representative_id")).select("representative_id")
     source = results.select(
         F.col("comment_id").alias("representative_id"), "polarity", "intensity", "is_valid",
         "aspects", "keywords", "summary", "source",
-    ).join(members.select("representative_id").distinct(), "representative_id", "left_semi")
+    ).join(stands_for, "representative_id", "left_semi")
     joined = salted_lookup_join(members, source, ["representative_id"], "comment_id", rules.salt_buckets, "inner")
     raw = F.to_json(F.struct(
         F.lit("reuse").alias("source"), F.lit("reuse").alias("mode"),
@@ -249,11 +258,15 @@ def reuse_rows(layered: DataFrame, results: DataFrame, rules: Rules = DEFAULT_RU
 
 
 def annotate_all(layered: DataFrame, responses: DataFrame, mode: str = "real", rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """All three layers together: rule, called and reused results."""
+    """All three layers together: rule, called and reused results.
+
+    The called results are read twice, by the union and by the reuse lookup, so they are stored
+    once.  Representatives are never low-info unless their whole group is, hence reuse only looks
+    at called results.
+    """
     ruled = rule_rows(layered.filter(F.col("layer") == RULE), rules)
-    called = annotated_rows(layered.filter(F.col("layer") == CALL), responses, mode, rules)
-    first = ruled.unionByName(called)
-    return first.unionByName(reuse_rows(layered, first, rules))
+    called = cut_lineage(annotated_rows(responses, mode, rules))
+    return ruled.unionByName(called).unionByName(reuse_rows(layered, called, rules))
 
 
 def layer_of_result(sentiment: DataFrame) -> Column:

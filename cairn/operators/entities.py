@@ -16,7 +16,7 @@ def _candidates(raw: DataFrame) -> DataFrame:
     values["phone"] = F.coalesce(norm_phone(F.col("phone")), F.lit(""))
     long_form = F.explode(F.array(*[
         F.struct(F.lit(name).alias("field"), value.alias("value"),
-                 (F.element_at(phone_parts(F.col("phone")), 1) if name == "phone" else F.lit(None).cast("string"))
+                 (F.get(phone_parts(F.col("phone")), F.lit(0)) if name == "phone" else F.lit(None).cast("string"))
                  .alias("first_part"))
         for name, value in values.items()
     ]))

@@ -57,7 +57,7 @@ def focus_ranking(aspects: DataFrame, top: int = 15, rules: Rules = DEFAULT_RULE
 def keyword_frequency(semantic: DataFrame, top: int = 15) -> DataFrame:
     """Counts over all rows of the comma lists."""
     words = semantic.filter(F.coalesce("keywords", F.lit("")) != "").select(
-        strip(F.explode(F.split("keywords", ","))).alias("keyword")
+        F.explode(F.transform(F.split("keywords", ","), strip)).alias("keyword")
     )
     return (
         words.filter(F.col("keyword") != "").groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))

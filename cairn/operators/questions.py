@@ -130,7 +130,7 @@ def spot_fact_items(stats: DataFrame, reports: DataFrame, sentiment: DataFrame,
     )
     words = (
         semantic.filter(F.coalesce("keywords", F.lit("")) != "")
-        .select("spot_name", strip(F.explode(F.split("keywords", ","))).alias("keyword"))
+        .select("spot_name", F.explode(F.transform(F.split("keywords", ","), strip)).alias("keyword"))
         .filter(F.col("keyword") != "").groupBy("spot_name", "keyword").agg(F.count(F.lit(1)).alias("n"))
     )
     keywords = _ranked(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.binding import let
 from cairn.functions.json_body import is_json_object, json_body, text_list
 from cairn.functions.text import drop_whitespace, first_int, strip, truncated, words_found
 from cairn.rules import DEFAULT_RULES, POLARITIES, VERDICT_WORDS, Rules
@@ -21,51 +22,53 @@ def evidence_in_text(evidence: Column, content: Column) -> Column:
     )
 
 
-def annotation_fields(raw_text: Column) -> dict[str, Column]:
-    """M7: the fields of one response, as text, and whether it is an object at all."""
-    body = json_body(raw_text)
-    fields = F.from_json(body, "polarity string, intensity string, aspects string, keywords string, summary string")
-    return {
-        "is_usable": is_json_object(body),
-        "fields": fields,
-        # A JSON number is rounded half to even, a text gives its first integer.
-        "intensity_number": F.from_json(body, "intensity double")["intensity"],
-    }
+def parsed_aspects(items: Column) -> Column:
+    """M8: each element of the aspect list as a struct of stripped fields (NULL fields if absent)."""
+    parsed = F.transform(items, lambda i: F.from_json(i, "aspect string, polarity string, evidence string"))
+    return F.zip_with(items, parsed, lambda item, p: F.struct(
+        strip(F.coalesce(p["aspect"], F.lit(""))).alias("name"),
+        F.lower(strip(F.coalesce(p["polarity"], F.lit("")))).alias("polarity"),
+        F.coalesce(p["evidence"], F.lit("")).alias("full"),
+        F.coalesce(strip(item).startswith("{"), F.lit(False)).alias("is_object"),
+        item.alias("item"),
+    ))
+
+
+def checked_aspects(parsed: Column, content: Column, rules: Rules) -> Column:
+    """M8: the checks that need no other element: ``early`` wins over and ``late`` yields to the
+    duplicate and limit checks."""
+    def check(p: Column) -> Column:
+        evidence = truncated(p["full"], rules.evidence_chars)
+        return F.struct(
+            p["name"].alias("name"), p["polarity"].alias("polarity"), evidence.alias("evidence"),
+            p["full"].alias("full"), p["item"].alias("item"),
+            F.when(~p["is_object"], "not_an_object").when(~p["name"].isin(*rules.aspects), "unknown_aspect").alias("early"),
+            F.when(~p["polarity"].isin(*POLARITIES), "illegal_polarity")
+            .when(~evidence_in_text(evidence, content), "evidence_not_in_text").alias("late"),
+        )
+
+    return F.transform(parsed, check)
 
 
-def valid_aspects(items: Column, content: Column, rules: Rules) -> Column:
-    """M8: struct(accepted, dropped) of one response's aspect list, first failing check wins.
+def aspect_reasons(checked: Column, rules: Rules) -> Column:
+    """M8: one reason per element, '' for an accepted one.
 
-    The checks depend on what was accepted before, so this is a fold over the (short) list.
+    Whether a name is a duplicate depends on what was accepted before: a fold over the short list.
     """
-    def step(state: Column, item: Column) -> Column:
-        parsed = F.from_json(item, "aspect string, polarity string, evidence string")
-        name = strip(F.coalesce(parsed["aspect"], F.lit("")))
-        polarity = F.lower(strip(F.coalesce(parsed["polarity"], F.lit(""))))
-        full = F.coalesce(parsed["evidence"], F.lit(""))
-        evidence = truncated(full, rules.evidence_chars)
-        seen = F.exists(state["accepted"], lambda a: a["aspect"] == name)
-        reason = (
-            F.when(~F.coalesce(strip(item).startswith("{"), F.lit(False)), "not_an_object")
-            .when(~name.isin(*rules.aspects), "unknown_aspect")
-            .when(seen, "duplicate_aspect")
-            .when(F.size(state["accepted"]) >= rules.max_aspects, "over_limit")
-            .when(~polarity.isin(*POLARITIES), "illegal_polarity")
-            .when(~evidence_in_text(evidence, content), "evidence_not_in_text")
+    def step(state: Column, c: Column) -> Column:
+        reason = F.coalesce(
+            c["early"],
+            F.when(F.array_contains(state["names"], c["name"]), "duplicate_aspect")
+            .when(F.size(state["names"]) >= rules.max_aspects, "over_limit"),
+            c["late"], F.lit(""),
         )
-        shown = F.when(reason == "not_an_object", F.substring(item, 1, 32)).otherwise(F.substring(name, 1, 32))
-        kept_evidence = F.when(reason == "evidence_not_in_text", F.substring(full, 1, 60)).otherwise(F.lit(""))
-        accepted = F.array(F.struct(name.alias("aspect"), polarity.alias("polarity"), evidence.alias("evidence")))
-        dropped = F.array(F.struct(shown.alias("aspect"), kept_evidence.alias("evidence"), reason.alias("reason")))
         return F.struct(
-            F.when(reason.isNull(), F.concat(state["accepted"], accepted)).otherwise(state["accepted"])
-            .cast(ASPECT_TYPE).alias("accepted"),
-            F.when(reason.isNull(), state["dropped"]).otherwise(F.concat(state["dropped"], dropped))
-            .cast(DROPPED_TYPE).alias("dropped"),
+            F.when(reason == "", F.array_append(state["names"], c["name"])).otherwise(state["names"]).alias("names"),
+            F.array_append(state["reasons"], reason).alias("reasons"),
         )
 
-    start = F.struct(F.array().cast(ASPECT_TYPE).alias("accepted"), F.array().cast(DROPPED_TYPE).alias("dropped"))
-    return F.aggregate(F.coalesce(items, F.array().cast("array<string>")), start, step)
+    empty = F.array().cast("array<string>")
+    return F.aggregate(checked, F.struct(empty.alias("names"), empty.alias("reasons")), step, lambda s: s["reasons"])
 
 
 def valid_keywords(items: Column, rules: Rules) -> Column:
@@ -77,36 +80,69 @@ def valid_keywords(items: Column, rules: Rules) -> Column:
     return F.nullif(F.array_join(F.slice(unique, 1, rules.max_keywords), ","), F.lit(""))
 
 
-def validate_annotations(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """M6-M9: (…, raw_text, content) plus checked fields.  One projection, no shuffle.
+def is_usable(raw_text: Column) -> Column:
+    """A response that is no JSON object cannot be repaired by rules; it needs another call."""
+    return is_json_object(json_body(raw_text))
 
-    ``is_usable`` is false when the response is not a JSON object; such rows need a repair call.
-    """
-    parts = annotation_fields(F.col("raw_text"))
-    staged = rows.withColumns({
-        "is_usable": parts["is_usable"], "_f": parts["fields"], "_n": parts["intensity_number"],
-    })
-    polarity = F.lower(strip(F.coalesce("_f.polarity", F.lit(""))))
-    legal = polarity.isin(*POLARITIES)
-    intensity = F.coalesce(
-        F.rint("_n").cast("int"),
-        F.when(~F.lower("_f.intensity").isin("true", "false"), first_int(F.col("_f.intensity")).cast("int")),
-    )
-    aspect_items = text_list(F.col("_f.aspects"))
-    staged = staged.withColumn("_a", valid_aspects(aspect_items, F.col("content"), rules))
-    not_a_list = F.col("_f.aspects").isNotNull() & aspect_items.isNull()
+
+def _checked_response(raw_text: Column, content: Column, rules: Rules) -> Column:
+    """M6-M9 as one struct."""
+    names = ("polarity", "intensity", "aspects", "keywords", "summary")
+    no_texts = F.array().cast("array<string>")
     bad_list = F.array(F.struct(F.lit("").alias("aspect"), F.lit("").alias("evidence"),
-                                F.lit("aspects_not_a_list").alias("reason"))).cast(DROPPED_TYPE)
+                                F.lit("aspects_not_a_list").alias("reason")))
+
+    def aspects(given: Column) -> Column:
+        def split(pairs: Column) -> Column:
+            accepted = F.transform(F.filter(pairs, lambda z: z["reason"] == ""), lambda z: F.struct(
+                z["c"]["name"].alias("aspect"), z["c"]["polarity"].alias("polarity"), z["c"]["evidence"].alias("evidence")))
+            rejected = F.transform(F.filter(pairs, lambda z: z["reason"] != ""), lambda z: F.struct(
+                F.substring(F.when(z["reason"] == "not_an_object", z["c"]["item"]).otherwise(z["c"]["name"]), 1, 32)
+                .alias("aspect"),
+                F.when(z["reason"] == "evidence_not_in_text", F.substring(z["c"]["full"], 1, 60)).otherwise("")
+                .alias("evidence"),
+                z["reason"].alias("reason")))
+            no_list = given.isNotNull() & ~strip(given).startswith("[")
+            return F.struct(accepted.cast(ASPECT_TYPE).alias("accepted"),
+                            F.when(no_list, bad_list).otherwise(rejected).cast(DROPPED_TYPE).alias("dropped"))
+
+        items = F.coalesce(text_list(given), no_texts)
+        return let(checked_aspects(parsed_aspects(items), content, rules), lambda c: let(
+            F.zip_with(c, aspect_reasons(c, rules), lambda x, r: F.struct(x.alias("c"), r.alias("reason"))), split))
+
+    def outcome(f: Column, polarity: Column, number: Column) -> Column:
+        legal = polarity.isin(*POLARITIES)
+        # A JSON number is rounded half to even, a text gives its first integer.
+        intensity = F.coalesce(
+            F.rint(number).cast("int"),
+            F.when(~F.lower(f["intensity"]).isin("true", "false"), first_int(f["intensity"]).cast("int")))
+        return F.struct(
+            F.when(legal, polarity).otherwise("neutral").alias("polarity"),
+            let(intensity, lambda i: F.when(i.isNotNull(), F.least(F.greatest(i, F.lit(1)), F.lit(5)))).alias("intensity"),
+            legal.cast("int").alias("is_valid"),
+            aspects(f["aspects"]).alias("aspects"),
+            valid_keywords(text_list(f["keywords"]), rules).alias("keywords"),
+            F.nullif(truncated(f["summary"], rules.summary_chars), F.lit("")).alias("summary"),
+            F.when(~legal, F.concat(F.lit("illegal polarity: "), polarity)).alias("validation_reason"),
+        )
+
+    def from_body(body: Column) -> Column:
+        fields = F.from_json(body, ", ".join(f"{n} string" for n in names))
+        number = F.from_json(body, "intensity double")["intensity"]
+        return let(fields, lambda f: let(
+            F.lower(strip(F.coalesce(f["polarity"], F.lit("")))),
+            lambda p: let(number, lambda n: outcome(f, p, n))))
+
+    return let(json_body(raw_text), from_body)
+
+
+def validate_annotations(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """M6-M9: (…, raw_text, content) plus checked fields.  One projection, no shuffle."""
+    staged = rows.withColumn("_r", _checked_response(F.col("raw_text"), F.col("content"), rules))
     return staged.select(
-        *rows.columns, "is_usable",
-        F.when(legal, polarity).otherwise("neutral").alias("polarity"),
-        F.when(intensity.isNotNull(), F.least(F.greatest(intensity, F.lit(1)), F.lit(5))).alias("intensity"),
-        legal.cast("int").alias("is_valid"),
-        F.col("_a.accepted").alias("aspects"),
-        F.when(not_a_list, bad_list).otherwise(F.col("_a.dropped")).alias("dropped_aspects"),
-        valid_keywords(text_list(F.col("_f.keywords")), rules).alias("keywords"),
-        F.nullif(truncated(F.col("_f.summary"), rules.summary_chars), F.lit("")).alias("summary"),
-        F.when(~legal, F.concat(F.lit("illegal polarity: "), polarity)).alias("validation_reason"),
+        *rows.columns, is_usable(F.col("raw_text")).alias("is_usable"),
+        "_r.polarity", "_r.intensity", "_r.is_valid", F.col("_r.aspects.accepted").alias("aspects"),
+        F.col("_r.aspects.dropped").alias("dropped_aspects"), "_r.keywords", "_r.summary", "_r.validation_reason",
     )
 
 

@@ -57,7 +57,7 @@ REPORT_SCHEMA = _struct(
     ("need_review", _I), ("token_usage", _L),
 )
 RESPONSE_SCHEMA = _struct(
-    ("comment_id", _L), ("raw_text", _S), ("attempt", _I),
+    ("comment_id", _L), ("spot_name", _S), ("content", _S), ("raw_text", _S), ("attempt", _I),
     ("prompt_tokens", _L), ("completion_tokens", _L), ("total_tokens", _L),
     ("error_kind", _S), ("error_reason", _S),
 )

@@ -57,13 +57,14 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     d = F.col("doc_id")
     score = _score()
-    desc = F.element_at(F.array(*[F.lit(x) for x in SCORE_LABELS]), score)
+    desc = F.get(F.array(*[F.lit(x) for x in SCORE_LABELS]), score - 1)
     date = F.when(d % 97 == 5, F.lit("1998-13-45")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     origin = F.when(d % 11 == 0, F.lit("未知")).otherwise(F.concat(F.col("n_name"), F.lit("\u3000")))
     address = F.when(d % 4 == 0, F.lit("")).otherwise(
         F.concat(F.lit("No. "), (d % 3).cast("string"), F.lit(" \n"), "source", F.lit("\u3000Road "))
     )
-    long_tail = F.when(d % 20 == 7, F.lit("\r\n" + "8" * 60)).otherwise(F.lit(""))
+    number = F.substring("source", 4, 10).cast("int")
+    long_tail = F.when(number % 7 == 3, F.lit("\r\n" + "8" * 60)).otherwise(F.lit(""))
     phone = F.when(d % 5 == 0, F.lit("全部\n")).otherwise(
         F.concat(F.lit("089-"), F.col("source"), F.lit("\n全部\t收起\n"), long_tail)
     )
@@ -178,3 +179,106 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("turn") % 4 + 1).cast("int").alias("attempts"),
         F.when(size % 7 == 0, "timeout").when(size % 11 == 0, "server").alias("error_kind"),
     )
+
+
+def listed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate-list stand-in: every third order id starts a group of two ids."""
+    k = F.col("o_orderkey")
+    ids = F.concat(k.cast("string"), F.lit("、 "), (k + 1).cast("string"), F.lit("、"))
+    return table(spark, sf_dir, "orders").filter(k % 3 == 0).select(
+        k.cast("string").alias("group_id"), ids.alias("ids"))
+
+
+def annotator_responses(reviews: DataFrame, rules: Rules = BENCH_RULES) -> DataFrame:
+    """Stub answers bent in twelve ways, chosen by review id: (comment_id, content, raw_text)."""
+    case = F.col("comment_id") % 13
+    text = F.coalesce("content", F.lit(""))
+    head = F.substring(text, 1, 12)
+    polarity = F.element_at(F.array(F.lit("positive"), F.lit("Neutral"), F.lit(" negative ")),
+                            (F.col("comment_id") % 3 + 1).cast("int"))
+    aspects = [F.lit(a) for a in rules.aspects]
+    own = F.element_at(F.array(*aspects), (F.col("comment_id") % 10 + 1).cast("int"))
+
+    def item(name: Column, mood: Column, evidence: Column) -> Column:
+        return F.struct(name.alias("aspect"), mood.alias("polarity"), evidence.alias("evidence"))
+
+    mood = F.lit("positive")
+    listed = (
+        F.when(case == 8, F.array(item(F.lit("位置"), mood, head), item(own, mood, head)))
+        .when(case == 9, F.array(item(own, mood, head), item(own, F.lit("negative"), head)))
+        .when(case == 10, F.array(*[item(a, mood, head) for a in aspects[:7]]))
+        .when(case == 11, F.array(item(own, mood, F.lit("编造的内容"))))
+        .when(case == 12, F.array(item(own, mood, F.translate(head, " \n\t", "")), item(aspects[0], F.lit("odd"), head)))
+        .otherwise(F.array(item(own, mood, head)))
+    )
+    fields = F.struct(
+        F.when(case == 5, "great").otherwise(polarity).alias("polarity"),
+        F.when(case == 6, "9").when(case == 7, "4分").otherwise((F.col("comment_id") % 5 + 1).cast("string")).alias("intensity"),
+        listed.alias("aspects"),
+        F.array(F.lit("风景"), F.substring(text, 1, 4), F.lit("风景"), F.lit("  "), F.lit("很长的关键词超过十个字的")).alias("keywords"),
+        F.concat(F.lit(" "), F.substring(text, 1, 50)).alias("summary"),
+    )
+    body = F.to_json(fields)
+    raw = (
+        F.when(case == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(case == 2, F.concat(F.lit("好的，结果如下： "), body, F.lit(" 以上。")))
+        .when(case == 3, F.lit("抱歉，无法处理"))
+        .when(case == 4, F.concat(F.lit("["), body, F.lit("]")))
+        .otherwise(body)
+    )
+    return reviews.select("comment_id", "content", raw.alias("raw_text"))
+
+
+def comparison_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison texts, one per order: (pair_id, raw_text, facts)."""
+    k, price = F.col("o_orderkey"), F.floor("o_totalprice")
+    amount = F.format_number(price, 0)
+    note = F.when(k % 4 == 1, "甲更值得去").when(k % 4 == 2, "两者首选甲，乙不如甲").otherwise("样本量不同")
+    differences = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(
+        F.array(F.concat(F.lit("评论量相差 "), amount, F.lit(" 条")),
+                F.concat(F.lit("好评率 "), F.format_string("%.2f", F.lit(87.82)), F.lit("%"))))
+    body = F.to_json(F.struct(differences.alias("differences"),
+                              F.array(F.lit("客群不同"), F.concat(F.lit("约 "), (k % 9).cast("string"), F.lit(" 处差异")))
+                              .alias("possible_reasons"), note.alias("reliability_note")))
+    facts = F.array(F.when(k % 3 == 0, price * 2).otherwise(price).cast("double"), F.lit(0.8782))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("pair_id"), body.alias("raw_text"), F.concat(*_joined(differences)).alias("text"), facts.alias("facts"))
+
+
+def _joined(items: Column) -> list[Column]:
+    return [F.array_join(items, " ")]
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated answers, one per order, with the numbers they may quote."""
+    k, n = F.col("o_orderkey"), F.floor("o_totalprice")
+    plain, grouped = n.cast("string"), F.format_number(n, 0)
+    case = k % 7
+    text = (
+        F.when(case == 0, F.concat(F.lit("共有 "), plain, F.lit(" 条评论")))
+        .when(case == 1, F.concat(F.lit("共有 "), (n * 3 + 11).cast("string"), F.lit(" 条评论")))
+        .when(case == 2, F.lit("好评率为 56.5%，以 4-5 星为主"))
+        .when(case == 3, F.concat(F.lit("评论量 "), grouped, F.lit(" ，另有 2 处说明")))
+        .when(case == 4, F.lit("可以考虑订票与酒店"))
+        .when(case == 5, F.lit("多为 3~4 星，没有其他数字"))
+        .otherwise(F.concat(F.lit("评论"), F.repeat(F.lit("很多"), 320)))
+    )
+    return table(spark, sf_dir, "orders").select(
+        k.alias("question_id"), F.concat(F.lit(" "), text).alias("answer"),
+        F.array(n.cast("double"), F.lit(0.565)).alias("facts"))
+
+
+def report_responses(stats: DataFrame) -> DataFrame:
+    """Report texts per entity; every third one misquotes its rate, every fourth its count."""
+    number = F.substring("spot_name", 2, 12).cast("bigint")
+    percent = F.round(F.col("positive_rate") * 100, 2) + F.when(number % 3 == 0, 2.5).otherwise(0.2)
+    count = F.col("review_count") + F.when(number % 4 == 0, 40).otherwise(0)
+    summary = F.concat(F.lit("共 "), count.cast("string"), F.lit(" 条评论，好评率 "),
+                       F.format_string("%.2f", percent), F.lit("%，有 2 个方面较突出。"))
+    items = F.array(F.lit("景观体验"), F.lit(" "), F.concat(F.lit("提及"), F.repeat(F.lit("很多"), 30)))
+    body = F.to_json(F.struct(
+        F.when(number % 11 == 0, F.lit(" ")).otherwise(summary).alias("summary"),
+        items.alias("advantages"),
+        F.when(number % 5 == 0, F.array(*[F.lit(f"条目{c}") for c in "甲乙丙丁戊己庚"])).otherwise(F.array(F.lit("排队"))).alias("issues"),
+        F.array(F.lit("门票"), F.lit("交通")).alias("visitor_focus")))
+    return stats.select("spot_name", body.alias("raw_text"))
