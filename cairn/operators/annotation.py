@@ -59,41 +59,47 @@ def layer_totals(layered: DataFrame, sentiment: DataFrame, rules: Rules = DEFAUL
 
 def rule_labels(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """M3: polarity from explicit sentiment words only; both or none means neutral."""
-    text = strip(F.coalesce("content", F.lit("")))
-    pos, neg = contains_any(text, rules.positive_words), contains_any(text, rules.negative_words)
+    staged = rows.withColumn("_t", strip(F.coalesce("content", F.lit(""))))
+    text = F.col("_t")
+    staged = staged.withColumns({
+        "_pos": contains_any(text, rules.positive_words), "_neg": contains_any(text, rules.negative_words)})
+    pos, neg = F.col("_pos"), F.col("_neg")
     found = F.slice(words_found(text, (*rules.positive_words, *rules.negative_words)), 1, rules.max_keywords)
-    return rows.select(
+    return staged.select(
         "comment_id", "spot_name",
         F.when(pos & ~neg, "positive").when(neg & ~pos, "negative").otherwise("neutral").alias("polarity"),
         F.when(pos != neg, 3).cast("int").alias("intensity"),
         F.lit(1).alias("is_valid"),
         F.nullif(F.array_join(found, ","), F.lit("")).alias("keywords"),
-        F.nullif(truncated(F.col("content"), rules.summary_chars), F.lit("")).alias("summary"),
+        F.nullif(F.substring(text, 1, rules.summary_chars), F.lit("")).alias("summary"),
     )
 
 
 # --- stub annotator --------------------------------------------------------------------------------
 
-def digest_mod15(text: Column) -> Column:
-    """The 128-bit digest modulo 15: 16 is 1 modulo 15, so hex chunks may be summed."""
-    digest = F.md5(text.cast("binary"))
+def hex_mod15(digest: Column) -> Column:
+    """A 128-bit hex digest modulo 15: 16 is 1 modulo 15, so hex chunks may be summed."""
     chunks = [F.conv(F.substring(digest, at, size), 16, 10).cast("bigint") % 15
               for at, size in ((1, 15), (16, 15), (31, 2))]
     return (chunks[0] + chunks[1] + chunks[2]) % 15
 
 
-def digest_is_odd(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text.cast("binary")), 32, 1), 16, 10).cast("int") % 2
+def hex_is_odd(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 32, 1), 16, 10).cast("int") % 2
 
 
 def stub_responses(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """M4: a deterministic annotator for tests: the text's digest decides, evidence is its head."""
-    text = strip(F.coalesce("content", F.lit("")))
-    text = F.when(text == "", F.lit("内容缺失")).otherwise(text)
-    r15 = digest_mod15(text)
+    # Staged columns: the text and its digest are used many times and computed once.
+    stripped = strip(F.coalesce("content", F.lit("")))
+    staged = rows.select("comment_id", "spot_name", "content", F.coalesce(
+        F.nullif(stripped, F.lit("")), F.lit("内容缺失")).alias("_t"))
+    staged = staged.withColumn("_d", F.md5(F.col("_t").cast("binary")))
+    staged = staged.withColumns({"_r15": hex_mod15(F.col("_d")), "_odd": hex_is_odd(F.col("_d"))})
+    text, r15 = F.col("_t"), F.col("_r15")
     polarity = F.element_at(F.array(*[F.lit(p) for p in POLARITIES]), (r15 % 3 + 1).cast("int"))
     # d mod 10 from d mod 5 and d mod 2 (6*1 is 1 mod 5 and 0 mod 2; 5 is 0 mod 5 and 1 mod 2).
-    r10 = (6 * (r15 % 5) + 5 * digest_is_odd(text)) % 10
+    r10 = (6 * (r15 % 5) + 5 * F.col("_odd")) % 10
     aspect = F.element_at(F.array(*[F.lit(a) for a in rules.aspects]), (r10 + 1).cast("int"))
     words = F.filter(F.array(F.substring(text, 1, 4), F.substring(text, 5, 4)), lambda w: w != "")
     body = F.to_json(F.struct(
@@ -102,11 +108,11 @@ def stub_responses(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
                          F.substring(text, 1, 12).alias("evidence"))).alias("aspects"),
         words.alias("keywords"), F.substring(text, 1, 40).alias("summary"),
     ))
-    size = F.length(text).cast("bigint")
-    return rows.select(
-        "comment_id", "spot_name", "content", body.alias("raw_text"), F.lit(1).alias("attempt"),
-        F.floor(size / 1.5).alias("prompt_tokens"), F.floor(F.length(body) / 1.5).alias("completion_tokens"),
-        F.floor((size + F.length(body)) / 1.5).alias("total_tokens"),
+    size, answer = F.length(text).cast("bigint"), F.length("raw_text")
+    return staged.withColumn("raw_text", body).select(
+        "comment_id", "spot_name", "content", "raw_text", F.lit(1).alias("attempt"),
+        F.floor(size / 1.5).alias("prompt_tokens"), F.floor(answer / 1.5).alias("completion_tokens"),
+        F.floor((size + answer) / 1.5).alias("total_tokens"),
         F.lit(None).cast("string").alias("error_kind"), F.lit(None).cast("string").alias("error_reason"),
     )
 

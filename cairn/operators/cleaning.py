@@ -50,9 +50,9 @@ def clean_reviews(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
 
     Duplicate flags are added by ``duplicates.flag_duplicates``.
     """
-    good, _ = split_by_date(raw)
-    content = strip(F.coalesce("content", F.lit("")))
-    size = F.length(content)
+    good = split_by_date(raw)[0].withColumn("_content", strip(F.coalesce("content", F.lit(""))))
+    good = good.withColumn("_size", F.length("_content"))
+    content, size = F.col("_content"), F.col("_size")
     region = region_columns(F.col("ip_location"), rules)
     # P9 / BR-01: the region is kept only from the cutoff date on.
     in_window = F.col("_day") >= F.lit(rules.origin_cutoff).cast("date")

@@ -14,6 +14,7 @@ from cairn.operators import (
 from cairn.plans import views
 from cairn.plans.bench_tables import BenchTables
 from cairn.rules import caliber_notes
+from cairn.session import cut_lineage
 from cairn.sinks import tables as sinks
 from cairn.sources import gates, queries as table_queries, sampling, sidefiles, star
 
@@ -581,9 +582,11 @@ def _global_items(t: BenchTables) -> DataFrame:
 
 
 def _retrieved(t: BenchTables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mentions and entity items are read several times below, so both are stored first."""
     classified = questions.classify(t.questions)
-    linked = linking.link_entities(t.questions, t.spots)
-    return classified, linked, questions.retrieve(classified, linked, _spot_items(t), _global_items(t), t.rules)
+    linked = cut_lineage(linking.link_entities(t.questions, t.spots))
+    items, shared = cut_lineage(_spot_items(t)), cut_lineage(_global_items(t))
+    return classified, linked, questions.retrieve(classified, linked, items, shared, t.rules)
 
 
 @register

@@ -135,7 +135,7 @@ ruled AS (
   SELECT comment_id, spot_name, CASE WHEN pos AND NOT neg THEN 'positive' WHEN neg AND NOT pos THEN 'negative'
       ELSE 'neutral' END AS polarity, CASE WHEN pos <> neg THEN 3 END AS intensity, 1 AS is_valid,
     nullif(array_to_string(list_filter({texts(R.positive_words + R.negative_words)}, lambda w: contains(t, w))[1:5], ','), '') AS keywords,
-    nullif(trim(substr(t, 1, 40), {WS}), '') AS summary
+    nullif(substr(t, 1, 40), '') AS summary
   FROM (SELECT *, {any_word('t', R.positive_words)} AS pos, {any_word('t', R.negative_words)} AS neg
         FROM (SELECT *, coalesce(content, '') AS t FROM clean))),
 ann AS (
