@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.binding import let
 from cairn.functions.skew import salted_lookup_join
 from cairn.functions.text import contains_any, strip
 from cairn.operators.linking import MAX_QUESTION, link_entities
@@ -34,7 +35,8 @@ def question_type(text: Column) -> Column:
 def classify(questions: DataFrame) -> DataFrame:
     """(question_id, text, question_type)."""
     text = F.substring(strip(F.coalesce("question", F.lit(""))), 1, MAX_QUESTION)
-    return questions.select("question_id", text.alias("text")).withColumn("question_type", question_type(F.col("text")))
+    both = let(text, lambda t: F.struct(t.alias("text"), question_type(t).alias("question_type")))
+    return questions.select("question_id", both.alias("q")).select("question_id", "q.text", "q.question_type")
 
 
 def ranking_size(text: Column) -> Column:
@@ -207,9 +209,7 @@ def retrieve(classified: DataFrame, linked: DataFrame, spot_items: DataFrame, gl
     in a large share of the questions.  ``global_items`` is the output of ``metric_items`` and
     ``ranking_items``: at most five stars, six totals and twenty places, hence the broadcast.
     """
-    used = F.lit(0)
-    for kind, n in SPOTS_USED.items():
-        used = F.when(F.col("question_type") == kind, n).otherwise(used)
+    used = F.create_map(*[F.lit(x) for pair in SPOTS_USED.items() for x in pair])[F.col("question_type")]
     mentions = classified.select("question_id", "question_type").join(linked, "question_id")
     counts = linked.groupBy("question_id").agg(F.count(F.lit(1)).alias("linked"))
     mentions = mentions.join(counts, "question_id").filter(

@@ -583,7 +583,7 @@ def _global_items(t: BenchTables) -> DataFrame:
 
 def _retrieved(t: BenchTables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mentions and entity items are read several times below, so both are stored first."""
-    classified = questions.classify(t.questions)
+    classified = cut_lineage(questions.classify(t.questions))
     linked = cut_lineage(linking.link_entities(t.questions, t.spots))
     items, shared = cut_lineage(_spot_items(t)), cut_lineage(_global_items(t))
     return classified, linked, questions.retrieve(classified, linked, items, shared, t.rules)
