@@ -144,7 +144,8 @@ def run_annotator(rows: DataFrame, annotate: Annotator, partitions: int | None =
                 if isinstance(answer, Exception):
                     answer = {"error_kind": type(answer).__name__, "error_reason": str(answer)[:512]}
                 records.append({**row._asdict(), "attempt": 1, **answer})
-            yield pd.DataFrame.from_records(records).reindex(columns=names)
+            # Plain object columns: a missing count stays NULL instead of becoming NaN.
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in records], dtype=object) for n in names})
 
     return work.mapInPandas(job, RESPONSE_SCHEMA)
 
