@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.json_body import json_source
-from cairn.functions.skew import salted_lookup_join
+from cairn.functions.skew import key_sizes, salted_lookup_join
 from cairn.functions.text import contains_any, strip, truncated, words_found
 from cairn.operators.duplicates import representatives, with_representative
 from cairn.operators.validation import is_usable, validate_annotations
@@ -246,13 +246,14 @@ def reuse_rows(layered: DataFrame, results: DataFrame, rules: Rules = DEFAULT_RU
     A representative without a result leaves its members pending.
     """
     members = layered.filter(F.col("layer") == REUSE).select("comment_id", "spot_name", "representative_id")
-    # Only representatives are repeated per salt bucket, not every result.
     stands_for = layered.filter(F.col("comment_id") == F.col("representative_id")).select("representative_id")
     source = results.select(
         F.col("comment_id").alias("representative_id"), "polarity", "intensity", "is_valid",
         "aspects", "keywords", "summary", "source",
     ).join(stands_for, "representative_id", "left_semi")
-    joined = salted_lookup_join(members, source, ["representative_id"], "comment_id", rules.salt_buckets, "inner")
+    joined = salted_lookup_join(
+        members, source, key_sizes(members, ["representative_id"]), ["representative_id"], "comment_id",
+        rules.hot_key_rows, "inner")
     raw = F.to_json(F.struct(
         F.lit("reuse").alias("source"), F.lit("reuse").alias("mode"),
         F.col("representative_id").alias("reused_from_comment_id"),

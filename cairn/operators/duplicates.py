@@ -27,9 +27,10 @@ def duplicate_groups(reviews: DataFrame) -> DataFrame:
 
 def flag_exact_duplicates(reviews: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """P12 with groups found by A33 instead of a supplied list."""
-    groups = duplicate_groups(reviews).drop("members")
+    groups = duplicate_groups(reviews)
     keyed = reviews.withColumn("content_key", F.unhex(F.sha2("content", 256)))
-    joined = salted_lookup_join(keyed, groups, ["content_key"], "comment_id", rules.salt_buckets)
+    joined = salted_lookup_join(
+        keyed, groups.drop("members"), groups, ["content_key"], "comment_id", rules.hot_key_rows)
     return joined.drop("content_key").withColumn(
         "is_dup_content", F.col("dup_group_id").isNotNull().cast("int")
     )
@@ -43,7 +44,7 @@ def flag_listed_duplicates(reviews: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def representatives(reviews: DataFrame) -> DataFrame:
-    """Per group the row that is not low-info, longest, smallest id: (dup_group_id, representative_id).
+    """(dup_group_id, representative_id, members): the row that is not low-info, longest, smallest id.
 
     ``row_number() = 1`` over (low info, length desc, id) is a minimum over that tuple, and a
     minimum pre-aggregates: no task ever sees a whole group.
@@ -52,14 +53,15 @@ def representatives(reviews: DataFrame) -> DataFrame:
     return (
         reviews.filter((F.col("is_dup_content") == 1) & F.col("dup_group_id").isNotNull())
         .groupBy("dup_group_id")
-        .agg(F.min(rank)["comment_id"].alias("representative_id"))
+        .agg(F.min(rank)["comment_id"].alias("representative_id"), F.count(F.lit(1)).alias("members"))
     )
 
 
 def with_representative(reviews: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Every row with the representative of its group (NULL outside groups)."""
+    found = representatives(reviews)
     return salted_lookup_join(
-        reviews, representatives(reviews), ["dup_group_id"], "comment_id", rules.salt_buckets
+        reviews, found.drop("members"), found, ["dup_group_id"], "comment_id", rules.hot_key_rows
     )
 
 

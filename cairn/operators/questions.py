@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.binding import let
-from cairn.functions.skew import salted_lookup_join
+from cairn.functions.skew import key_sizes, salted_lookup_join
 from cairn.functions.text import contains_any, strip
 from cairn.operators.linking import MAX_QUESTION, link_entities
 from cairn.operators.numbers import numbers_in
@@ -215,9 +215,10 @@ def retrieve(classified: DataFrame, linked: DataFrame, spot_items: DataFrame, gl
     mentions = mentions.join(counts, "question_id").filter(
         (F.col("mention_no") <= used) & ~((F.col("question_type") == "SPOT_COMPARISON") & (F.col("linked") < 2))
     )
+    keys = ["question_type", "spot_name"]
+    mentions = mentions.select("question_id", *keys, "mention_no")
     own = salted_lookup_join(
-        mentions.select("question_id", "question_type", "spot_name", "mention_no"), spot_items,
-        ["question_type", "spot_name"], "question_id", rules.salt_buckets, "inner",
+        mentions, spot_items, key_sizes(mentions, keys), keys, "question_id", rules.hot_key_rows, "inner",
     ).select("question_id", (F.col("mention_no") * 10 + F.col("block_no")).alias("block_no"),
              "item_no", "source", "title", "item")
     wide = classified.join(F.broadcast(global_items), "question_type").filter(

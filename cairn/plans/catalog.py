@@ -120,7 +120,7 @@ def listed_duplicate_flags(t):  # S7 P12
 
 @register
 def duplicate_representatives(t):  # W1
-    return duplicates.representatives(t.reviews)
+    return duplicates.representatives(t.reviews).drop("members")
 
 
 @register

@@ -123,7 +123,7 @@ class Rules:
     small_sample_docs: int = 10_000
     min_df: float = 2.0
 
-    salt_buckets: int = 16
+    hot_key_rows: int = 1_000_000              # a key with more fact rows is split over tasks
     cost: CostModel = field(default_factory=CostModel)
 
 

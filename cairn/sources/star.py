@@ -16,6 +16,7 @@ BENCH_RULES = Rules(
     origin_cutoff="1998-06-01",
     full_evaluation_min=20,
     low_info_max_chars=40,
+    hot_key_rows=3,
     domestic_regions=tuple(f"NATION_{i}" for i in range(15)),
     positive_words=("with", "tion", "eau", "heit", "ción"),
     negative_words=("whst", "oth", "oui", "ung", "rra"),

@@ -101,6 +101,7 @@ def test_duplicates_and_representatives(spark):
     marked = duplicates.flag_listed_duplicates(
         reviews(spark, [(1, "甲", "x" * 9, 9, 1), (2, "甲", "y" * 20, 20, 0), (3, "甲", "z" * 20, 20, 0)]), members)
     rep = duplicates.representatives(marked).first()
+    assert rep.members == 3
     assert (rep.dup_group_id, rep.representative_id) == (9, 2)  # not low-info, longest, smallest id
 
 
@@ -109,7 +110,10 @@ def test_hot_group_keeps_every_row(spark):
         F.col("id").alias("comment_id"), F.lit("甲").alias("spot_name"),
         F.when(F.col("id") % 3 == 0, "热门文本").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("content"),
         F.lit(4).alias("content_length"), F.lit(0).alias("is_low_info"))
-    flagged = duplicates.flag_exact_duplicates(df)
+    rules = Rules(hot_key_rows=50)
+    flagged = duplicates.flag_exact_duplicates(df, rules)
+    members = duplicates.with_representative(flagged, rules)
+    assert members.filter("representative_id = 0").count() == 667 and members.count() == 2000
     row = flagged.agg(F.count(F.lit(1)).alias("n"), F.sum("is_dup_content").alias("d"), F.max("dup_group_id").alias("g")).first()
     assert (row.n, row.d, row.g) == (2000, 667, 0)
 
