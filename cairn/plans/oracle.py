@@ -467,5 +467,63 @@ _one = {
 }
 
 
+_own = f"list_extract({texts(R.aspects)}, (k % 10 + 1)::INT)"
+_reasons = f"""CASE k % 13 WHEN 3 THEN [] WHEN 8 THEN ['unknown_aspect'] WHEN 9 THEN ['duplicate_aspect']
+  WHEN 10 THEN ['over_limit', 'over_limit'] WHEN 11 THEN ['evidence_not_in_text']
+  WHEN 12 THEN [CASE WHEN k % 10 = 0 THEN 'duplicate_aspect' ELSE 'illegal_polarity' END] ELSE [] END"""
+_bent = "(SELECT comment_id AS k, content AS t FROM clean)"
+_stop = texts(("the", "of", "and", "le", "la", "der", "die"))
+_terms = (f"(SELECT comment_id, list_filter(words, lambda w: NOT list_contains({_stop}, w)) AS words FROM (SELECT comment_id, "
+          "list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'), lambda w: length(w) >= 2) AS words FROM flagged "
+          "WHERE content IS NOT NULL AND is_low_info = 0 AND is_dup_content = 0) WHERE len(words) > 0)")
+_voices = """SELECT *, row_number() OVER (PARTITION BY spot_name, voice ORDER BY is_dup_content, like_count DESC, content_length DESC, comment_id)::INT AS rank_no
+  FROM (SELECT *, CASE WHEN score >= 4 THEN 'positive' WHEN score = 3 THEN 'neutral' WHEN score <= 2 THEN 'negative' END AS voice
+    FROM flagged WHERE content IS NOT NULL) WHERE voice IS NOT NULL"""
+
+_one.update({
+    "validated_annotations": f"""SELECT k AS comment_id, (k % 13 <> 3)::INT AS is_usable,
+        CASE WHEN k % 13 IN (3, 5) THEN 'neutral' ELSE list_extract(['positive', 'neutral', 'negative'], (k % 3 + 1)::INT) END AS polarity,
+        CASE k % 13 WHEN 3 THEN NULL WHEN 6 THEN 5 WHEN 7 THEN 4 ELSE (k % 5 + 1)::INT END AS intensity, (k % 13 NOT IN (3, 5))::INT AS is_valid,
+        CASE k % 13 WHEN 3 THEN '' WHEN 10 THEN {text(','.join(R.aspects[:5]))} WHEN 11 THEN '' ELSE {_own} END AS accepted,
+        coalesce(array_to_string({_reasons}, ','), '') AS reasons,
+        CASE WHEN k % 13 <> 3 THEN md5('风景,' || trim(substr(t, 1, 4), {WS}) || ',很长的关键词超过十个') END AS keywords_md5,
+        CASE WHEN k % 13 <> 3 THEN md5(substr(trim(substr(t, 1, 50), {WS}), 1, 40)) END AS summary_md5 FROM {_bent}""",
+    "dropped_aspects": f"SELECT reason, count(*) AS n FROM (SELECT unnest({_reasons}) AS reason FROM {_bent}) GROUP BY reason",
+    "review_voices": f"""SELECT v.spot_name, voice, rank_no, comment_id, coalesce(aspect_name, '') AS topics
+        FROM ({_voices}) v LEFT JOIN aspects a USING (comment_id) WHERE rank_no <= 5""",
+    "usable_voices": f"SELECT spot_name, voice, rank_no, comment_id FROM ("
+        + _voices.replace("content IS NOT NULL", "content IS NOT NULL AND is_low_info = 0 AND is_dup_content = 0") + ") WHERE rank_no <= 3",
+    "validated_comparisons": """SELECT o_orderkey AS pair_id, (o_orderkey % 5 <> 0)::INT AS is_usable, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END AS differences,
+        2 AS reasons, CASE o_orderkey % 4 WHEN 1 THEN '更值得' WHEN 2 THEN '不如,首选' ELSE '' END AS verdict_words FROM orders""",
+    "comparison_numbers": """SELECT o_orderkey AS pair_id, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0
+        THEN format('{:,}', floor(o_totalprice)::BIGINT) ELSE '' END AS unmatched FROM orders""",
+    "validated_answers": """SELECT k AS question_id, length(CASE k % 7 WHEN 0 THEN '共有 ' || n || ' 条评论' WHEN 1 THEN '共有 ' || (n * 3 + 11) || ' 条评论'
+          WHEN 2 THEN '好评率为 56.5%，以 4-5 星为主' WHEN 3 THEN '评论量 ' || format('{:,}', n) || ' ，另有 2 处说明'
+          WHEN 4 THEN '可以考虑订票与酒店 （本系统只基于评论数据的分析结果作答，不提供路线规划、票务预订、天气等实时信息。）'
+          WHEN 5 THEN '多为 3~4 星，没有其他数字' ELSE repeat('很', 600) END)::INT AS answer_length,
+        CASE WHEN k % 7 = 4 THEN '订票,酒店' ELSE '' END AS boundary_words, (k % 7 = 1)::INT AS need_review
+        FROM (SELECT o_orderkey AS k, floor(o_totalprice)::BIGINT AS n FROM orders)""",
+    "mention_candidates": """SELECT question_id, token, max((token = spot_name)::INT) AS is_whole FROM (
+        SELECT question_id, spot_name, CASE WHEN contains(t, spot_name) THEN spot_name WHEN length(spot_name) = 5 AND contains(t, substr(spot_name, 1, 4))
+          THEN substr(spot_name, 1, 4) WHEN contains(t, substr(spot_name, 1, 3)) THEN substr(spot_name, 1, 3) END AS token
+        FROM asked CROSS JOIN (SELECT spot_name FROM spots)) WHERE token IS NOT NULL GROUP BY question_id, token""",
+    "ranking_items": """SELECT (rn - 1)::INT AS item_no, '{"排名": ' || rn || ', "景点": "' || spot_name || '", "评论量": ' || review_count || ', "平均评分": '
+        || avg_score || '}' AS item FROM (SELECT *, row_number() OVER (ORDER BY review_count DESC, spot_name) AS rn FROM stat WHERE review_count >= 10) WHERE rn <= 20""",
+    "token_report": f"""SELECT count(*) AS rows, sum(len(words))::BIGINT AS token_count, {half_up('sum(len(words))', 'count(*)', 1)} AS mean_tokens,
+        0::BIGINT AS leaked_stop_words FROM {_terms}""",
+    "top_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest(words) AS term FROM {_terms}) GROUP BY term ORDER BY n DESC, term LIMIT 20",
+    "report_view": """SELECT s.spot_name, s.review_count, (r.spot_name IS NOT NULL AND s.review_count >= 20)::INT AS available,
+        CASE WHEN s.review_count < 20 THEN 'REVIEW_COUNT_BELOW_THRESHOLD' WHEN r.spot_name IS NULL THEN 'REPORT_NOT_GENERATED' END AS reason,
+        CASE WHEN available = 1 THEN r.summary END AS summary, CASE WHEN available = 1 THEN s.source_scope || ',advantages' END AS advantages,
+        CASE WHEN available = 1 THEN s.source_scope || ',issues' END AS issues, CASE WHEN available = 1 THEN s.source_scope || ',visitor_focus' END AS visitor_focus,
+        CASE WHEN available = 1 THEN need_review END AS need_review, CASE WHEN available = 1 THEN 'fact_package' END AS basis_source,
+        CASE WHEN available = 1 THEN 'v1' END AS basis_version, CASE WHEN available = 1 THEN t.review_count END AS basis_review_count,
+        CASE WHEN available = 1 THEN avg_score END AS basis_avg_score, CASE WHEN available = 1 THEN positive_rate END AS basis_positive_rate,
+        CASE WHEN available = 1 THEN negative_rate END AS basis_negative_rate, CASE WHEN available = 1 THEN top END AS top_aspects
+        FROM spots s JOIN stat t USING (spot_name) LEFT JOIN reports r USING (spot_name)
+        JOIN (SELECT spot_name, array_to_string(list(aspect_name ORDER BY sample_size DESC, aspect_name)[1:5], ',') AS top FROM aspect_stat GROUP BY spot_name) a USING (spot_name)""",
+})
+
+
 def all_oracles() -> dict[str, str]:
     return {name: f"{PRELUDE}\n{body}" for name, body in _one.items()}
