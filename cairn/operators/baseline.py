@@ -17,9 +17,17 @@ METRICS = ("accuracy", "f1", "weightedPrecision", "weightedRecall")
 
 @dataclass(frozen=True)
 class Baseline:
+    """``classes`` are the labels seen in training, in the order the model numbers them."""
+
     model: NaiveBayesModel
     train: DataFrame
     test: DataFrame
+    classes: tuple[float, ...]
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``prediction`` as a label code."""
+        codes = F.array(*[F.lit(c) for c in self.classes])
+        return self.model.transform(rows).withColumn("prediction", F.get(codes, F.col("prediction").cast("int")))
 
 
 def labelled(vectors: DataFrame) -> DataFrame:
@@ -34,21 +42,29 @@ def split(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, Dat
 
 
 def fit_baseline(vectors: DataFrame, rules: Rules = DEFAULT_RULES) -> Baseline:
-    """Multinomial naive Bayes with smoothing 1 on TF-IDF."""
+    """Multinomial naive Bayes with smoothing 1 on TF-IDF.
+
+    The classifier numbers classes from 0 without gaps, so a missing class (no three-star review,
+    say) would shift the others; labels are numbered by the classes present, of which there are
+    at most three.
+    """
     train, test = split(labelled(vectors), rules)
-    bayes = NaiveBayes(modelType="multinomial", smoothing=1.0, featuresCol="features", labelCol="label")
-    return Baseline(bayes.fit(train), train, test)
+    classes = tuple(sorted(r.label for r in train.select("label").distinct().collect()))
+    codes = F.array(*[F.lit(c) for c in classes])
+    numbered = train.withColumn("class_no", (F.array_position(codes, F.col("label")) - 1).cast("double"))
+    bayes = NaiveBayes(modelType="multinomial", smoothing=1.0, featuresCol="features", labelCol="class_no")
+    return Baseline(bayes.fit(numbered), train, test, classes)
 
 
 def confusion(baseline: Baseline) -> DataFrame:
     """Rows per (true label, prediction) of the test part."""
-    scored = baseline.model.transform(baseline.test)
+    scored = baseline.predict(baseline.test)
     return scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 def evaluation(baseline: Baseline, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """The four metrics with seed and sizes, and as a JSON document."""
-    scored = baseline.model.transform(baseline.test).select("label", "prediction").persist()
+    scored = baseline.predict(baseline.test).select("label", "prediction").persist()
     try:
         values = {m: MulticlassClassificationEvaluator(
             labelCol="label", predictionCol="prediction", metricName=m).evaluate(scored) for m in METRICS}
@@ -62,7 +78,7 @@ def evaluation(baseline: Baseline, rules: Rules = DEFAULT_RULES) -> DataFrame:
 
 def predictions(baseline: Baseline, vectors: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Polarity of every modelling row, scored or not."""
-    return baseline.model.transform(vectors).select(
+    return baseline.predict(vectors).select(
         "comment_id", "spot_name", F.lit(rules.baseline_method).alias("method"),
         polarity_name(F.col("prediction")).alias("polarity"),
         F.lit(None).cast("int").alias("intensity"), F.lit(1).alias("is_valid"),
