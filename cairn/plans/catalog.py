@@ -815,8 +815,10 @@ def top_terms(t):  # T6
 
 
 def _vectors(t: BenchTables):
-    model = features.fit_text_model(t.features, t.rules)
-    return model, model.transform(t.features)
+    """Tokens are read by every fit, so they are stored once."""
+    rows = cut_lineage(t.features)
+    model = features.fit_text_model(rows, t.rules)
+    return model, model.transform(rows)
 
 
 @register
