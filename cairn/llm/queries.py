@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, mixing, sharding
+from cairn.llm import decontamination, mixing, near_dedup, sharding
 
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -45,3 +45,8 @@ def op2_virtual_slot_sharding(spark, sf_dir):
 def op5_source_mixing(spark, sf_dir):
     takes = mixing.document_takes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return takes.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@_register
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
