@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, mixing, near_dedup, sharding
+from cairn.llm import decontamination, mixing, near_dedup, perplexity, rule_ensemble, sharding
 
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -50,3 +50,16 @@ def op5_source_mixing(spark, sf_dir):
 @_register
 def op6_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_register
+def op4_rule_ensemble_quality(spark, sf_dir):
+    return rule_ensemble.score_quality(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+@_register
+def op9_perplexity_quality_rules(spark, sf_dir):
+    judged = perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "kept", "log_perplexity")
