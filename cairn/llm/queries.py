@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, mixing, near_dedup, perplexity, rule_ensemble, sharding
+from cairn.llm import bloom_lm, decontamination, mixing, near_dedup, perplexity, pii, rule_ensemble, sharding
 
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -63,3 +63,15 @@ def op9_perplexity_quality_rules(spark, sf_dir):
     judged = perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          "kept", "log_perplexity")
+
+
+@_register
+def op3_bloom_lm_scoring(spark, sf_dir):
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_register
+def op10_skip_chain_pii(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
