@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.blocks import block_number, map_blocks, table_of
 from cairn.llm.words import LOWER, NOT_BLANK, Sums, Words, mix, quoted, slices, utf8
 from cairn.session import cut_lineage
 
@@ -163,18 +164,11 @@ def _ask(parts: int):
                 else:  # the part and 32 bits more name a pair; most pairs are there once
                     low = k.astype(np.uint32)
                     rows.append((kind, p, block, low[c == 1].tobytes(), None, low[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
-        return _table(rows, _KEYS)
+        return table_of(rows, _KEYS)
 
     return ask
 
 
-def _table(rows: list[tuple], ddl: str) -> pa.Table:
-    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-    fields = [f.split() for f in ddl.split(", ")]
-    columns = list(zip(*rows)) or [()] * len(fields)
-    return pa.table({name: pa.array(c, types[t]) for (name, t), c in zip(fields, columns)})
-
-
 def _answer(parts: int, filter_bytes: int):
     most = max(64, filter_bytes // parts)
 
@@ -197,7 +191,7 @@ def _answer(parts: int, filter_bytes: int):
         bits, entries, cutoff = build_segment(unique[seen], total[seen], most)
         rows = [(kind, part, -1, None, int(seen.sum()), int(total.sum()), bits, entries, cutoff)]
         rows += [(kind, part, block, total[np.searchsorted(unique, k)].tobytes(), None, None, None, None, None) for block, k in asked]
-        return _table(rows, _FOUND)
+        return table_of(rows, _FOUND)
 
     return answer
 
@@ -222,11 +216,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     """
     context = docs.sparkSession.sparkContext
     out_rows = held_out(key) if train is None else ~train
-    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_ROWS_LOG2)
     rows = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"),
-                       F.coalesce(out_rows, F.lit(True)).alias("held_out")).withColumn("block", block)
+                       F.coalesce(out_rows, F.lit(True)).alias("held_out")).withColumn("block", block_number(BLOCK_ROWS_LOG2))
     parts = 8 + rows.count() // ROWS_PER_PART
-    asked = rows.groupBy("block").applyInArrow(_ask(parts), _KEYS)
+    asked = map_blocks(rows, _ask(parts), _KEYS)
     found = cut_lineage(asked.groupBy("kind", "part").applyInArrow(_answer(parts, filter_bytes), _FOUND))
     segments = found.filter("block = -1").drop("counts").collect()
     n = sum(r["total_n"] for r in segments if r["kind"] == WORDS)

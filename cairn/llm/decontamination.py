@@ -116,10 +116,10 @@ class TestBlock:
         array = SuffixArray(hashes, words.offsets[1:][doc], self.window)
         low, high = array.ranges(self.words, self.lengths)
         found = high - low
-        place = array.order[_spread(low, found)]
+        place = array.order[spread(low, found)]
         window = np.repeat(np.arange(len(found)), found)
         uses = (self.starts[1:] - self.starts[:-1])[window]
-        use = _spread(self.starts[:-1][window], uses)
+        use = spread(self.starts[:-1][window], uses)
         place, size = np.repeat(place, uses), self.lengths[np.repeat(window, uses)]
         item, first = self.item[use], self.first[use]
         # Neighbouring windows on one diagonal of (document, item) are one longer match.
@@ -134,7 +134,7 @@ class TestBlock:
                 place[last] - place[start] + size[last])
 
 
-def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[i], start[i] + 1, ... count[i] times, one after the other."""
     before = np.cumsum(count) - count
     return np.arange(int(count.sum())) - np.repeat(before - start, count)
