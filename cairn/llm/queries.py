@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bloom_lm, decontamination, mixing, near_dedup, perplexity, pii, rule_ensemble, sharding, suffix_dedup
+from cairn.llm import bloom_lm, decontamination, licenses, mixing, near_dedup, perplexity, pii, rule_ensemble, sharding, suffix_dedup
 
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -83,3 +83,11 @@ def op8_suffix_array_dedup(spark, sf_dir):
     n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return done.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register
+def op7_license_scan(spark, sf_dir):
+    """Documents as files ``source/lang/doc_id``."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.with_licenses(files, "path", ["doc_id"])
