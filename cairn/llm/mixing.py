@@ -170,7 +170,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epoch
     words = F.col("size") * F.col("copies")
     takes = join_blocks(units, slots, words, max_epochs)
     repeats = takes.select(F.col("row_hash").alias("__row"), F.col("key").alias("__key"), F.col("source").alias("__source"),
-                           F.round(F.col("taken") / words).cast("int").alias("__times")).filter("__times > 0")
+                           F.round(F.try_divide("taken", words)).cast("int").alias("__times")).filter("__times > 0")
     rows = docs.withColumn("__hash", F.xxhash64(*map(quoted, columns)))
     return (rows.join(repeats, (F.col("__hash") == F.col("__row")) & F.col(quoted(key)).eqNullSafe(F.col("__key"))
                       & F.col(quoted(source)).eqNullSafe(F.col("__source")))
