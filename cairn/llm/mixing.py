@@ -20,8 +20,8 @@ from cairn.session import cut_lineage
 BLANKS = "\t\n\x0b\f\r "
 #: The schedule has about so many slots whatever the input's size; blocks grow with the input instead.
 SCHEDULE_BITS = 16
-#: A source's documents are put in order in so many independent buckets.
-BUCKET_BITS = 10
+#: A source's documents are put in order in independent buckets, by so many hexadecimal digits.
+BUCKET_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -101,16 +101,16 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inne
 def shuffled_streams(units: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """Units with ``first``, their place in the source's shuffled stream of words, and the targets.
 
-    The order is that of a hash.  Its leading bits make buckets, whose sums are added up per source
-    (at most 2^BUCKET_BITS rows); places within a bucket need only the bucket's rows.
+    The order is that of a digest.  Its leading digits make buckets, whose sums are added up per
+    source (at most 16^BUCKET_DIGITS rows); places within a bucket need only the bucket's rows.
     """
-    order = F.xxhash64(F.lit(seed), "source", "key", "row_hash", "size")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "source", F.col("key").cast("string"), F.col("size").cast("string")))
     words = F.col("size") * F.col("copies")
-    placed = units.withColumn("order", order).withColumn("bucket", F.shiftrightunsigned("order", 64 - BUCKET_BITS))
+    placed = units.withColumn("order", order).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (placed.groupBy("source", "bucket").agg(F.sum(words).alias("bucket_words"))
                .withColumn("bucket_first", F.coalesce(F.sum("bucket_words").over(earlier), F.lit(0))))
-    within = Window.partitionBy("source", "bucket").orderBy("order", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("order", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumn("in_bucket", F.coalesce(F.sum(words).over(within), F.lit(0)))
     return _join(_join(running, buckets, ["source", "bucket"]), targets, ["source"]).select(
         "source", "key", "size", "row_hash", "copies", "source_size", "target",

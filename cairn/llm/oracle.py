@@ -42,6 +42,54 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, link.b
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN size USING (doc_id)"""
 
+#: The schedule covers each source's stream up to its rounded target, so the words taken follow from
+#: the stream alone.
+_OP5 = f"""
+WITH doc AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM doc GROUP BY source),
+weighed AS (
+  SELECT *, 3 * source_size AS cap,
+    [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight FROM src),
+ranked AS (
+  SELECT *, row_number() OVER by_need AS place,
+    (sum(source_size) OVER () - coalesce(sum(cap) OVER (by_need ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / sum(weight) OVER (by_need ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM weighed WINDOW by_need AS (ORDER BY cap / weight, source IS NULL, source)),
+free AS (SELECT min(place) AS place, min_by(rate, place) AS rate FROM ranked WHERE rate * weight < cap),
+plan AS (
+  SELECT source, source_size, CASE WHEN ranked.place >= free.place THEN free.rate * weight ELSE cap::DOUBLE END AS target
+  FROM ranked, free),
+stream AS (
+  SELECT doc.*, source_size, target, (coalesce(sum(size) OVER (PARTITION BY doc.source
+      ORDER BY md5(concat_ws(':', '5', doc.source, doc_id::VARCHAR, size::VARCHAR))
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first
+  FROM doc JOIN plan ON doc.source IS NOT DISTINCT FROM plan.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(size, round(target)::BIGINT - first)) + greatest(0, least(size, round(target)::BIGINT - source_size - first))
+   + greatest(0, least(size, round(target)::BIGINT - 2 * source_size - first)))::BIGINT AS taken
+FROM stream"""
+
+_OP8 = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS s FROM doc, unnest(range(0, len(h) // 2 - 49)) t(p)),
+early AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, p FROM win JOIN early USING (s) WHERE first < doc_id),
+run AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM (
+    SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (
+  SELECT doc_id, n, min(p) AS a, max(p) + 50 AS b, coalesce(lag(max(p) + 50) OVER (PARTITION BY doc_id ORDER BY n), 0) AS before
+  FROM run GROUP BY doc_id, n),
+cut AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM span JOIN doc USING (doc_id) GROUP BY doc_id)
+SELECT doc.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM doc LEFT JOIN cut USING (doc_id)"""
+
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": _OP1, "op6_minhash_near_dedup": _OP6}
+    return {"op1_benchmark_decontamination": _OP1, "op5_source_mixing": _OP5, "op6_minhash_near_dedup": _OP6,
+            "op8_suffix_array_dedup": _OP8}

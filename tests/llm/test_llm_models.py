@@ -239,7 +239,7 @@ def without_repeats(data, length=50):
             if first[text[p:p + length]] < (math.inf if key is None else key):
                 gone[p:p + length] = b"\1" * length
         runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        out[key, len(text), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(text, gone) if not g)).hexdigest()] += 1
+        out[math.inf if key is None else key, len(text), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(text, gone) if not g)).hexdigest()] += 1
     return out
 
 
