@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.words import LOWER, NOT_BLANK, Sums, Words, grams, map_texts, mix, quoted
+from cairn.llm.words import LOWER, NOT_BLANK, Sums, Words, grams, map_texts, mix, quoted, utf8
 from cairn.session import cut_lineage
 
 SHINGLE = 5
@@ -25,6 +25,8 @@ SHINGLE = 5
 BANDS, ROWS = 40, 6
 #: A centre with more members is compared in several tasks.
 MEMBERS_PER_TASK = 4096
+#: Round r of the comparison names up to so many centres to the power r in a bucket.
+CENTERS_GROWTH = 16
 _ROW = "__row"
 
 
@@ -83,13 +85,15 @@ def _sketches(docs: DataFrame, text: str, keep: list[str], n: int, bands: int, r
     def compute(data, offsets, batch):
         sets = shingle_sets(data, offsets, n)
         prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        keys = [band_keys(signature(s, bands * rows), bands, rows) if len(s) else np.zeros(0, np.uint64) for s in sets]
+        signs = [signature(s, bands * rows) if len(s) else np.zeros(0, np.uint64) for s in sets]
+        keys = [band_keys(s, bands, rows) if len(s) else s for s in signs]
         where = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         return [pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()),
+                pa.array([s.astype(np.uint8).tobytes() for s in signs], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(where), pa.array(flat.view(np.int64)))]
 
-    return map_texts(docs, "n_shingles bigint, print binary, bands array<bigint>", compute, text, keep)
+    return map_texts(docs, "n_shingles bigint, print binary, sketch binary, bands array<bigint>", compute, text, keep)
 
 
 def _stored_sets(docs: DataFrame, text: str, nodes: DataFrame, n: int) -> DataFrame:
@@ -101,6 +105,30 @@ def _stored_sets(docs: DataFrame, text: str, nodes: DataFrame, n: int) -> DataFr
     return map_texts(rows.select(F.col(_ROW).alias("node"), text), "set binary", compute, text, ["node"])
 
 
+def _promising(edges: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Edges without those whose signatures are so far apart that no linked pair's would be.
+
+    A byte of each signature value is compared.  The share of equal ones strays from the similarity by
+    its standard error, which small sets bound by their own size; six of them are allowed, so this
+    passes over a link less than once in 10^8 pairs, like the bands.
+    """
+    both = (edges.join(sketches.select(F.col("node").alias("member"), F.col("sketch").alias("sketch_b")), "member")
+            .join(sketches.select(F.col("node").alias("center"), F.col("sketch").alias("sketch_a")), "center")
+            .select("center", "member", "n", "sketch_a", "sketch_b"))
+    least = percent / 100
+
+    def compare(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (utf8(batch.column(i))[0].reshape(batch.num_rows, -1) for i in (3, 4))
+            slots = np.minimum(batch.column(2).to_numpy(), a.shape[1])
+            near = (a == b).mean(axis=1) >= least - 6 * np.sqrt(least * (1 - least) / slots)
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    return both.mapInArrow(compare, "center bigint, member bigint")
+
+
 def _verify(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """The (centre, member) edges whose full sets have 100 * intersection >= percent * union.
 
@@ -162,34 +190,43 @@ def components(edges: DataFrame) -> DataFrame:
         roots.select("node", F.col("node").alias("label")))
 
 
-def _linked(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of all nodes that have a link; buckets has (bucket, node) with two nodes or more."""
-    spark = buckets.sparkSession
-    open_, links, labels = buckets.withColumn("was_center", F.lit(False)), None, None
-    round_ = 0
+def _linked(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of all nodes that have a link; buckets has (bucket, node, n) with two nodes or more.
+
+    Round r names one centre for each of CENTERS_GROWTH^r hash classes of a bucket's members that
+    were none yet.  Buckets whose members are in one component are left out, and so are pairs within
+    a component, so a bucket of similar documents is done after its first centre.
+    """
+    open_ = buckets.select("bucket", "node", "n", F.col("node").alias("label"), F.lit(False).alias("was_center"))
+    links = buckets.sparkSession.createDataFrame([], "a bigint, b bigint")
+    labels, round_ = None, 0
     while True:
-        label = F.coalesce("label", "node") if labels is not None else F.col("node")
-        named = (open_.join(labels, "node", "left") if labels is not None else open_).select("bucket", "node", "was_center", label.alias("label"))
+        turn = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(min(CENTERS_GROWTH ** round_, 1 << 30)))
+        centers = open_.filter("NOT was_center").groupBy("bucket", turn.alias("turn")).agg(F.min("node").alias("center"))
+        centers = centers.join(open_.select("bucket", F.col("node").alias("center"), F.col("label").alias("center_label"),
+                                             F.col("n").alias("center_n")), ["bucket", "center"])
+        # The smaller set must be large enough to be that share of the union.
+        alike = 100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n")
+        edges = (open_.join(centers, "bucket").filter(alike & F.expr("label <> center_label AND node <> center"))
+                 .select("center", F.col("node").alias("member"), F.least("n", "center_n").alias("n")).distinct())
+        edges = cut_lineage(_promising(edges, sketches, percent))
+        if not edges.isEmpty():
+            found = cut_lineage(_verify(sets, edges, percent))
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                labels = cut_lineage(components(links))
+        done = centers.select("bucket", F.col("center").alias("node"), F.lit(True).alias("now"))
+        named = open_.drop("label").join(done, ["bucket", "node"], "left")
+        named = named.withColumn("was_center", F.col("was_center") | F.coalesce("now", F.lit(False))).drop("now")
+        named = named.join(labels, "node", "left") if labels is not None else named.withColumn("label", F.col("node"))
+        named = named.select("bucket", "node", "n", F.coalesce("label", "node").alias("label"), "was_center")
         split = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("was_center").alias("all")) \
             .filter("l <> h AND NOT all").select("bucket")
-        named = cut_lineage(named.join(split, "bucket", "left_semi"))
-        if named.isEmpty():
+        open_ = cut_lineage(named.join(split, "bucket", "left_semi"))
+        if open_.isEmpty():
             break
-        turn = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(1 << min(round_, 30)))
-        centers = named.filter("NOT was_center").groupBy("bucket", turn.alias("turn")).agg(F.min(F.struct("node", "label")).alias("c")) \
-            .select("bucket", F.col("c.node").alias("center"), F.col("c.label").alias("center_label"))
-        centers = cut_lineage(centers)
-        edges = (named.join(centers, "bucket").filter("label <> center_label AND node <> center")
-                 .select("center", F.col("node").alias("member")).distinct())
-        found = _verify(sets, cut_lineage(edges), percent)
-        links = found if links is None else links.unionByName(found)
-        links = cut_lineage(links)
-        labels = cut_lineage(components(links))
-        done = centers.select("bucket", F.col("center").alias("node"), F.lit(True).alias("now"))
-        open_ = named.join(done, ["bucket", "node"], "left").select(
-            "bucket", "node", (F.col("was_center") | F.coalesce("now", F.lit(False))).alias("was_center"))
         round_ += 1
-    return labels if labels is not None else spark.createDataFrame([], "node bigint, label bigint")
+    return labels if labels is not None else links.selectExpr("a AS node", "b AS label")
 
 
 def _classes(docs: DataFrame, text: str, key: str, percent: int, n: int, bands: int, rows: int) -> DataFrame:
@@ -198,12 +235,15 @@ def _classes(docs: DataFrame, text: str, key: str, percent: int, n: int, bands:
     sketches = cut_lineage(_sketches(narrow, "text", [_ROW, "key"], n, bands, rows))
     filled = sketches.filter("n_shingles > 0")
     nodes = cut_lineage(filled.groupBy("print").agg(
-        F.min(_ROW).alias("node"), F.min("key").alias("key"), F.first("bands").alias("bands")))
-    keys = nodes.select("node", F.explode("bands").alias("bucket"))
+        F.min(_ROW).alias("node"), F.min("key").alias("key"), F.first("n_shingles").alias("n"),
+        F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    keys = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     several = keys.groupBy("bucket").agg(F.min("node").alias("l"), F.max("node").alias("h")).filter("l < h").select("bucket")
     buckets = cut_lineage(keys.join(several, "bucket", "left_semi"))
-    sets = cut_lineage(_stored_sets(narrow, "text", buckets.select("node").distinct(), n))
-    labels = _linked(buckets, sets, percent)
+    candidates = buckets.select("node").distinct()
+    compared = cut_lineage(nodes.select("node", "sketch").join(candidates, "node", "left_semi"))
+    sets = cut_lineage(_stored_sets(narrow, "text", candidates, n))
+    labels = _linked(buckets, compared, sets, percent)
     named = nodes.select("print", "node", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = cut_lineage(named.select("print", "key", "label"))
     smallest = named.groupBy("label").agg(F.min("key").alias("component_key"))
