@@ -142,7 +142,7 @@ def run_annotator(rows: DataFrame, annotate: Annotator, partitions: int | None =
             records = []
             for row, answer in zip(batch.itertuples(index=False), answers):
                 if isinstance(answer, Exception):
-                    answer = {"error_kind": type(answer).__name__, "error_reason": str(answer)[:512]}
+                    answer = {"error_kind": type(answer).__name__, "error_reason": str(answer)}
                 records.append({**row._asdict(), "attempt": 1, **answer})
             # Plain object columns: a missing count stays NULL instead of becoming NaN.
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in records], dtype=object) for n in names})
@@ -154,8 +154,7 @@ def failure_rows(responses: DataFrame) -> DataFrame:
     """One unresolved log row per failed text."""
     return responses.filter(F.col("error_kind").isNotNull()).select(
         F.lit("ERROR").alias("level"), F.lit("semantic").alias("stage"),
-        F.substring(F.concat(F.lit("["), "error_kind", F.lit("] "), F.coalesce("error_reason", F.lit(""))), 1, 512)
-        .alias("message"),
+        F.concat(F.lit("["), "error_kind", F.lit("] "), F.coalesce("error_reason", F.lit(""))).alias("message"),
         F.col("comment_id").cast("string").alias("ref_key"), F.lit(0).alias("resolved"),
     )
 
@@ -197,7 +196,7 @@ def annotated_rows(responses: DataFrame, mode: str = "real", rules: Rules = DEFA
         F.transform("aspects", lambda a: a["aspect"]).alias("aspects"), "keywords", "summary",
         "dropped_aspects", "validation_reason",
         F.struct("prompt_tokens", "completion_tokens", "total_tokens").alias("usage"),
-        F.substring("raw_text", 1, 1000).alias("model_raw"),
+        F.col("raw_text").alias("model_raw"),
     ))
     return checked.select(
         "comment_id", "spot_name", "polarity", "intensity", "is_valid", "aspects", "keywords", "summary",

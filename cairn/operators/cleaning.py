@@ -113,18 +113,26 @@ def normalisation_statistics(reviews: DataFrame) -> DataFrame:
     )
 
 
-def step_counters(raw: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Input / output / dropped / abnormal per cleaning step, as one table."""
-    _, rejected = split_by_date(raw)
-    parts = (
-        raw.agg(F.count(F.lit(1)).alias("n")).select(F.lit("read").alias("stage"), "n"),
-        rejected.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("stage"), "n"),
-        reviews.agg(F.count(F.lit(1)).alias("n")).select(F.lit("clean").alias("stage"), "n"),
-        reviews.agg(F.count_if((F.col("is_low_info") == 0) & (F.col("is_dup_content") == 0)).alias("n"))
-        .select(F.lit("usable").alias("stage"), "n"),
-    )
-    counts = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    wide = counts.groupBy().pivot("stage", ["read", "rejected", "clean", "usable"]).agg(F.first("n"))
+def step_counters(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """Input / output / dropped / abnormal per cleaning step, as one table.
+
+    The texts are read once: rows, rejected and short ones are conditional counts, and a duplicate
+    is a surplus row of a (digest, short) group, combined before the shuffle.
+    """
+    checked = raw.select(
+        (parse_day(F.col("publish_date")).isNotNull() & strip(F.col("comment_id")).try_cast("bigint").isNotNull()).alias("good"),
+        F.nullif(strip(F.coalesce("content", F.lit(""))), F.lit("")).alias("text"))
+    size = F.length("text")
+    digests = checked.select(
+        "good", F.sha2("text", 256).alias("digest"),
+        (F.coalesce(size, F.lit(0)).between(1, rules.low_info_max_chars)).alias("low")
+    ).groupBy("good", "digest", "low").agg(F.count(F.lit(1)).alias("n"))
+    usable = F.col("good") & ~F.col("low") & (F.col("digest").isNull() | (F.col("n") == 1))
+    wide = digests.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("read"),
+        F.coalesce(F.sum(F.when(~F.col("good"), F.col("n"))), F.lit(0)).alias("rejected"),
+        F.coalesce(F.sum(F.when(F.col("good"), F.col("n"))), F.lit(0)).alias("clean"),
+        F.coalesce(F.sum(F.when(usable, F.col("n"))), F.lit(0)).alias("usable"))
     steps = F.array(
         _step("read source", "read", "read", F.lit(0)),
         _step("normalise fields", "read", "clean", F.col("rejected")),

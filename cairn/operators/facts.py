@@ -12,32 +12,40 @@ from cairn.operators.opinions import aspect_statistics, sentiment_distribution
 from cairn.rules import DEFAULT_RULES, POLARITIES, Rules
 
 
+#: A key's rows are ranked in so many parts before they meet.
+PARTS = 64
+
+
 def _top(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank_no") -> DataFrame:
-    """N rows per key.  The rank filter directly above the window lets Spark keep only the
-    first n rows per key in every task before the shuffle, so a hot key costs n rows per task."""
-    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
+    """N rows per key, by rank within (key, part of the ids) and then within the key.
+
+    The first rank spreads a hot key over PARTS tasks; n rows of each part remain for the second.
+    """
+    part = F.pmod(F.xxhash64("comment_id"), F.lit(PARTS))
+    first = df.withColumn("_part", part).withColumn(
+        "_rank", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))).filter(F.col("_rank") <= n)
+    return first.drop("_part", "_rank").withColumn(
+        rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
 
 
 def representative_reviews(reviews: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Up to five positive and negative texts per entity.
 
-    A pool of 400 by likes first, then texts of preferred length, likes, id.
+    Texts of preferred length come first, then likes, then the smaller id.  Only ids are ranked; the
+    texts are joined to the few that are picked.
     """
     score = F.col("score")
     side = F.when(score >= 4, "positive").when(score <= 2, "negative")
     usable = reviews.filter(
         (F.col("is_low_info") == 0) & (F.col("is_dup_content") == 0) & F.col("content").isNotNull()
-    ).select("spot_name", side.alias("side"), "comment_id",
-             F.substring("content", 1, rules.excerpt_chars).alias("content"),
-             "content_length", "like_count", "score").filter(F.col("side").isNotNull())
-    pool = _top(usable, ["spot_name", "side"],
-                [F.desc("like_count"), F.desc("content_length"), F.asc("comment_id")],
-                rules.representative_pool, "pool_rank")
+    ).select("spot_name", side.alias("side"), "comment_id", "content_length", "like_count", "score").filter(F.col("side").isNotNull())
     low, high = rules.representative_chars
     preferred = F.when(F.col("content_length").between(low, high), 0).otherwise(1)
-    picked = _top(pool, ["spot_name", "side"], [preferred, F.desc("like_count"), F.asc("comment_id")],
+    picked = _top(usable, ["spot_name", "side"], [preferred, F.desc("like_count"), F.asc("comment_id")],
                   rules.representative_max)
-    return picked.drop("pool_rank", "content_length")
+    texts = reviews.select("comment_id", F.substring("content", 1, rules.excerpt_chars).alias("content"))
+    return picked.drop("content_length").join(texts, "comment_id").select(
+        "spot_name", "side", "comment_id", "content", "like_count", "score", "rank_no")
 
 
 def voices(reviews: DataFrame, aspects: DataFrame, limit: int = 5, skip_low_info: bool = False,
@@ -48,8 +56,7 @@ def voices(reviews: DataFrame, aspects: DataFrame, limit: int = 5, skip_low_info
     usable = reviews.filter(F.coalesce(strip(F.col("content")), F.lit("")) != "")
     if skip_low_info:  # the page-side rule (F7)
         usable = usable.filter((F.col("is_low_info") == 0) & (F.col("is_dup_content") == 0))
-    rows = usable.select("spot_name", group.alias("voice"), "comment_id", "content", "score", "like_count",
-                         "publish_date", "content_length", "is_low_info", "is_dup_content")
+    rows = usable.select("spot_name", group.alias("voice"), "comment_id", "like_count", "content_length", "is_dup_content")
     picked = _top(rows.filter(F.col("voice").isNotNull()), ["spot_name", "voice"],
                   [F.asc("is_dup_content"), F.desc("like_count"), F.desc("content_length"), F.asc("comment_id")],
                   limit)
@@ -58,7 +65,8 @@ def voices(reviews: DataFrame, aspects: DataFrame, limit: int = 5, skip_low_info
         .join(picked.select("comment_id"), "comment_id", "left_semi")
         .groupBy("comment_id").agg(F.slice(F.array_sort(F.collect_set("aspect_name")), 1, 3).alias("topics"))
     )
-    return picked.join(tags, "comment_id", "left").withColumn(
+    shown = reviews.select("comment_id", "content", "score", "publish_date", "is_low_info")
+    return picked.join(shown, "comment_id").join(tags, "comment_id", "left").withColumn(
         "topics", F.coalesce("topics", F.array().cast("array<string>"))
     )
 

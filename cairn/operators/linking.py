@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from cairn.functions.text import strip
 
 MIN_NAME, MIN_PREFIX = 2, 3
-MAX_QUESTION = 200
 _NOT_FOUND = 10**6
 
 _SPAN = "array<struct<token:string,spot_name:string,s:int,e:int>>"
@@ -49,12 +48,14 @@ def name_prefixes(spots: DataFrame) -> DataFrame:
 
 
 def question_text() -> Column:
-    return F.substring(strip(F.coalesce("question", F.lit(""))), 1, MAX_QUESTION)
+    return strip(F.coalesce("question", F.lit("")))
 
 
 def matched_prefixes(questions: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(question_id, text, prefix): the name prefixes that occur in each question."""
     text = F.col("text")
+    # No prefix is longer than the longest name, which bounds the growth at each position.
+    longest = prefixes.agg(F.max(F.length("prefix"))).first()[0] or MIN_PREFIX
     starts = questions.select("question_id", question_text().alias("text")).filter(F.length("text") >= MIN_NAME).select(
         "question_id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - MIN_NAME + 1)).alias("at")
     )
@@ -69,7 +70,7 @@ def matched_prefixes(questions: DataFrame, prefixes: DataFrame) -> DataFrame:
         "question_id", "text",
         F.explode(F.when(F.col("size") < MIN_PREFIX, F.array(F.substr(text, F.col("at"), F.col("size")))).otherwise(
             F.transform(
-                F.sequence(F.lit(MIN_PREFIX), F.length(text) - F.col("at") + 1),
+                F.sequence(F.lit(MIN_PREFIX), F.least(F.length(text) - F.col("at") + 1, F.lit(longest))),
                 lambda n: F.substr(text, F.col("at"), n),
             )
         )).alias("prefix"),
@@ -97,7 +98,7 @@ def link_entities(questions: DataFrame, spots: DataFrame, limit: int = 5) -> Dat
     """(question_id, spot_name, mention_no): non-overlapping mentions in reading order.
 
     Priority is whole name, longer token, more reviews, earlier position; a token that touches an
-    accepted span is skipped.  The fold runs over the tokens of one question (at most 200 characters).
+    accepted span is skipped.  The fold runs over the distinct tokens of one question.
     """
     found = mention_candidates(questions, spots)
     start = F.instr("text", F.col("token"))

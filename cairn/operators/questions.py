@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairn.functions.binding import let
 from cairn.functions.skew import key_sizes, salted_lookup_join
 from cairn.functions.text import contains_any, strip
-from cairn.operators.linking import MAX_QUESTION, link_entities
+from cairn.operators.linking import link_entities, question_text
 from cairn.operators.numbers import numbers_in
 from cairn.operators.opinions import aspect_statistics, sentiment_distribution
 from cairn.operators.statistics import score_distribution
@@ -34,8 +34,7 @@ def question_type(text: Column) -> Column:
 
 def classify(questions: DataFrame) -> DataFrame:
     """(question_id, text, question_type)."""
-    text = F.substring(strip(F.coalesce("question", F.lit(""))), 1, MAX_QUESTION)
-    both = let(text, lambda t: F.struct(t.alias("text"), question_type(t).alias("question_type")))
+    both = let(question_text(), lambda t: F.struct(t.alias("text"), question_type(t).alias("question_type")))
     return questions.select("question_id", both.alias("q")).select("question_id", "q.text", "q.question_type")
 
 

@@ -36,8 +36,7 @@ def spot_statistics(reviews: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFra
         F.count_if(valid_region()).alias("valid_ip_sample"),
         F.min("publish_date").alias("first_comment_date"),
         F.max("publish_date").alias("last_comment_date"),
-        F.first(F.lit(rules.stat_version)).alias("stat_version"),
-    )
+    ).withColumn("stat_version", F.lit(rules.stat_version))
 
 
 def time_statistics(reviews: DataFrame, spot_months: bool = False, rules: Rules = DEFAULT_RULES) -> DataFrame:

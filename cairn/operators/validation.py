@@ -97,10 +97,8 @@ def _checked_response(raw_text: Column, content: Column, rules: Rules) -> Column
             accepted = F.transform(F.filter(pairs, lambda z: z["reason"] == ""), lambda z: F.struct(
                 z["c"]["name"].alias("aspect"), z["c"]["polarity"].alias("polarity"), z["c"]["evidence"].alias("evidence")))
             rejected = F.transform(F.filter(pairs, lambda z: z["reason"] != ""), lambda z: F.struct(
-                F.substring(F.when(z["reason"] == "not_an_object", z["c"]["item"]).otherwise(z["c"]["name"]), 1, 32)
-                .alias("aspect"),
-                F.when(z["reason"] == "evidence_not_in_text", F.substring(z["c"]["full"], 1, 60)).otherwise("")
-                .alias("evidence"),
+                F.when(z["reason"] == "not_an_object", z["c"]["item"]).otherwise(z["c"]["name"]).alias("aspect"),
+                F.when(z["reason"] == "evidence_not_in_text", z["c"]["full"]).otherwise("").alias("evidence"),
                 z["reason"].alias("reason")))
             no_list = given.isNotNull() & ~strip(given).startswith("[")
             return F.struct(accepted.cast(ASPECT_TYPE).alias("accepted"),

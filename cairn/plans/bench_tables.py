@@ -14,7 +14,7 @@ from cairn.sources.star import BENCH_RULES
 
 
 class BenchTables:
-    """Each property is a plan; nothing runs until a query's result is used."""
+    """Each property is a plan; those that are stored run when they are first used."""
 
     rules = BENCH_RULES
 
@@ -28,6 +28,10 @@ class BenchTables:
     def raw(self) -> DataFrame:
         return star.raw_reviews(self.spark, self.sf_dir)
 
+    @cached_property
+    def raw_with_bad_dates(self) -> DataFrame:
+        return star.raw_reviews(self.spark, self.sf_dir, bad_dates=True)
+
     @cached_property
     def clean(self) -> DataFrame:
         return cleaning.clean_reviews(self.raw, self.rules)

@@ -84,12 +84,12 @@ def clean_reviews(t):  # P1-P14
 
 @register
 def rejected_reviews(t):  # P7
-    return cleaning.split_by_date(t.raw)[1].select("comment_id", "publish_date")
+    return cleaning.split_by_date(t.raw_with_bad_dates)[1].select("comment_id", "publish_date")
 
 
 @register
 def cleaning_steps(t):  # Q10 P28
-    return cleaning.step_counters(t.raw, t.reviews).drop("detail_json")
+    return cleaning.step_counters(t.raw_with_bad_dates, t.rules).drop("detail_json")
 
 
 @register
@@ -361,32 +361,28 @@ def reused_results(t):  # M11 J10
         F.get_json_object("raw_json", "$.reused_from_comment_id").cast("bigint").alias("reused_from"))
 
 
-def word_count_annotator(max_chars: int = 20000):
-    """Answers with the word count; longer texts are refused."""
+def shouting_annotator():
+    """Answers with the word count; a text without a small letter is refused."""
     def annotate(texts):
-        out = []
-        for text in texts:
-            if text is not None and len(text) > max_chars:
-                out.append(ValueError("text too long"))
-            else:
-                words = len((text or "").split())
-                out.append({"raw_text": str(words), "prompt_tokens": words, "completion_tokens": 1,
-                            "total_tokens": words + 1})
-        return out
+        words = texts.fillna("").str.split().str.len()
+        refused = texts.fillna("").str.upper() == texts.fillna("")
+        return [ValueError("no small letter") if bad else
+                {"raw_text": str(n), "prompt_tokens": n, "completion_tokens": 1, "total_tokens": n + 1}
+                for n, bad in zip(words.tolist(), refused.tolist())]
 
     return annotate
 
 
 @register
 def annotator_job(t):  # M5
-    return annotation.run_annotator(t.clean, word_count_annotator()).select(
+    return annotation.run_annotator(t.clean, shouting_annotator()).select(
         "comment_id", "attempt", "error_kind", F.length("error_reason").alias("reason_length"),
         (F.col("total_tokens") > 1).alias("has_tokens"))
 
 
 @register
 def annotator_failures(t):  # M12
-    return annotation.failure_rows(annotation.run_annotator(t.clean, word_count_annotator()))
+    return annotation.failure_rows(annotation.run_annotator(t.clean, shouting_annotator()))
 
 
 @register
@@ -874,7 +870,7 @@ def entity_topics(t):  # T17 T16
 
 @register
 def topics_shown(t):  # T19 T15 J11
-    counts = topics.term_counts(t.features, t.spots.filter(F.col("source_scope") == "route"), t.rules)
+    counts = topics.term_counts(t.features, t.spots, t.rules)
     docs, terms = topics.fit_per_entity(counts, t.rules)
     model, vectors = _vectors(t)
     fitted = topics.fit_global(vectors, t.rules)

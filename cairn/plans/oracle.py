@@ -102,13 +102,13 @@ clean AS (
     trim(c_name) AS user_nick, floor(o_totalprice / 1000)::BIGINT AS like_count, (doc_id % 3)::INT AS image_count,
     CASE WHEN doc_id % 3 <> 0 THEN 'img/' || doc_id END AS image_urls,
     (length(trim(text, {WS})) BETWEEN 1 AND {R.low_info_max_chars})::INT AS is_low_info
-  FROM raw WHERE doc_id % 97 <> 5),
+  FROM raw),
 lines AS (
   SELECT 's' || l_suppkey AS spot_name, CASE WHEN l_tax <> 0.08 THEN (floor((l_quantity - 1) / 10) + 1)::INT END AS score,
     l_shipdate::DATE AS publish_date, CASE WHEN l_shipdate >= DATE '{R.origin_cutoff}' THEN n_name END AS ip_province,
     l_quantity::BIGINT AS like_count, l_linenumber % 3 AS image_count, (l_discount = 0)::INT AS is_low_info
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
-  JOIN nation ON n_nationkey = c_nationkey),
+  FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey
+  LEFT JOIN nation ON n_nationkey = c_nationkey),
 flagged AS (
   SELECT *, (dup_group_id IS NOT NULL)::INT AS is_dup_content FROM (
     SELECT *, CASE WHEN content IS NOT NULL AND count(*) OVER (PARTITION BY content) > 1
@@ -181,10 +181,9 @@ reports AS (
 representatives AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spot_name, side ORDER BY
       CASE WHEN content_length BETWEEN 30 AND 200 THEN 0 ELSE 1 END, like_count DESC, comment_id) AS rank_no FROM (
-    SELECT *, row_number() OVER (PARTITION BY spot_name, side ORDER BY like_count DESC, content_length DESC, comment_id) AS pool
-    FROM (SELECT *, CASE WHEN score >= 4 THEN 'positive' WHEN score <= 2 THEN 'negative' END AS side FROM flagged
+    SELECT *, CASE WHEN score >= 4 THEN 'positive' WHEN score <= 2 THEN 'negative' END AS side FROM flagged
       WHERE is_low_info = 0 AND is_dup_content = 0 AND content IS NOT NULL)
-    WHERE side IS NOT NULL) WHERE pool <= 400) WHERE rank_no <= 5),
+    WHERE side IS NOT NULL) WHERE rank_no <= 5),
 pairs AS (
   SELECT spot_name AS spot_a, 'src' || CASE WHEN substr(spot_name, 4)::INT = 3 THEN 3 ELSE (substr(spot_name, 4)::INT + 1) % 20 END AS spot_b
   FROM spots),
@@ -218,8 +217,9 @@ _one = {
                    "count(*) FILTER (is_low_info = 1) AS low_info_count FROM lines",
     "clean_reviews": "SELECT * REPLACE (md5(content) AS content) FROM clean",
     "rejected_reviews": "SELECT doc_id::VARCHAR AS comment_id, '1998-13-45' AS publish_date FROM raw WHERE doc_id % 97 = 5",
-    "cleaning_steps": """SELECT s.* FROM (SELECT (SELECT count(*) FROM raw) AS r, (SELECT count(*) FROM clean) AS c,
-          (SELECT count(*) FROM flagged WHERE is_low_info = 0 AND is_dup_content = 0) AS u),
+    "cleaning_steps": """SELECT s.* FROM (SELECT (SELECT count(*) FROM raw) AS r, (SELECT count(*) FROM clean WHERE comment_id % 97 <> 5) AS c,
+          (SELECT count(*) FROM (SELECT *, count(*) OVER (PARTITION BY content) AS n FROM clean WHERE comment_id % 97 <> 5)
+           WHERE is_low_info = 0 AND (content IS NULL OR n = 1)) AS u),
         LATERAL (SELECT 'read source' AS stage, r AS input_count, r AS output_count, 0::BIGINT AS dropped_count, 0::BIGINT AS abnormal_count
           UNION ALL SELECT 'normalise fields', r, c, r - c, r - c
           UNION ALL SELECT 'mark duplicates and short texts', c, c, 0, 0
@@ -315,17 +315,18 @@ _one = {
     "aspect_rows": "SELECT comment_id, spot_name, aspect_name, polarity, md5(evidence) AS evidence_md5 FROM aspects",
     "semantic_rows": "SELECT comment_id, spot_name, md5(keywords) AS keywords_md5, md5(summary) AS summary_md5, source FROM ann",
     "reused_results": "SELECT comment_id, spot_name, polarity, intensity, representative_id AS reused_from FROM ann WHERE layer = 'reuse'",
-    "annotator_job": """SELECT comment_id, 1 AS attempt, CASE WHEN content_length > 20000 THEN 'ValueError' END AS error_kind,
-        CASE WHEN content_length > 20000 THEN 13 END AS reason_length, CASE WHEN content_length <= 20000 THEN content IS NOT NULL END AS has_tokens FROM clean""",
-    "annotator_failures": """SELECT 'ERROR' AS level, 'semantic' AS stage, '[ValueError] text too long' AS message,
-        comment_id::VARCHAR AS ref_key, 0 AS resolved FROM clean WHERE content_length > 20000""",
+    "annotator_job": """SELECT comment_id, 1 AS attempt, CASE WHEN bad THEN 'ValueError' END AS error_kind,
+        CASE WHEN bad THEN 15 END AS reason_length, CASE WHEN NOT bad THEN true END AS has_tokens
+        FROM (SELECT comment_id, upper(coalesce(content, '')) = coalesce(content, '') AS bad FROM clean)""",
+    "annotator_failures": """SELECT 'ERROR' AS level, 'semantic' AS stage, '[ValueError] no small letter' AS message,
+        comment_id::VARCHAR AS ref_key, 0 AS resolved FROM clean WHERE upper(coalesce(content, '')) = coalesce(content, '')""",
     "merged_calls": """SELECT conv_id AS comment_id, md5(arg_max(text, turn)) AS raw_text, count(*) AS calls, sum(turn % 4 + 1)::BIGINT AS attempts,
         sum(length(text))::BIGINT AS prompt_tokens, sum(length(text) // 2)::BIGINT AS completion_tokens,
-        sum(length(text) + length(text) // 2)::BIGINT AS total_tokens FROM conversations WHERE role = 'assistant' GROUP BY conv_id""",
+        sum(length(text) + length(text) // 2)::BIGINT AS total_tokens FROM conversations GROUP BY conv_id""",
     "call_statistics": """SELECT CASE WHEN length(text) % 7 = 0 THEN 'timeout' WHEN length(text) % 11 = 0 THEN 'server' ELSE 'ok' END AS outcome,
         count(*) AS requests, sum(turn % 4 + 1)::BIGINT AS attempts, (sum(turn % 4 + 1) - count(*))::BIGINT AS retries,
         sum(length(text))::BIGINT AS prompt_tokens, sum(length(text) // 2)::BIGINT AS completion_tokens,
-        sum(length(text) + length(text) // 2)::BIGINT AS total_tokens FROM conversations WHERE role = 'assistant' GROUP BY 1""",
+        sum(length(text) + length(text) // 2)::BIGINT AS total_tokens FROM conversations GROUP BY 1""",
     "sentiment_distribution": f"SELECT spot_name, 'annotated' AS method, sample_size, positive_n, neutral_n, negative_n, "
         f"{_rates['positive']} AS positive_rate, {_rates['neutral']} AS neutral_rate, {_rates['negative']} AS negative_rate FROM moods",
     "method_coverage": "SELECT 'annotated' AS method, count(*) AS n FROM ann",

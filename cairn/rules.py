@@ -111,7 +111,6 @@ class Rules:
     summary_chars: int = 40
 
     representative_max: int = 5
-    representative_pool: int = 400
     representative_chars: tuple[int, int] = (30, 200)
     excerpt_chars: int = 300
     intro_chars: int = 200
@@ -120,7 +119,6 @@ class Rules:
     topics: int = 5
     topic_iterations: int = 20
     topic_words: int = 10
-    small_sample_docs: int = 10_000
     min_df: float = 2.0
 
     hot_key_rows: int = 1_000_000              # a key with more fact rows is split over tasks

@@ -1,7 +1,7 @@
 """Reviews, entities, questions and logs derived from the bench tables.
 
 The derived rows deliberately carry what the cleaning rules have to deal with: padded names,
-missing scores, an impossible date, unknown and foreign origins, phone fields with page residue.
+missing scores, unknown and foreign origins, phone fields with page residue.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ BENCH_RULES = Rules(
     origin_cutoff="1998-06-01",
     full_evaluation_min=20,
     low_info_max_chars=40,
-    hot_key_rows=3,
     domestic_regions=tuple(f"NATION_{i}" for i in range(15)),
     positive_words=("with", "tion", "eau", "heit", "ción"),
     negative_words=("whst", "oth", "oui", "ung", "rra"),
@@ -39,8 +38,8 @@ def _score() -> Column:
     )
 
 
-def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 15 source columns, all text, one row per document."""
+def raw_reviews(spark: SparkSession, sf_dir: str, bad_dates: bool = False) -> DataFrame:
+    """The 15 source columns, all text, one row per document; with ``bad_dates`` some dates do not exist."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     labels = table(spark, sf_dir, "labels")
     orders = table(spark, sf_dir, "orders").select(
@@ -59,7 +58,9 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     score = _score()
     desc = F.get(F.array(*[F.lit(x) for x in SCORE_LABELS]), score - 1)
-    date = F.when(d % 97 == 5, F.lit("1998-13-45")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    if bad_dates:
+        date = F.when(d % 97 == 5, F.lit("1998-13-45")).otherwise(date)
     origin = F.when(d % 11 == 0, F.lit("未知")).otherwise(F.concat(F.col("n_name"), F.lit("\u3000")))
     address = F.when(d % 4 == 0, F.lit("")).otherwise(
         F.concat(F.lit("No. "), (d % 3).cast("string"), F.lit(" \n"), "source", F.lit("\u3000Road "))
@@ -108,7 +109,7 @@ def line_reviews(spark: SparkSession, sf_dir: str, rules: Rules = BENCH_RULES) -
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     date = F.col("l_shipdate").cast("date")
     return (
-        items.join(orders, "l_orderkey").join(customer, "o_custkey").join(nation, "c_nationkey")
+        items.join(orders, "l_orderkey", "left").join(customer, "o_custkey", "left").join(nation, "c_nationkey", "left")
         .select(
             F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("spot_name"),
             F.when(F.col("l_tax") != 0.08, (F.floor((F.col("l_quantity") - 1) / 10) + 1).cast("int")).alias("score"),
@@ -169,10 +170,10 @@ def task_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotator call stand-in: one call per conversation turn (odd turns are answers)."""
+    """Annotator call stand-in: one call per conversation turn."""
     c = table(spark, sf_dir, "conversations")
     size = F.length("text").cast("bigint")
-    return c.filter(F.col("role") == "assistant").select(
+    return c.select(
         F.col("conv_id").alias("comment_id"), F.col("turn").alias("attempt"),
         F.col("text").alias("raw_text"),
         size.alias("prompt_tokens"), F.floor(size / 2).alias("completion_tokens"),
