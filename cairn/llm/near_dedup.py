@@ -1,10 +1,10 @@
 """Near-duplicates by one-permutation MinHash, banded buckets and star-shaped candidates (operator 6).
 
 Documents with equal shingle sets are one node, so a group of exact copies costs one node.  A bucket
-names one centre, and every member is compared with it on full sets; only buckets that still hold
-several components name further centres, twice as many in each round, until no bucket has a member
-that is not a centre.  So no pair is lost to the choice of a centre, and a group is never paired
-with itself.
+names as its centre the member that shares most buckets with others, and every member is compared
+with it on full sets.  Buckets that then still hold several components are compared once more: all
+through if they are small, else with eight further centres.  Two texts that are both far from every
+centre of all their large buckets meet in the small buckets of the changes they share.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ SHINGLE = 5
 BANDS, ROWS = 40, 6
 #: A centre with more members is compared in several tasks.
 MEMBERS_PER_TASK = 4096
-#: Round r of the comparison names up to so many centres to the power r in a bucket.
-CENTERS_GROWTH = 16
+#: Buckets of up to so many members are compared all through, larger ones with so many centres.
+SMALL_BUCKET, CENTERS = 8, 8
 _ROW = "__row"
 
 
@@ -190,43 +190,50 @@ def components(edges: DataFrame) -> DataFrame:
         roots.select("node", F.col("node").alias("label")))
 
 
+def _with_popularity(buckets: DataFrame) -> DataFrame:
+    """Bucket rows with the bucket's size and the node's popularity, the sum of its buckets' sizes.
+
+    Of the copies of one text, the one nearest to all others shares most buckets with them.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    sized = buckets.join(sizes, "bucket")
+    popular = sized.groupBy("node").agg(F.sum("size").alias("popularity"))
+    return sized.join(popular, "node")
+
+
+def _tested(rows: DataFrame, centers: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the centres of each bucket and its members of other components."""
+    named = centers.join(rows.select("bucket", F.col("node").alias("center"), F.col("label").alias("center_label"),
+                                     F.col("n").alias("center_n")), ["bucket", "center"])
+    # The smaller set must be large enough to be that share of the union.
+    alike = 100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n")
+    edges = (rows.join(named, "bucket").filter(alike & F.expr("label <> center_label AND node <> center"))
+             .select("center", F.col("node").alias("member"), F.least("n", "center_n").alias("n")).distinct())
+    edges = cut_lineage(_promising(edges, sketches, percent))
+    return cut_lineage(_verify(sets, edges, percent))
+
+
 def _linked(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all nodes that have a link; buckets has (bucket, node, n) with two nodes or more.
 
-    Round r names one centre for each of CENTERS_GROWTH^r hash classes of a bucket's members that
-    were none yet.  Buckets whose members are in one component are left out, and so are pairs within
-    a component, so a bucket of similar documents is done after its first centre.
+    First every member is compared with its bucket's most popular one.  Then the buckets that hold
+    several components are compared again: small ones all through, larger ones with the most popular
+    member of each of CENTERS hash classes.  So a group of k gives about k edges a bucket and centre.
     """
-    open_ = buckets.select("bucket", "node", "n", F.col("node").alias("label"), F.lit(False).alias("was_center"))
-    links = buckets.sparkSession.createDataFrame([], "a bigint, b bigint")
-    labels, round_ = None, 0
-    while True:
-        turn = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(min(CENTERS_GROWTH ** round_, 1 << 30)))
-        centers = open_.filter("NOT was_center").groupBy("bucket", turn.alias("turn")).agg(F.min("node").alias("center"))
-        centers = centers.join(open_.select("bucket", F.col("node").alias("center"), F.col("label").alias("center_label"),
-                                             F.col("n").alias("center_n")), ["bucket", "center"])
-        # The smaller set must be large enough to be that share of the union.
-        alike = 100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n")
-        edges = (open_.join(centers, "bucket").filter(alike & F.expr("label <> center_label AND node <> center"))
-                 .select("center", F.col("node").alias("member"), F.least("n", "center_n").alias("n")).distinct())
-        edges = cut_lineage(_promising(edges, sketches, percent))
-        if not edges.isEmpty():
-            found = cut_lineage(_verify(sets, edges, percent))
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                labels = cut_lineage(components(links))
-        done = centers.select("bucket", F.col("center").alias("node"), F.lit(True).alias("now"))
-        named = open_.drop("label").join(done, ["bucket", "node"], "left")
-        named = named.withColumn("was_center", F.col("was_center") | F.coalesce("now", F.lit(False))).drop("now")
-        named = named.join(labels, "node", "left") if labels is not None else named.withColumn("label", F.col("node"))
-        named = named.select("bucket", "node", "n", F.coalesce("label", "node").alias("label"), "was_center")
-        split = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("was_center").alias("all")) \
-            .filter("l <> h AND NOT all").select("bucket")
-        open_ = cut_lineage(named.join(split, "bucket", "left_semi"))
-        if open_.isEmpty():
-            break
-        round_ += 1
-    return labels if labels is not None else links.selectExpr("a AS node", "b AS label")
+    rows = cut_lineage(_with_popularity(buckets).withColumn("label", F.col("node")))
+    top = F.max(F.struct("popularity", "node"))
+    centers = rows.groupBy("bucket").agg(top.alias("c")).select("bucket", F.col("c.node").alias("center"))
+    links = _tested(rows, centers, sketches, sets, percent)
+    labels = cut_lineage(components(links))
+    named = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("bucket")
+    open_ = cut_lineage(named.join(split, "bucket", "left_semi"))
+    few = open_.filter(F.col("size") <= SMALL_BUCKET).select("bucket", F.col("node").alias("center"))
+    turn = F.pmod(F.xxhash64("node"), F.lit(CENTERS))
+    many = (open_.filter(F.col("size") > SMALL_BUCKET).groupBy("bucket", turn.alias("turn")).agg(top.alias("c"))
+            .select("bucket", F.col("c.node").alias("center")))
+    more = _tested(open_, few.unionByName(many), sketches, sets, percent)
+    return components(links.unionByName(more))
 
 
 def _classes(docs: DataFrame, text: str, key: str, percent: int, n: int, bands: int, rows: int) -> DataFrame:
