@@ -281,6 +281,10 @@ def find_personal_data(docs: DataFrame, text: str = "text", certain: float = CER
     return map_texts(docs, f"base {struct}, spans {struct}", compute, text, keep)
 
 
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def joined(spans: str) -> Column:
     """``kind:start:end`` of every span, by kind as listed and start, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -73,7 +73,7 @@ def op3_bloom_lm_scoring(spark, sf_dir):
 @_register
 def op10_skip_chain_pii(spark, sf_dir):
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
 
 

@@ -29,6 +29,8 @@ from cairn.session import cut_lineage
 
 LENGTH, GRAM = 50, 20
 BLOCK_ROWS_LOG2 = 11
+#: Anchors are looked for in slices of about so many bytes; each byte takes some 100 bytes of memory.
+SLICE_BYTES = 1 << 19
 ROWS_PER_PART = 2048
 #: An anchor with more different surroundings has its windows dealt one by one.
 MANY_SURROUNDINGS = 4096
@@ -84,7 +86,7 @@ class Block:
         self.key = table["key"].fill_null(NO_KEY).to_numpy().astype(np.int64)
         found, at, row = [], 0, 0
         for batch in table.combine_chunks().to_batches():
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", SLICE_BYTES):
                 data, offsets = utf8(part.column(part.schema.get_field_index("text")))
                 h, around, start, stop, doc = anchors(data, offsets, length, gram)
                 found.append((h, around, start + at, stop + at, doc + row))
