@@ -1,4 +1,4 @@
-"""Work layers, rule labels, stub annotator and annotation tables."""
+"""Work layers, rule labels, reading annotator and annotation tables."""
 
 from __future__ import annotations
 
@@ -43,6 +43,11 @@ def pending_work(layered: DataFrame, sentiment: DataFrame, rules: Rules = DEFAUL
     return layered.filter(F.col("layer") != EXCLUDED).join(done, "comment_id", "left_anti")
 
 
+def not_in(rows: DataFrame, excluded: DataFrame, key: str, other: str) -> DataFrame:
+    """Rows whose key is in no row of the other table; a null there excludes nothing."""
+    return rows.join(excluded.select(F.col(other).alias(key)).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
 def layer_totals(layered: DataFrame, sentiment: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Per layer total, done and pending; pending must equal total minus done."""
     done = sentiment.filter(F.col("method") == rules.annotated_method).select(
@@ -75,39 +80,32 @@ def rule_labels(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     )
 
 
-# --- stub annotator --------------------------------------------------------------------------------
-
-def hex_mod15(digest: Column) -> Column:
-    """A 128-bit hex digest modulo 15: 16 is 1 modulo 15, so hex chunks may be summed."""
-    chunks = [F.conv(F.substring(digest, at, size), 16, 10).cast("bigint") % 15
-              for at, size in ((1, 15), (16, 15), (31, 2))]
-    return (chunks[0] + chunks[1] + chunks[2]) % 15
-
-
-def hex_is_odd(digest: Column) -> Column:
-    return F.conv(F.substring(digest, 32, 1), 16, 10).cast("int") % 2
+# --- reading annotator -----------------------------------------------------------------------------
 
+def read_responses(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """M4: an annotator that reads the text by the word lists, in the shape of any other one.
 
-def stub_responses(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """M4: a deterministic annotator for tests: the text's digest decides, evidence is its head."""
-    # Staged columns: the text and its digest are used many times and computed once.
-    stripped = strip(F.coalesce("content", F.lit("")))
-    staged = rows.select("comment_id", "spot_name", "content", F.coalesce(
-        F.nullif(stripped, F.lit("")), F.lit("内容缺失")).alias("_t"))
-    staged = staged.withColumn("_d", F.md5(F.col("_t").cast("binary")))
-    staged = staged.withColumns({"_r15": hex_mod15(F.col("_d")), "_odd": hex_is_odd(F.col("_d"))})
-    text, r15 = F.col("_t"), F.col("_r15")
-    polarity = F.element_at(F.array(*[F.lit(p) for p in POLARITIES]), (r15 % 3 + 1).cast("int"))
-    # d mod 10 from d mod 5 and d mod 2 (6*1 is 1 mod 5 and 0 mod 2; 5 is 0 mod 5 and 1 mod 2).
-    r10 = (6 * (r15 % 5) + 5 * F.col("_odd")) % 10
-    aspect = F.element_at(F.array(*[F.lit(a) for a in rules.aspects]), (r10 + 1).cast("int"))
-    words = F.filter(F.array(F.substring(text, 1, 4), F.substring(text, 5, 4)), lambda w: w != "")
+    Polarity as in ``rule_labels``; an aspect is reported with the first of its words that occurs,
+    which is its evidence; token counts follow the lengths of text and answer.
+    """
+    # Staged columns: the text and its hits are used many times and computed once.
+    staged = rows.select("comment_id", "spot_name", "content", strip(F.coalesce("content", F.lit(""))).alias("_t"))
+    text = F.col("_t")
+    staged = staged.withColumns({
+        "_pos": contains_any(text, rules.positive_words), "_neg": contains_any(text, rules.negative_words),
+        "_words": words_found(text, (*rules.positive_words, *rules.negative_words))})
+    pos, neg = F.col("_pos"), F.col("_neg")
+    staged = staged.withColumn("_polarity", F.when(pos & ~neg, "positive").when(neg & ~pos, "negative").otherwise("neutral"))
+    hits = F.array_compact(F.array(*[
+        F.when(contains_any(text, words), F.struct(
+            F.lit(aspect).alias("aspect"), F.col("_polarity").alias("polarity"),
+            F.element_at(words_found(text, words), 1).alias("evidence")))
+        for aspect, words in rules.aspect_words]))
     body = F.to_json(F.struct(
-        polarity.alias("polarity"), (r15 % 5 + 1).cast("int").alias("intensity"),
-        F.array(F.struct(aspect.alias("aspect"), polarity.alias("polarity"),
-                         F.substring(text, 1, 12).alias("evidence"))).alias("aspects"),
-        words.alias("keywords"), F.substring(text, 1, 40).alias("summary"),
-    ))
+        F.col("_polarity").alias("polarity"), F.when(pos != neg, 3).alias("intensity"),
+        F.slice(hits, 1, rules.max_aspects).alias("aspects"),
+        F.slice("_words", 1, rules.max_keywords).alias("keywords"),
+        F.substring(text, 1, rules.summary_chars).alias("summary")))
     size, answer = F.length(text).cast("bigint"), F.length("raw_text")
     return staged.withColumn("raw_text", body).select(
         "comment_id", "spot_name", "content", "raw_text", F.lit(1).alias("attempt"),

@@ -137,6 +137,16 @@ def package_table(packages: DataFrame) -> DataFrame:
                            "review_count", "stat_version", F.col("package.generated_at").alias("generated_at"))
 
 
+def of_entities(packages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """F8: the rows of the listed entities; the list is a table of any size."""
+    return packages.join(wanted.select("spot_name").distinct(), "spot_name", "left_semi")
+
+
+def of_version(packages: DataFrame, version: str) -> DataFrame:
+    """F9."""
+    return packages.filter(F.col("version") == version)
+
+
 def missing_packages(packages: DataFrame, existing: DataFrame) -> DataFrame:
     """Only entities that do not have this version yet."""
     return packages.join(existing.select("spot_name", "version"), ["spot_name", "version"], "left_anti")

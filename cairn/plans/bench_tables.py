@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.json_body import json_source
 from cairn.operators import annotation, cleaning, duplicates, entities, facts, features, statistics
 from cairn.sources import sidefiles, star
 from cairn.session import cut_lineage
@@ -80,12 +81,12 @@ class BenchTables:
 
     @cached_property
     def responses(self) -> DataFrame:
-        return annotation.stub_responses(self.stored_layers.filter(F.col("layer") == annotation.CALL), self.rules)
+        return annotation.read_responses(self.stored_layers.filter(F.col("layer") == annotation.CALL), self.rules)
 
     @cached_property
     def results(self) -> DataFrame:
         """Rule, called and reused annotations of every review, stored like the result tables."""
-        return cut_lineage(annotation.annotate_all(self.stored_layers, self.responses, "mock", self.rules))
+        return cut_lineage(annotation.annotate_all(self.stored_layers, self.responses, "rules", self.rules))
 
     @cached_property
     def sentiment(self) -> DataFrame:
@@ -100,9 +101,9 @@ class BenchTables:
         return annotation.semantic_table(self.results)
 
     @cached_property
-    def half_sentiment(self) -> DataFrame:
-        """A result table as after an interrupted run: reviews with an even id are done."""
-        return self.sentiment.filter(F.col("comment_id") % 2 == 0)
+    def partial_sentiment(self) -> DataFrame:
+        """The result table of a run that ended after the rule layer."""
+        return self.sentiment.filter(json_source(F.col("raw_json")) == annotation.RULE)
 
     @cached_property
     def packages(self) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.json_body import json_mode, json_source, usage_tokens
 from cairn.operators import (
     annotation, baseline, cleaning, compare, costs, duplicates, entities, facts, features, linking,
     numbers, opinions, quality, questions, statistics, topics, validation,
@@ -296,12 +297,12 @@ def work_layers(t):  # M1
 
 @register
 def pending_work(t):  # M2 J6
-    return annotation.pending_work(t.layered, t.half_sentiment, t.rules).select("comment_id", "layer")
+    return annotation.pending_work(t.layered, t.partial_sentiment, t.rules).select("comment_id", "layer")
 
 
 @register
 def layer_totals(t):  # U5 Q5
-    return annotation.layer_totals(t.layered, t.half_sentiment, t.rules)
+    return annotation.layer_totals(t.layered, t.partial_sentiment, t.rules)
 
 
 @register
@@ -310,11 +311,11 @@ def rule_labels(t):  # M3, run over every text
 
 
 @register
-def stub_annotations(t):  # M4
-    fields = F.from_json("raw_text", "polarity string, intensity int, aspects array<struct<aspect:string>>")
-    return annotation.stub_responses(t.clean, t.rules).select(
+def read_annotations(t):  # M4
+    fields = F.from_json("raw_text", "polarity string, intensity int, aspects array<struct<aspect:string,evidence:string>>")
+    return annotation.read_responses(t.clean, t.rules).select(
         "comment_id", fields["polarity"].alias("polarity"), fields["intensity"].alias("intensity"),
-        fields["aspects"][0]["aspect"].alias("aspect"))
+        F.array_join(F.transform(fields["aspects"], lambda a: F.concat(a["aspect"], F.lit(":"), a["evidence"])), ",").alias("aspects"))
 
 
 @register
@@ -335,7 +336,6 @@ def dropped_aspects(t):  # M8
 
 @register
 def sentiment_rows(t):  # M10 M11 P26
-    from cairn.functions.json_body import json_mode, json_source, usage_tokens
     raw = F.col("raw_json")
     return t.sentiment.select("comment_id", "spot_name", "polarity", "intensity", "is_valid",
                               json_source(raw).alias("source"), json_mode(raw).alias("mode"),
@@ -355,7 +355,7 @@ def semantic_rows(t):  # M10
 
 @register
 def reused_results(t):  # M11 J10
-    first = annotation.annotated_rows(t.responses, "mock", t.rules)
+    first = annotation.annotated_rows(t.responses, "rules", t.rules)
     return annotation.reuse_rows(t.stored_layers, first, t.rules).select(
         "comment_id", "spot_name", "polarity", "intensity",
         F.get_json_object("raw_json", "$.reused_from_comment_id").cast("bigint").alias("reused_from"))
@@ -437,7 +437,7 @@ def usage_range(t):  # A25 P26
 
 @register
 def cost_projection(t):  # A26 A27
-    pending = annotation.pending_work(t.layered, t.half_sentiment, t.rules).filter(F.col("layer") == "call")
+    pending = annotation.pending_work(t.layered, t.partial_sentiment, t.rules).filter(F.col("layer") == "call")
     waiting = t.spots.filter(F.col("has_full_evaluation") == 1).join(t.reports, "spot_name", "left_anti")
     return costs.cost_projection(pending, waiting, t.rules)
 
@@ -536,6 +536,29 @@ def report_number_check(t):  # R6
         F.size("number_mismatches").alias("wrong_numbers"), "need_review")
 
 
+@register
+def packages_by_id(t):  # F8: the entities of a list, here those that have a report
+    return facts.of_entities(t.packages, t.reports.select("spot_name")).select("spot_name", "version", "review_count")
+
+
+@register
+def packages_by_version(t):  # F9
+    stored = facts.package_table(t.packages)
+    older = stored.withColumn("version", F.lit("v0"))
+    return facts.of_version(stored.unionByName(older), t.rules.package_version).select("spot_name", "version", "review_count")
+
+
+@register
+def outside_reuse(t):  # J8: rows that no reuse row stands for
+    reused = t.layered.filter(F.col("layer") == annotation.REUSE).select("representative_id")
+    return annotation.not_in(t.layered.select("comment_id", "layer"), reused, "comment_id", "representative_id")
+
+
+@register
+def run_report_top(t):  # L6: the five entities with most reviews
+    return views.ranking(t.spots, t.stats, "reviews", 5, t.rules).select("spot_name", "review_count", "avg_score")
+
+
 # --- comparison --------------------------------------------------------------------------------------
 
 @register
@@ -662,12 +685,13 @@ def import_measures(t):  # Q2
 
 
 def _damaged(t: BenchTables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Annotation tables with planted damage, chosen by review id."""
-    k = F.col("comment_id")
-    sentiment = t.sentiment.filter(k % 50 != 1).withColumn("intensity", F.when(k % 40 == 3, 7).otherwise(F.col("intensity")))
-    aspects = t.aspects.unionByName(t.aspects.filter(k % 60 == 2))
-    semantic = t.semantic.filter(k % 70 != 4)
-    return sentiment, aspects, semantic
+    """Annotation tables of a faulty run: no reused results, negative rows with an impossible
+    intensity and stored twice in the aspects, no summary rows without keywords."""
+    negative = F.col("polarity") == "negative"
+    sentiment = t.sentiment.filter(json_source(F.col("raw_json")) != annotation.REUSE).withColumn(
+        "intensity", F.when(negative, 7).otherwise(F.col("intensity")))
+    aspects = t.aspects.unionByName(t.aspects.filter(negative))
+    return sentiment, aspects, t.semantic.filter(F.col("keywords").isNotNull())
 
 
 @register
@@ -677,7 +701,7 @@ def integrity_checks(t):  # Q3 Q4 J13 Q14
 
 @register
 def layer_checks(t):  # Q5 U5
-    return quality.layer_checks(t.layered, t.half_sentiment, t.semantic, t.rules)
+    return quality.layer_checks(t.layered, t.partial_sentiment, t.semantic, t.rules)
 
 
 @register
@@ -696,11 +720,10 @@ def table_fingerprint(t):  # Q7
 
 
 @register
-def recomputed_columns(t):  # Q8: the cleaned rows against a second derivation with a planted error
-    other = t.clean.withColumn("content_length", F.when(F.col("comment_id") % 30 == 0, -1).otherwise(F.col("content_length")))
+def recomputed_columns(t):  # Q8: the cleaned rows against a derivation that measures texts in bytes
+    other = t.clean.withColumn("content_length", F.coalesce(F.octet_length("content"), F.lit(0)))
     return quality.recompute_mismatches(
-        other.filter(F.col("comment_id") % 100 != 9), t.clean, "comment_id",
-        ["score", "content_length", "publish_date", "ip_province", "is_low_info", "like_count"])
+        other, t.clean, "comment_id", ["score", "content_length", "publish_date", "ip_province", "is_low_info", "like_count"])
 
 
 @register
@@ -710,7 +733,7 @@ def stage_reconciliation(t):  # Q9
 
 @register
 def count_mismatches(t):  # J16
-    return quality.stat_mismatches(t.clean.filter(F.col("comment_id") % 41 != 0), t.stats)
+    return quality.stat_mismatches(t.clean.filter(F.col("score").isNotNull()), t.stats)
 
 
 @register
@@ -771,23 +794,26 @@ def first_reviews(t):  # S11
 
 
 @register
-def upserted_sentiment(t):  # K1
-    old = t.half_sentiment.select("comment_id", F.lit("old").alias("polarity"))
-    new = t.sentiment.filter(F.col("comment_id") % 3 == 0).select("comment_id", "polarity")
-    return sinks.upsert(old, new, ["comment_id"])
+def upserted_sentiment(t):  # K1: every result twice, of which the newer wins, over the rule results
+    old = t.partial_sentiment.select("comment_id", F.lit("old").alias("polarity"), F.lit(0).alias("written"))
+    new = t.sentiment.filter(F.col("intensity").isNotNull())
+    twice = new.select("comment_id", F.lit("first").alias("polarity"), F.lit(1).alias("written")).unionByName(
+        new.select("comment_id", "polarity", F.lit(2).alias("written")))
+    return sinks.upsert(old, twice, ["comment_id"], "written").drop("written")
 
 
 @register
-def replaced_aspects(t):  # K4
+def replaced_aspects(t):  # K4: the aspects of the well scored reviews are written anew
+    scored = t.reviews.filter(F.col("score") >= 4)
     rows = t.aspects.select("comment_id", "aspect_name", F.lit("old").alias("state"))
-    redone = t.aspects.filter((F.col("comment_id") % 4 == 0) & (F.col("polarity") == "positive")).select(
+    redone = t.aspects.filter(F.col("polarity") == "positive").join(scored.select("comment_id"), "comment_id", "left_semi").select(
         "comment_id", "aspect_name", F.lit("new").alias("state"))
-    return sinks.replace_children(rows, redone, t.reviews.filter(F.col("comment_id") % 4 == 0), "comment_id")
+    return sinks.replace_children(rows, redone, scored, "comment_id")
 
 
 @register
 def missing_after_write(t):  # K10 U3
-    return sinks.still_missing(t.layered.select("comment_id", "layer"), t.half_sentiment, ["comment_id"])
+    return sinks.still_missing(t.layered.select("comment_id", "layer"), t.partial_sentiment, ["comment_id"])
 
 
 # --- text features and models ---------------------------------------------------------------------------

@@ -87,6 +87,10 @@ _candidates = f"""
   UNION ALL SELECT source, doc_id, 'phone', '089-' || source || CASE WHEN substr(source, 4)::INT % 7 = 3
     THEN '; ' || repeat('8', 60) ELSE '' END FROM raw WHERE doc_id % 5 <> 0"""
 
+_hits = ", ".join(
+    f"{{'aspect': {text(a)}, 'evidence': CASE " + " ".join(f"WHEN contains(t, {text(w)}) THEN {text(w)}" for w in words) + " END}"
+    for a, words in R.aspect_words)
+
 PRELUDE = f"""
 WITH raw AS (
   SELECT d.doc_id, d.source, d.text, ({_score})::INT AS score, o_orderdate, o_totalprice, o_orderpriority,
@@ -121,16 +125,6 @@ layered AS (
   SELECT f.*, representative_id, CASE WHEN content IS NULL THEN 'excluded' WHEN is_low_info = 1 THEN 'rule'
     WHEN representative_id IS NOT NULL AND representative_id <> comment_id THEN 'reuse' ELSE 'call' END AS layer
   FROM flagged f LEFT JOIN reps USING (dup_group_id)),
-digests AS (
-  SELECT comment_id, coalesce(content, '内容缺失') AS t,
-    list_sum(list_transform(string_split(md5(coalesce(content, '内容缺失')), ''),
-      lambda c: strpos('0123456789abcdef', c) - 1))::BIGINT % 15 AS r15,
-    (strpos('0123456789abcdef', md5(coalesce(content, '内容缺失'))[32]) - 1) % 2 AS odd FROM clean),
-stub AS (
-  SELECT comment_id, t, list_extract(['positive', 'neutral', 'negative'], (r15 % 3 + 1)::INT) AS polarity,
-    (r15 % 5 + 1)::INT AS intensity, list_extract({texts(R.aspects)}, ((6 * (r15 % 5) + 5 * odd) % 10 + 1)::INT) AS aspect,
-    trim(substr(t, 1, 12), {WS}) AS evidence, trim(substr(t, 1, 4), {WS}) AS k1, trim(substr(t, 5, 4), {WS}) AS k2,
-    nullif(trim(substr(t, 1, 40), {WS}), '') AS summary FROM digests),
 ruled AS (
   SELECT comment_id, spot_name, CASE WHEN pos AND NOT neg THEN 'positive' WHEN neg AND NOT pos THEN 'negative'
       ELSE 'neutral' END AS polarity, CASE WHEN pos <> neg THEN 3 END AS intensity, 1 AS is_valid,
@@ -138,17 +132,17 @@ ruled AS (
     nullif(substr(t, 1, 40), '') AS summary
   FROM (SELECT *, {any_word('t', R.positive_words)} AS pos, {any_word('t', R.negative_words)} AS neg
         FROM (SELECT *, coalesce(content, '') AS t FROM clean))),
+read AS (
+  SELECT comment_id, list_filter([{_hits}], lambda x: x.evidence IS NOT NULL)[1:5] AS hits,
+    nullif(trim(substr(t, 1, 40), {WS}), '') AS summary FROM (SELECT comment_id, coalesce(content, '') AS t FROM clean)),
 ann AS (
-  SELECT l.comment_id, l.spot_name, l.layer, l.representative_id,
-    CASE WHEN layer = 'rule' THEN r.polarity ELSE s.polarity END AS polarity,
-    CASE WHEN layer = 'rule' THEN r.intensity ELSE s.intensity END AS intensity, 1 AS is_valid,
-    CASE WHEN layer = 'rule' THEN r.keywords WHEN s.k1 = s.k2 OR s.k2 = '' THEN s.k1 ELSE s.k1 || ',' || s.k2 END AS keywords,
-    CASE WHEN layer = 'rule' THEN r.summary ELSE s.summary END AS summary,
-    CASE WHEN layer <> 'rule' THEN s.aspect END AS aspect, s.evidence,
+  SELECT l.comment_id, l.spot_name, l.layer, l.representative_id, r.polarity, r.intensity, 1 AS is_valid, r.keywords,
+    CASE WHEN layer = 'rule' THEN r.summary ELSE d.summary END AS summary, CASE WHEN layer = 'rule' THEN [] ELSE hits END AS hits,
     CASE WHEN layer = 'rule' THEN 'rule' ELSE 'annotated' END AS source
-  FROM layered l JOIN stub s USING (comment_id) JOIN ruled r USING (comment_id) WHERE layer <> 'excluded'),
-half AS (SELECT * FROM ann WHERE comment_id % 2 = 0),
-aspects AS (SELECT comment_id, spot_name, aspect AS aspect_name, polarity, evidence FROM ann WHERE aspect IS NOT NULL),
+  FROM layered l JOIN read d USING (comment_id) JOIN ruled r USING (comment_id) WHERE layer <> 'excluded'),
+half AS (SELECT * FROM ann WHERE layer = 'rule'),
+aspects AS (SELECT comment_id, spot_name, h.aspect AS aspect_name, polarity, h.evidence FROM (
+  SELECT comment_id, spot_name, polarity, unnest(hits) AS h FROM ann)),
 picked_values AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spot_name, field ORDER BY n DESC, length(value) DESC, first_seen) AS rn
     FROM (SELECT spot_name, field, value, count(*) AS n, min(ordinal) AS first_seen FROM ({_candidates}) GROUP BY ALL)) WHERE rn = 1),
@@ -303,14 +297,15 @@ _one = {
           CASE WHEN introduction IS NULL THEN 'introduction' END, 'poi_url') AS missing_fields
         FROM spots s LEFT JOIN stat t USING (spot_name)""",
     "work_layers": "SELECT comment_id, layer, representative_id FROM layered",
-    "pending_work": "SELECT comment_id, layer FROM layered WHERE layer <> 'excluded' AND comment_id % 2 = 1",
+    "pending_work": "SELECT comment_id, layer FROM layered WHERE layer IN ('call', 'reuse')",
     "layer_totals": """SELECT layer, count(*) AS total, count(h.comment_id) AS done, count(*) - count(h.comment_id) AS pending
         FROM layered l LEFT JOIN half h USING (comment_id) GROUP BY l.layer""".replace("SELECT layer", "SELECT l.layer"),
     "rule_labels": "SELECT * REPLACE (md5(summary) AS summary) FROM ruled",
-    "stub_annotations": "SELECT comment_id, polarity, intensity, aspect FROM stub",
+    "read_annotations": "SELECT comment_id, polarity, intensity, array_to_string(list_transform(hits, lambda h: h.aspect || ':' || h.evidence), ',') AS aspects "
+                        "FROM ruled JOIN read USING (comment_id)",
     "sentiment_rows": """SELECT comment_id, spot_name, polarity, intensity, is_valid,
         CASE layer WHEN 'rule' THEN 'rule' WHEN 'call' THEN 'annotated' ELSE 'reuse' END AS source,
-        CASE layer WHEN 'call' THEN 'mock' WHEN 'reuse' THEN 'reuse' END AS mode,
+        CASE layer WHEN 'call' THEN 'rules' WHEN 'reuse' THEN 'reuse' END AS mode,
         CASE layer WHEN 'call' THEN true WHEN 'reuse' THEN false END AS has_usage FROM ann""",
     "aspect_rows": "SELECT comment_id, spot_name, aspect_name, polarity, md5(evidence) AS evidence_md5 FROM aspects",
     "semantic_rows": "SELECT comment_id, spot_name, md5(keywords) AS keywords_md5, md5(summary) AS summary_md5, source FROM ann",
@@ -426,20 +421,19 @@ _one = {
     "integrity_checks": """SELECT unnest(['orphan_spot', 'orphan_review', 'semantic_without_sentiment', 'sentiment_without_semantic', 'orphan_aspect',
           'orphan_aspect_review', 'sentiment_dup_keys', 'aspect_dup_keys', 'illegal_polarity', 'illegal_intensity', 'usage_missing', 'stub_rows',
           'trace_rows', 'evidence_not_in_content', 'evidence_whitespace_only']) AS check_name,
-        unnest([0, 0, count(*) FILTER (k % 50 = 1 AND k % 70 <> 4), count(*) FILTER (k % 50 <> 1 AND k % 70 = 4),
-          count(*) FILTER (layer <> 'rule' AND k % 50 = 1) + count(*) FILTER (layer <> 'rule' AND k % 50 = 1 AND k % 60 = 2), 0, 0,
-          count(*) FILTER (layer <> 'rule' AND k % 60 = 2), 0, count(*) FILTER (k % 50 <> 1 AND k % 40 = 3), 0,
-          count(*) FILTER (k % 50 <> 1 AND layer = 'call'), count(*) FILTER (k % 50 <> 1 AND layer IN ('call', 'reuse')), 0, 0])::DOUBLE AS actual
-        FROM (SELECT comment_id AS k, layer FROM layered WHERE layer <> 'excluded')""",
+        unnest([0, 0, (SELECT count(*) FROM ann WHERE layer = 'reuse' AND keywords IS NOT NULL), (SELECT count(*) FROM ann WHERE layer <> 'reuse' AND keywords IS NULL),
+          (SELECT sum(CASE WHEN a.polarity = 'negative' THEN 2 ELSE 1 END) FROM aspects a JOIN ann USING (comment_id) WHERE layer = 'reuse'), 0, 0,
+          (SELECT count(*) FROM aspects WHERE polarity = 'negative'), 0, (SELECT count(*) FROM ann WHERE layer <> 'reuse' AND polarity = 'negative'),
+          0, 0, 0, 0, 0])::DOUBLE AS actual""",
     "layer_checks": """SELECT unnest(['layers_not_exhaustive', 'layer_pending_mismatch', 'rule_result_on_normal_text', 'result_on_empty_text', 'nothing_pending']) AS check_name,
-        unnest([0, 0, 0, 0, (NOT EXISTS (SELECT 1 FROM ann WHERE comment_id % 2 = 1))::INT])::DOUBLE AS actual""",
+        unnest([0, 0, 0, 0, (NOT EXISTS (SELECT 1 FROM ann WHERE layer <> 'rule'))::INT])::DOUBLE AS actual""",
     "recomputed_columns": """SELECT unnest(['score', 'content_length', 'publish_date', 'ip_province', 'is_low_info', 'like_count', 'missing_rows']) AS check_name,
-        unnest([0, count(*) FILTER (comment_id % 30 = 0 AND comment_id % 100 <> 9), 0, 0, 0, 0, count(*) FILTER (comment_id % 100 = 9)])::DOUBLE AS actual FROM clean""",
+        unnest([0, count(*) FILTER (strlen(coalesce(content, '')) <> content_length), 0, 0, 0, 0, 0])::DOUBLE AS actual FROM clean""",
     "stage_reconciliation": """SELECT count(*) FILTER (is_low_info = 0 AND is_dup_content = 0) AS usable, count(*) FILTER (layer = 'call') AS call_layer,
         count(*) FILTER (layer = 'call' AND is_dup_content = 1) AS representatives,
         count(*) FILTER (content IS NULL AND is_low_info = 0 AND is_dup_content = 0) AS empty_texts, 0::BIGINT AS unexplained FROM layered""",
-    "count_mismatches": """SELECT spot_name, t.review_count, nullif(count(*) FILTER (comment_id % 41 <> 0), 0) AS actual FROM stat t JOIN clean USING (spot_name)
-        GROUP BY spot_name, t.review_count HAVING count(*) FILTER (comment_id % 41 <> 0) <> t.review_count""",
+    "count_mismatches": """SELECT spot_name, t.review_count, nullif(count(score), 0) AS actual FROM stat t JOIN clean USING (spot_name)
+        GROUP BY spot_name, t.review_count HAVING count(score) <> t.review_count""",
     "annotation_status": """SELECT 'sentiment' AS section, 'annotated/' || polarity AS key, count(*) AS n FROM ann GROUP BY polarity
         UNION ALL SELECT 'semantic', source, count(*) FROM ann GROUP BY source""",
     "task_summary": """SELECT event_type AS task_type, CASE WHEN event_type = 'error' THEN 'FAILED' WHEN (props->>'$.k')::BIGINT % 5 = 0 THEN 'RUNNING'
@@ -457,11 +451,15 @@ _one = {
         "benchmark", "labels", "conversations")),
     "bound_query": "SELECT spot_name, count(*) AS n FROM clean WHERE score >= 4 GROUP BY spot_name",
     "first_reviews": "SELECT comment_id, spot_name FROM clean ORDER BY comment_id LIMIT 50",
-    "upserted_sentiment": """SELECT comment_id, polarity FROM ann WHERE comment_id % 3 = 0
-        UNION ALL SELECT comment_id, 'old' FROM half WHERE comment_id % 3 <> 0""",
-    "replaced_aspects": """SELECT comment_id, aspect_name, 'new' AS state FROM aspects WHERE comment_id % 4 = 0 AND polarity = 'positive'
-        UNION ALL SELECT comment_id, aspect_name, 'old' FROM aspects WHERE comment_id % 4 <> 0""",
-    "missing_after_write": "SELECT comment_id, layer FROM layered WHERE layer = 'excluded' OR comment_id % 2 = 1",
+    "upserted_sentiment": """SELECT comment_id, polarity FROM ann WHERE intensity IS NOT NULL
+        UNION ALL SELECT comment_id, 'old' FROM half WHERE intensity IS NULL""",
+    "replaced_aspects": """SELECT comment_id, aspect_name, 'new' AS state FROM aspects a JOIN clean USING (comment_id) WHERE clean.score >= 4 AND polarity = 'positive'
+        UNION ALL SELECT comment_id, aspect_name, 'old' FROM aspects JOIN clean USING (comment_id) WHERE NOT coalesce(clean.score >= 4, false)""",
+    "missing_after_write": "SELECT comment_id, layer FROM layered WHERE layer <> 'rule'",
+    "packages_by_id": "SELECT spot_name, 'v1' AS version, t.review_count FROM spots s JOIN stat t USING (spot_name) JOIN reports USING (spot_name) WHERE has_full_evaluation = 1",
+    "packages_by_version": "SELECT spot_name, 'v1' AS version, t.review_count FROM spots s JOIN stat t USING (spot_name) WHERE has_full_evaluation = 1",
+    "outside_reuse": "SELECT comment_id, layer FROM layered WHERE comment_id NOT IN (SELECT representative_id FROM layered WHERE layer = 'reuse')",
+    "run_report_top": "SELECT spot_name, review_count, avg_score FROM stat ORDER BY review_count DESC, spot_name LIMIT 5",
     "modelling_counters": """SELECT count(*) AS input_rows, sum(is_low_info)::BIGINT AS low_info_rows, sum(is_dup_content)::BIGINT AS dup_rows,
         count(*) FILTER (content IS NOT NULL AND is_low_info = 0 AND is_dup_content = 0) AS modelling_rows FROM flagged""",
     "mean_sentiment": f"SELECT spot_name, {half_up('2 * positive_n + neutral_n', '2 * sample_size')} AS sentiment_avg FROM moods",
@@ -490,8 +488,9 @@ _one.update({
         CASE WHEN k % 13 <> 3 THEN md5('风景,' || trim(substr(t, 1, 4), {WS}) || ',很长的关键词超过十个') END AS keywords_md5,
         CASE WHEN k % 13 <> 3 THEN md5(substr(trim(substr(t, 1, 50), {WS}), 1, 40)) END AS summary_md5 FROM {_bent}""",
     "dropped_aspects": f"SELECT reason, count(*) AS n FROM (SELECT unnest({_reasons}) AS reason FROM {_bent}) GROUP BY reason",
-    "review_voices": f"""SELECT v.spot_name, voice, rank_no, comment_id, coalesce(aspect_name, '') AS topics
-        FROM ({_voices}) v LEFT JOIN aspects a USING (comment_id) WHERE rank_no <= 5""",
+    "review_voices": f"""SELECT v.spot_name, voice, rank_no, comment_id, coalesce(topics, '') AS topics
+        FROM ({_voices}) v LEFT JOIN (SELECT comment_id, array_to_string(list_sort(list(DISTINCT aspect_name))[1:3], ',') AS topics
+          FROM aspects GROUP BY comment_id) a USING (comment_id) WHERE rank_no <= 5""",
     "usable_voices": f"SELECT spot_name, voice, rank_no, comment_id FROM ("
         + _voices.replace("content IS NOT NULL", "content IS NOT NULL AND is_low_info = 0 AND is_dup_content = 0") + ") WHERE rank_no <= 3",
     "validated_comparisons": """SELECT o_orderkey AS pair_id, (o_orderkey % 5 <> 0)::INT AS is_usable, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END AS differences,

@@ -97,6 +97,7 @@ class Rules:
     aspects: tuple[str, ...] = ASPECTS
     positive_words: tuple[str, ...] = POSITIVE_WORDS
     negative_words: tuple[str, ...] = NEGATIVE_WORDS
+    aspect_words: tuple[tuple[str, tuple[str, ...]], ...] = tuple((a, (a,)) for a in ASPECTS)
     ranking_min_reviews: int = 10
 
     annotated_method: str = "annotated"        # label of the text-reading method

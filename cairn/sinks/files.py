@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.schema import CLEANED_CSV_SCHEMA, DERIVED_COLUMNS, SOURCE_HEADER
-from cairn.sinks.tables import VersionedTable, still_missing
+from cairn.sinks.tables import KeyedTable, still_missing
 
 SHARDS = 100
 
@@ -39,22 +39,31 @@ def write_statistics(row: DataFrame, path: str) -> None:
 
 
 def write_recovery(rows: DataFrame, path: str, key: str = "comment_id") -> None:
-    """K8: rows that could not be stored, appended and sharded by key."""
+    """K8: rows that could not be stored, appended with the time of writing and sharded by key."""
     shard = F.lpad(F.pmod(F.col(key), F.lit(SHARDS)).cast("string"), 2, "0")
-    rows.withColumn("shard", shard).write.mode("append").partitionBy("shard").json(path)
+    rows.withColumns({"shard": shard, "written_at": F.current_timestamp()}).write.mode("append").partitionBy("shard").json(path)
 
 
-def read_recovery(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """K9: every shard, blank and malformed lines skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def read_recovery(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """K9: the rows of every shard, and the malformed lines to count; blank lines are neither."""
+    full = T.StructType([*schema.fields, T.StructField("written_at", T.TimestampType()), T.StructField("malformed", T.StringType())])
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"})
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
+    broken = F.col("malformed").isNotNull()
+    return lines.filter(~broken).drop("malformed"), lines.filter(broken).select("malformed")
 
 
-def replay(table: VersionedTable, recovered: DataFrame, keys: list[str]) -> DataFrame:
-    """Store the recovered rows (last one per key) and return what is still missing."""
-    table.merge(recovered.dropDuplicates(keys), keys)
-    return still_missing(recovered, table.read(), keys)
+def replay(table: KeyedTable, recovered: DataFrame) -> DataFrame:
+    """Store the recovered rows, the last written of each key, and return what is still missing."""
+    table.merge(recovered)
+    return still_missing(recovered, table.read(), table.keys)
 
 
 def save_model(model, path: str) -> None:
     """K11."""
     model.write().overwrite().save(path)
+
+
+def load_model(kind, path: str):
+    """A model saved by ``save_model``; ``kind`` is its class, e.g. ``LDAModel``."""
+    return kind.load(path)

@@ -1,15 +1,24 @@
-"""Keyed upsert, scope replace, child replace and versioned storage."""
+"""Keyed upsert, scope replace, child replace and keyed storage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.session import cut_lineage
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """K1: incoming rows replace existing ones with the same key."""
-    kept = existing.join(incoming.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(incoming)
+
+def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key: the one with the largest ``order``; combined before the shuffle."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("r")).select(*keys, *[f"r.{c}" for c in others]) \
+        .select(rows.columns)
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """K1: one row per key; of the incoming rows of a key the last by ``order`` replaces the existing one."""
+    new = latest(incoming, keys, order)
+    return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
 def replace_children(existing: DataFrame, incoming: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -17,51 +26,33 @@ def replace_children(existing: DataFrame, incoming: DataFrame, parents: DataFram
     return existing.join(parents.select(key).distinct(), key, "left_anti").unionByName(incoming)
 
 
-class VersionedTable:
-    """A Parquet table that is replaced as a whole without touching what readers use.
+class KeyedTable:
+    """A Parquet table in ``buckets`` folders by key hash; a merge rewrites only the buckets it touches.
 
-    Every write goes to the next ``version=N`` folder; the newest folder with a ``_SUCCESS`` marker
-    is the table.  A job that dies half-way leaves an uncommitted folder that nobody reads.
+    Spark's dynamic partition overwrite replaces whole buckets at commit, so a job that dies half-way
+    changes nothing.  One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _versions(self, committed: bool) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("version=") and (
-                not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-            ):
-                found.append(int(name.split("=")[1]))
-        return sorted(found)
-
-    def current(self) -> int | None:
-        versions = self._versions(committed=True)
-        return versions[-1] if versions else None
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: str, buckets: int = 64):
+        self.spark, self.path, self.keys, self.order, self.buckets = spark, path.rstrip("/"), keys, order, buckets
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
     def read(self) -> DataFrame:
-        version = self.current()
-        if version is None:
-            raise ValueError(f"no committed version in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/version={version}")
+        return self.spark.read.parquet(self.path).drop("bucket")
 
-    def write(self, df: DataFrame) -> int:
-        version = max(self._versions(committed=False), default=0) + 1
-        df.write.mode("errorifexists").parquet(f"{self.path}/version={version}")
-        return version
+    def create(self, df: DataFrame) -> None:
+        self._bucketed(latest(df, self.keys, self.order)).write.mode("errorifexists").partitionBy("bucket").parquet(self.path)
 
-    def merge(self, incoming: DataFrame, keys: list[str]) -> int:
+    def merge(self, incoming: DataFrame) -> None:
         """K1 on storage; running it twice with the same rows changes nothing."""
-        if self.current() is None:
-            return self.write(incoming)
-        return self.write(upsert(self.read(), incoming, keys))
+        rows = self._bucketed(incoming)
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most ``buckets``
+        stored = self.spark.read.parquet(self.path).filter(F.col("bucket").isin(touched)).drop("bucket")
+        # The rows to keep are read from the folders that are replaced, so they are stored first.
+        merged = cut_lineage(self._bucketed(upsert(stored, incoming, self.keys, self.order)))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
 
 def replace_scopes(df: DataFrame, path: str, scope: tuple[str, ...] = ("scope_type", "scope_id")) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.rules import Rules
+from cairn.rules import ASPECTS, Rules
 
 # Thresholds that split the bench tables (see SURVEY 7.2); everything else stays at its default.
 BENCH_RULES = Rules(
@@ -19,6 +19,9 @@ BENCH_RULES = Rules(
     domestic_regions=tuple(f"NATION_{i}" for i in range(15)),
     positive_words=("with", "tion", "eau", "heit", "ción"),
     negative_words=("whst", "oth", "oui", "ung", "rra"),
+    aspect_words=tuple(zip(ASPECTS, (
+        ("eron", "eaux"), ("whin",), ("stea", "lich"), ("orha", "iere"), ("ndth",), ("ciado", "edwh"), ("nntt",), ("thles",),
+        ("eueo", "heon"), ("inge",)))),
 )
 
 SCORE_LABELS = ("不佳", "一般", "不错", "满意", "超棒")

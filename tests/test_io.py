@@ -85,14 +85,37 @@ def test_bound_parameter_is_not_sql(spark):
     assert queries.query(spark, "SELECT * FROM {t} WHERE x = :v", {"v": "a' OR '1'='1"}, t=df).count() == 1
 
 
-def test_versioned_upsert_is_idempotent(spark, tmp_path):
-    table = tables.VersionedTable(spark, str(tmp_path / "t"))
-    table.write(spark.createDataFrame([(1, "a"), (2, "b")], ["k", "v"]))
-    new = spark.createDataFrame([(2, "B"), (3, "c")], ["k", "v"])
+def test_keyed_merge_is_idempotent_and_the_last_row_wins(spark, tmp_path):
+    table = tables.KeyedTable(spark, str(tmp_path / "t"), ["k"], "at", buckets=4)
+    table.create(spark.createDataFrame([(1, "a", 0), (2, "b", 0), (2, "older", -1)], ["k", "v", "at"]))
+    new = spark.createDataFrame([(2, "x", 1), (2, "B", 2), (3, "c", 1)], ["k", "v", "at"])
     for _ in range(2):
-        table.merge(new, ["k"])
-        assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (2, "B"), (3, "c")]
-    assert table.current() == 3
+        table.merge(new)
+        assert sorted(map(tuple, table.read().collect())) == [(1, "a", 0), (2, "B", 2), (3, "c", 1)]
+
+
+def test_upsert_leaves_one_row_for_each_key(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), ["k", "v", "at"])
+    got = tables.upsert(rows((1, "old", 0), (4, "kept", 0)), rows((1, "x", 1), (1, "y", 2)), ["k"], "at")
+    assert sorted(map(tuple, got.collect())) == [(1, "y", 2), (4, "kept", 0)]
+
+
+def test_every_file_of_a_folder_has_its_header_checked(spark, tmp_path):
+    row = '甲,1,5,超棒,好,2023-01-02,四川,u,3,,,地址,,,'
+    write_csv(tmp_path / "a.csv", [row])
+    shifted = RAW_SCHEMA.fieldNames()
+    shifted[0], shifted[1] = shifted[1], shifted[0]
+    (tmp_path / "b.csv").write_text(",".join(shifted) + "\n" + row + "\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="column 0"):
+        reviews.read_raw_csv(spark, str(tmp_path))
+
+
+def test_saved_model_is_loaded(spark, tmp_path):
+    from pyspark.ml.feature import IDF, IDFModel
+    from pyspark.ml.linalg import Vectors
+    model = IDF(inputCol="x", outputCol="y").fit(spark.createDataFrame([(Vectors.dense([1.0, 0.0]),)], ["x"]))
+    files.save_model(model, str(tmp_path / "m"))
+    assert files.load_model(IDFModel, str(tmp_path / "m")).docFreq == model.docFreq
 
 
 def test_scope_replace(spark, tmp_path):
@@ -106,14 +129,18 @@ def test_scope_replace(spark, tmp_path):
 
 
 def test_recovery_and_replay(spark, tmp_path):
-    rows = spark.createDataFrame([(101, "甲", "annotated", "positive", 3, 1, "{}"), (201, "甲", "annotated", "neutral", 1, 1, "{}")], SENTIMENT_SCHEMA)
+    row = lambda key, mood: (key, "甲", "annotated", mood, 3, 1, "{}")
     path = str(tmp_path / "recovery")
-    files.write_recovery(rows, path)
+    files.write_recovery(spark.createDataFrame([row(101, "positive"), row(201, "neutral")], SENTIMENT_SCHEMA), path)
+    files.write_recovery(spark.createDataFrame([row(101, "negative")], SENTIMENT_SCHEMA), path)
     (tmp_path / "recovery" / "shard=01" / "extra.json").write_text("\n{broken\n")
-    back = files.read_recovery(spark, path, SENTIMENT_SCHEMA)
-    assert sorted(r.comment_id for r in back.collect()) == [101, 201]
-    table = tables.VersionedTable(spark, str(tmp_path / "sentiment"))
-    assert files.replay(table, back, ["comment_id", "method"]).count() == 0 and table.read().count() == 2
+    back, malformed = files.read_recovery(spark, path, SENTIMENT_SCHEMA)
+    assert sorted(r.comment_id for r in back.collect()) == [101, 101, 201]
+    assert [r.malformed for r in malformed.collect()] == ["{broken"]
+    table = tables.KeyedTable(spark, str(tmp_path / "sentiment"), ["comment_id", "method"], "written_at")
+    table.create(back.filter("comment_id = 201"))
+    assert files.replay(table, back).count() == 0
+    assert {r.comment_id: r.polarity for r in table.read().collect()} == {101: "negative", 201: "neutral"}
 
 
 def test_child_replace(spark):

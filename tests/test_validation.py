@@ -1,13 +1,12 @@
 """Golden cases for annotator output, rule labels and number checks."""
 
-import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import annotation, numbers, validation
-from cairn.rules import ASPECTS
+from cairn.rules import Rules
 
 TEXT = "布局　很好 风景漂亮，但是排队太久，门票贵"
 
@@ -70,15 +69,15 @@ def test_rule_labels(spark):
     assert got == {1: ("positive", 3, "值得,很美"), 2: ("negative", 3, "贵"), 3: ("neutral", None, "很美,贵"), 4: ("neutral", None, None)}
 
 
-def test_stub_matches_big_integer_digest(spark):
-    words = ["风景", "abc", "门票贵", "x" * 50, ""]
-    rows = spark.createDataFrame([(i, "甲", w) for i, w in enumerate(words)], "comment_id long, spot_name string, content string")
-    for r in annotation.stub_responses(rows).collect():
-        answer = json.loads(r.raw_text)
-        digest = int(hashlib.md5((r.content or "内容缺失").encode()).hexdigest(), 16)
-        assert answer["polarity"] == ("positive", "neutral", "negative")[digest % 3]
-        assert answer["intensity"] == digest % 5 + 1
-        assert answer["aspects"][0]["aspect"] == ASPECTS[digest % 10]
+def test_annotator_reads_the_text(spark):
+    rules = Rules(aspect_words=(("风景", ("湖", "山")), ("门票", ("票",))))
+    rows = spark.createDataFrame([(1, "甲", " 山很美，票贵"), (2, "甲", "值得，票"), (3, "甲", None)], "comment_id long, spot_name string, content string")
+    got = {r.comment_id: json.loads(r.raw_text) for r in annotation.read_responses(rows, rules).collect()}
+    assert got[1] == {"polarity": "neutral", "aspects": [{"aspect": "风景", "polarity": "neutral", "evidence": "山"}, {"aspect": "门票", "polarity": "neutral", "evidence": "票"}],
+                      "keywords": ["很美", "贵"], "summary": "山很美，票贵"}
+    assert (got[2]["polarity"], got[2]["intensity"], got[3]["aspects"]) == ("positive", 3, [])
+    checked = validation.validate_annotations(annotation.read_responses(rows, rules), rules)
+    assert checked.selectExpr("sum(size(aspects))", "sum(size(dropped_aspects))").first()[:] == (3, 0)
 
 
 def test_failing_text_is_a_row(spark):
