@@ -1,84 +1,102 @@
-"""Star-trained sentiment baseline."""
+"""Star-trained sentiment baseline: multinomial naive Bayes as aggregations."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.features import term_rows, term_weights
 from cairn.operators.statistics import polarity_name, weak_label
 from cairn.rules import DEFAULT_RULES, Rules
 
+LABELS = (0.0, 1.0, 2.0)
 METRICS = ("accuracy", "f1", "weightedPrecision", "weightedRecall")
 
 
-@dataclass(frozen=True)
-class Baseline:
-    """``classes`` are the labels seen in training, in the order the model numbers them."""
+def in_training(key: Column, rules: Rules = DEFAULT_RULES) -> Column:
+    """About 80/20 by a digest of seed and id: the same split on any cluster layout."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(rules.seed)), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100 < 80
 
-    model: NaiveBayesModel
-    train: DataFrame
-    test: DataFrame
-    classes: tuple[float, ...]
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``prediction`` as a label code."""
-        codes = F.array(*[F.lit(c) for c in self.classes])
-        return self.model.transform(rows).withColumn("prediction", F.get(codes, F.col("prediction").cast("int")))
+def labelled(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """Scored rows with their weak label and part: (comment_id, label, training)."""
+    return features.filter(F.col("score").isNotNull()).select(
+        "comment_id", weak_label(F.col("score")).alias("label"), in_training(F.col("comment_id"), rules).alias("training"))
 
 
-def labelled(vectors: DataFrame) -> DataFrame:
-    """Scored rows with their weak label."""
-    return vectors.filter(F.col("score").isNotNull()).withColumn("label", weak_label(F.col("score")))
+def _by_label(value, name: str) -> list[Column]:
+    return [value(label).alias(f"{name}{i}") for i, label in enumerate(LABELS)]
 
 
-def split(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
-    """About 80/20 by a seeded hash of the id: the same split on any cluster layout."""
-    slot = F.pmod(F.xxhash64("comment_id", F.lit(rules.seed)), F.lit(100))
-    return rows.filter(slot < 80), rows.filter(slot >= 80)
+def scored(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """(comment_id, prediction) of every row by naive Bayes with smoothing 1 on TF-IDF.
 
-
-def fit_baseline(vectors: DataFrame, rules: Rules = DEFAULT_RULES) -> Baseline:
-    """Multinomial naive Bayes with smoothing 1 on TF-IDF.
-
-    The classifier numbers classes from 0 without gaps, so a missing class (no three-star review,
-    say) would shift the others; labels are numbered by the classes present, of which there are
-    at most three.
+    One row per term holds its idf and its weight in each class; a document's score is a sum over
+    its terms.  Classes without a training row are never predicted; equal scores go to the smaller
+    label.  Nothing but the three class totals is broadcast.
     """
-    train, test = split(labelled(vectors), rules)
-    classes = tuple(sorted(r.label for r in train.select("label").distinct().collect()))
-    codes = F.array(*[F.lit(c) for c in classes])
-    numbered = train.withColumn("class_no", (F.array_position(codes, F.col("label")) - 1).cast("double"))
-    bayes = NaiveBayes(modelType="multinomial", smoothing=1.0, featuresCol="features", labelCol="class_no")
-    return Baseline(bayes.fit(numbered), train, test, classes)
-
-
-def confusion(baseline: Baseline) -> DataFrame:
+    terms = term_rows(features)
+    weights = term_weights(terms, features, rules)
+    train = labelled(features, rules).filter("training")
+    sums = (terms.join(train, "comment_id").join(weights, "term").groupBy("term").agg(*_by_label(
+        lambda x: F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n") * F.col("idf"))), F.lit(0.0)), "s")))
+    table = weights.join(sums, "term", "left").select(
+        "term", "idf", *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in range(len(LABELS))])
+    size = len(LABELS)
+    totals = table.agg(F.count(F.lit(1)).alias("vocabulary"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"t{i}") for i in range(size)])
+    docs = train.agg(*_by_label(lambda x: F.count_if(F.col("label") == x), "d"))
+    classes = F.broadcast(totals.join(F.broadcast(docs)))
+    parts = terms.join(table, "term").join(classes).groupBy("comment_id").agg(*[
+        F.sum(F.col("n") * F.col("idf") * (F.log(F.col(f"s{i}") + 1) - F.log(F.col(f"t{i}") + F.col("vocabulary")))).alias(f"p{i}")
+        for i in range(size)])
+    present = reduce(lambda a, b: a + b, [(F.col(f"d{i}") > 0).cast("int") for i in range(size)])
+    all_docs = reduce(lambda a, b: a + b, [F.col(f"d{i}") for i in range(size)])
+    score = [F.when(F.col(f"d{i}") > 0, F.coalesce(f"p{i}", F.lit(0.0)) + F.log(F.col(f"d{i}") + 1) - F.log(all_docs + present))
+             for i in range(size)]
+    best = F.greatest(*score)
+    prediction = F.when(score[0] == best, LABELS[0]).when(score[1] == best, LABELS[1]).when(score[2] == best, LABELS[2])
+    return features.select("comment_id").join(parts, "comment_id", "left").join(classes).select("comment_id", prediction.alias("prediction"))
+
+
+def confusion(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Rows per (true label, prediction) of the test part."""
-    scored = baseline.predict(baseline.test)
-    return scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-
-
-def evaluation(baseline: Baseline, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """The four metrics with seed and sizes, and as a JSON document."""
-    scored = baseline.predict(baseline.test).select("label", "prediction").persist()
-    try:
-        values = {m: MulticlassClassificationEvaluator(
-            labelCol="label", predictionCol="prediction", metricName=m).evaluate(scored) for m in METRICS}
-    finally:
-        scored.unpersist()
-    sizes = baseline.train.agg(F.count(F.lit(1)).alias("train_rows"))
-    row = sizes.select(*[F.lit(v).alias(m) for m, v in values.items()], "train_rows", F.lit(rules.seed).alias("seed"),
-                       F.lit("score>=4 positive, 3 neutral, else negative").alias("label_rule"))
+    test = labelled(features, rules).filter(~F.col("training"))
+    return test.join(scored(features, rules), "comment_id").groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+def evaluation(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """The four metrics, all from the nine confusion counts, with seed and sizes."""
+    counts = confusion(features, rules)
+    cell = {(a, b): F.coalesce(F.sum(F.when((F.col("label") == a) & (F.col("prediction") == b), F.col("n"))), F.lit(0))
+            for a in LABELS for b in LABELS}
+    wide = counts.agg(*[c.alias(f"c{int(a)}{int(b)}") for (a, b), c in cell.items()])
+
+    def total(cells: list[str]) -> Column:
+        return reduce(lambda x, y: x + y, [F.col(c) for c in cells])
+
+    everything = total([f"c{a}{b}" for a in range(3) for b in range(3)])
+    recall = [F.coalesce(F.try_divide(F.col(f"c{i}{i}"), total([f"c{i}{b}" for b in range(3)])), F.lit(0.0)) for i in range(3)]
+    precision = [F.coalesce(F.try_divide(F.col(f"c{i}{i}"), total([f"c{a}{i}" for a in range(3)])), F.lit(0.0)) for i in range(3)]
+    f1 = [F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)) for p, r in zip(precision, recall)]
+    share = [F.try_divide(total([f"c{i}{b}" for b in range(3)]), everything) for i in range(3)]
+
+    def weighted(values: list[Column]) -> Column:
+        return F.round(reduce(lambda x, y: x + y, [s * v for s, v in zip(share, values)]), 6)
+
+    sizes = labelled(features, rules).agg(F.count_if("training").alias("train_rows"))
+    row = wide.join(F.broadcast(sizes)).select(
+        F.round(F.try_divide(total([f"c{i}{i}" for i in range(3)]), everything), 6).alias("accuracy"), weighted(f1).alias("f1"),
+        weighted(precision).alias("weightedPrecision"), weighted(recall).alias("weightedRecall"), "train_rows",
+        F.lit(rules.seed).alias("seed"), F.lit("score>=4 positive, 3 neutral, else negative").alias("label_rule"))
     return row.withColumn("metrics_json", F.to_json(F.struct(*row.columns)))
 
 
-def predictions(baseline: Baseline, vectors: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def predictions(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Polarity of every modelling row, scored or not."""
-    return baseline.predict(vectors).select(
+    return features.select("comment_id", "spot_name").join(scored(features, rules), "comment_id").select(
         "comment_id", "spot_name", F.lit(rules.baseline_method).alias("method"),
         polarity_name(F.col("prediction")).alias("polarity"),
         F.lit(None).cast("int").alias("intensity"), F.lit(1).alias("is_valid"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, IDF, IDFModel, StopWordsRemover
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,28 +77,39 @@ def top_terms(features: DataFrame, n: int = 20) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(n))
 
 
+def term_rows(features: DataFrame) -> DataFrame:
+    """T4: (comment_id, term, n), the sparse counts; there is no vocabulary limit."""
+    return features.select("comment_id", F.explode("filtered_tokens").alias("term")).groupBy("comment_id", "term").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def term_weights(terms: DataFrame, features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """T5: (term, df, idf) of the terms in ``min_df`` documents or more; idf = ln((docs + 1) / (df + 1))."""
+    docs = features.agg(F.count(F.lit(1)).alias("docs"))
+    seen = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= rules.min_df)
+    # The count is one row.
+    return seen.join(F.broadcast(docs)).select("term", "df", F.log((F.col("docs") + 1) / (F.col("df") + 1)).alias("idf"))
+
+
+def weighted_terms(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """T4, T5: (comment_id, term, weight): counts times idf."""
+    terms = term_rows(features)
+    return terms.join(term_weights(terms, features, rules).select("term", "idf"), "term").select(
+        "comment_id", "term", (F.col("n") * F.col("idf")).alias("weight"))
+
+
 @dataclass(frozen=True)
 class TextModel:
-    """Fitted vectorisers; the vocabulary is bounded by ``CountVectorizer.vocabSize``."""
+    """Count vectors for the topic models, whose vocabulary of ``min_df`` terms the driver holds whole."""
 
     counts: CountVectorizerModel
-    idf: IDFModel
 
     def transform(self, features: DataFrame) -> DataFrame:
-        return self.idf.transform(self.counts.transform(features))
+        return self.counts.transform(features)
 
 
 def fit_text_model(features: DataFrame, rules: Rules = DEFAULT_RULES) -> TextModel:
-    """T4, T5: counts with minDF 2 (1 when that leaves no term), then IDF."""
-    vectorizer = CountVectorizer(
-        inputCol="filtered_tokens", outputCol="count_features", minDF=rules.min_df, minTF=1.0)
-    try:
-        counts = vectorizer.fit(features)
-    except Exception as error:  # an empty vocabulary is rejected by the vectoriser itself
-        if "vocabulary" not in str(error).lower():
-            raise
-        counts = None
-    if counts is None or not counts.vocabulary:
-        counts = vectorizer.setMinDF(1.0).fit(features)
-    idf = IDF(inputCol="count_features", outputCol="features").fit(counts.transform(features))
-    return TextModel(counts, idf)
+    """Count vectors over all terms of ``min_df`` documents or more."""
+    return TextModel(CountVectorizer(
+        inputCol="filtered_tokens", outputCol="count_features", minDF=rules.min_df, minTF=1.0,
+        vocabSize=2 ** 31 - 1).fit(features))

@@ -845,27 +845,23 @@ def _vectors(t: BenchTables):
 
 @register
 def tfidf_rows(t):  # T4 T5
-    from pyspark.ml.functions import vector_to_array
-    _, vectors = _vectors(t)
-    present = F.filter(vector_to_array("features"), lambda x: x > 0)
-    return vectors.select("comment_id", F.size(present).alias("terms"),
-                          F.round(F.aggregate(present, F.lit(0.0), lambda a, x: a + x), 3).alias("weight"))
+    return features.weighted_terms(t.features, t.rules).filter("weight > 0").groupBy("comment_id").agg(
+        F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 3).alias("weight"))
 
 
 @register
 def baseline_metrics(t):  # T7 T8 T9 T13
-    return baseline.evaluation(baseline.fit_baseline(_vectors(t)[1], t.rules), t.rules)
+    return baseline.evaluation(cut_lineage(t.features), t.rules).drop("metrics_json")
 
 
 @register
 def baseline_confusion(t):  # T10 T11
-    return baseline.confusion(baseline.fit_baseline(_vectors(t)[1], t.rules))
+    return baseline.confusion(cut_lineage(t.features), t.rules)
 
 
 @register
 def baseline_predictions(t):  # T12 P18 J3
-    vectors = _vectors(t)[1]
-    predicted = baseline.predictions(baseline.fit_baseline(vectors, t.rules), vectors, t.rules)
+    predicted = baseline.predictions(cut_lineage(t.features), t.rules)
     return baseline.prediction_entities(predicted, t.clean.select("comment_id", "spot_name"))[0].select(
         "comment_id", "spot_name", "method", "polarity")
 

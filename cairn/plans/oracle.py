@@ -524,6 +524,40 @@ _one.update({
         JOIN (SELECT spot_name, array_to_string(list(aspect_name ORDER BY sample_size DESC, aspect_name)[1:5], ',') AS top FROM aspect_stat GROUP BY spot_name) a USING (spot_name)""",
 })
 
+_bayes = f"""
+, feat AS (SELECT comment_id, words FROM {_terms}),
+tf AS (SELECT comment_id, term, count(*) AS n FROM (SELECT comment_id, unnest(words) AS term FROM feat) GROUP BY 1, 2),
+vocab AS (SELECT term, ln(((SELECT count(*) FROM feat) + 1) / (count(*) + 1)) AS idf FROM tf GROUP BY term HAVING count(*) >= 2),
+lab AS (SELECT comment_id, CASE WHEN score >= 4 THEN 2 WHEN score = 3 THEN 1 ELSE 0 END AS c,
+  ('0x' || substr(md5('{R.seed}:' || comment_id), 1, 8))::BIGINT % 100 < 80 AS training FROM feat JOIN clean USING (comment_id) WHERE score IS NOT NULL),
+cls AS (SELECT c, count(*) AS docs FROM lab WHERE training GROUP BY c),
+sums AS (SELECT c, term, sum(n * idf) AS s FROM tf JOIN vocab USING (term) JOIN lab USING (comment_id) WHERE training GROUP BY 1, 2),
+theta AS (
+  SELECT cls.c, vocab.term, idf, ln(coalesce(s, 0) + 1) - ln((SELECT coalesce(sum(s), 0) FROM sums x WHERE x.c = cls.c) + (SELECT count(*) FROM vocab)) AS w
+  FROM cls CROSS JOIN vocab LEFT JOIN sums ON sums.c = cls.c AND sums.term = vocab.term),
+pred AS (
+  SELECT comment_id, arg_max(c, (p, -c))::DOUBLE AS prediction FROM (
+    SELECT feat.comment_id, cls.c, coalesce(sum(n * idf * w), 0) + ln(any_value(docs) + 1)
+      - ln((SELECT sum(docs) FROM cls) + (SELECT count(*) FROM cls)) AS p
+    FROM feat CROSS JOIN cls LEFT JOIN (SELECT comment_id, c, n, idf, w FROM tf JOIN theta USING (term)) x
+      ON x.comment_id = feat.comment_id AND x.c = cls.c GROUP BY feat.comment_id, cls.c) GROUP BY comment_id),
+conf AS (SELECT c::DOUBLE AS label, prediction, count(*) AS n FROM lab JOIN pred USING (comment_id) WHERE NOT training GROUP BY 1, 2)
+"""
+_one.update({
+    "tfidf_rows": _bayes + "SELECT comment_id, count(*) AS terms, round(sum(n * idf), 3) AS weight FROM tf JOIN vocab USING (term) WHERE idf > 0 GROUP BY comment_id",
+    "baseline_confusion": _bayes + "SELECT label, prediction, n FROM conf",
+    "baseline_predictions": _bayes + """SELECT comment_id, spot_name, 'mllib' AS method,
+      CASE prediction WHEN 2 THEN 'positive' WHEN 1 THEN 'neutral' ELSE 'negative' END AS polarity FROM pred JOIN clean USING (comment_id)""",
+    "baseline_metrics": _bayes + f"""SELECT round(sum(tp) / sum(t), 6) AS accuracy, round(sum(t * f) / sum(t), 6) AS f1,
+      round(sum(t * p) / sum(t), 6) AS "weightedPrecision", round(sum(t * r) / sum(t), 6) AS "weightedRecall",
+      (SELECT count(*) FROM lab WHERE training) AS train_rows, {R.seed} AS seed, 'score>=4 positive, 3 neutral, else negative' AS label_rule
+      FROM (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM (
+        SELECT l, tp, t, CASE WHEN pn > 0 THEN tp / pn ELSE 0 END AS p, CASE WHEN t > 0 THEN tp / t ELSE 0 END AS r FROM (
+          SELECT l, (SELECT coalesce(sum(n), 0) FROM conf WHERE label = l AND prediction = l) AS tp,
+            (SELECT coalesce(sum(n), 0) FROM conf WHERE label = l) AS t, (SELECT coalesce(sum(n), 0) FROM conf WHERE prediction = l) AS pn
+          FROM (SELECT unnest([0.0, 1.0, 2.0]) AS l))))""",
+})
+
 
 def all_oracles() -> dict[str, str]:
     return {name: f"{PRELUDE}\n{body}" for name, body in _one.items()}

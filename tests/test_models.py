@@ -29,11 +29,23 @@ def rows(spark):
 
 def test_baseline_separates_two_vocabularies(spark, rows):
     tokens = features.modelling_input(rows)
-    vectors = features.fit_text_model(tokens, RULES).transform(tokens)
-    fitted = baseline.fit_baseline(vectors, RULES)
-    metrics = baseline.evaluation(fitted, RULES).first()
-    assert metrics.accuracy == 1.0 and metrics.train_rows == fitted.train.count()
-    assert baseline.predictions(fitted, vectors).groupBy("polarity").count().count() == 2
+    metrics = baseline.evaluation(tokens, RULES).first()
+    assert metrics.accuracy == 1.0 and metrics.train_rows == baseline.labelled(tokens, RULES).filter("training").count()
+    assert baseline.predictions(tokens, RULES).groupBy("polarity").count().count() == 2
+
+
+def test_baseline_equals_the_library_classifier(spark, rows):
+    """The aggregated model against Spark's own vectoriser and classifier on the same split."""
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import IDF
+    mixed = rows.withColumn("content", F.when(F.col("comment_id") % 3 == 0, F.concat("content", F.lit(" queue boat price"))).otherwise(F.col("content")))
+    tokens = features.modelling_input(mixed)
+    counted = features.fit_text_model(tokens, RULES).transform(tokens)
+    vectors = IDF(inputCol="count_features", outputCol="features").fit(counted).transform(counted)
+    classes = baseline.labelled(tokens, RULES).withColumn("no", (F.col("label") / 2))
+    model = NaiveBayes(smoothing=1.0, featuresCol="features", labelCol="no").fit(vectors.join(classes.filter("training"), "comment_id"))
+    want = {r.comment_id: r.prediction * 2 for r in model.transform(vectors).collect()}
+    assert {r.comment_id: r.prediction for r in baseline.scored(tokens, RULES).collect()} == want
 
 
 def test_entity_topics_cover_every_document(spark, rows):
