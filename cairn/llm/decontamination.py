@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.words import ALNUM, LOWER, Sums, Words, map_texts, quoted, utf8
+from cairn.llm.words import ALNUM, LOWER, Sums, Words, given_names, map_texts, neutral_names, utf8
 
 MATCHES = "matches"
 _MATCH = ("array<struct<item_id:string,item_word:bigint,doc_word:bigint,n_words:bigint>>")
@@ -225,8 +225,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
             .withColumn("n_items", F.size("items").cast("bigint")).withColumn("contaminated", F.col("n_hit") > 0))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents, with their columns, that share no window with the benchmark."""
-    marked = find_matches(docs.select(F.struct(*map(F.col, map(quoted, docs.columns))).alias("row"), F.col("text")),
-                          benchmark, keep=["row"], **options)
-    return marked.filter("n_hit = 0").select("row.*")
+    rows, names = neutral_names(docs)
+    marked = find_matches(rows, benchmark, text=names[text], **options)
+    return given_names(marked.filter("n_hit = 0"), names)

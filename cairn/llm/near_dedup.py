@@ -27,6 +27,8 @@ BANDS, ROWS = 40, 6
 MEMBERS_PER_TASK = 4096
 #: Buckets of up to so many members are compared all through, larger ones with so many centres.
 SMALL_BUCKET, CENTERS = 8, 8
+#: Bits of the filter that keeps rows from needless shuffles.
+FILTER_LOG2 = 22
 _ROW = "__row"
 
 
@@ -96,13 +98,33 @@ def _sketches(docs: DataFrame, text: str, keep: list[str], n: int, bands: int, r
     return map_texts(docs, "n_shingles bigint, print binary, sketch binary, bands array<bigint>", compute, text, keep)
 
 
+def _maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with ``__maybe``: false only if the row's number is not among the ids.
+
+    A bit for each of 2^FILTER_LOG2 hash values, 64 to a word: a table of at most 65,536 rows whatever
+    the input, which spares most rows the shuffle of an exact join.
+    """
+    size = 1 << FILTER_LOG2
+
+    def place(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(size))
+
+    bit = F.expr("shiftleft(1L, cast(place % 64 AS int))")
+    words = (ids.select(place("node").alias("place")).groupBy(F.floor(F.col("place") / 64).alias("__word"))
+             .agg(F.bit_or(bit).alias("__bits")))
+    asked = rows.withColumn("__place", place(_ROW)).withColumn("__word", F.floor(F.col("__place") / 64))
+    hit = F.expr("shiftrightunsigned(__bits, cast(__place % 64 AS int)) & 1L") == 1
+    return asked.join(F.broadcast(words), "__word", "left").withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop(
+        "__word", "__place", "__bits")
+
+
 def _stored_sets(docs: DataFrame, text: str, nodes: DataFrame, n: int) -> DataFrame:
     """(node, set): the full sets of the candidate nodes, read from their first rows' texts."""
     def compute(data, offsets, batch):
         return [pa.array([s.tobytes() for s in shingle_sets(data, offsets, n)], pa.binary())]
 
-    rows = docs.join(nodes.withColumnRenamed("node", "__node"), F.col(_ROW) == F.col("__node"), "left_semi")
-    return map_texts(rows.select(F.col(_ROW).alias("node"), text), "set binary", compute, text, ["node"])
+    rows = _maybe_among(docs, nodes).filter("__maybe").select(F.col(_ROW).alias("node"), text)
+    return map_texts(rows, "set binary", compute, text, ["node"]).join(nodes, "node", "left_semi")
 
 
 def _promising(edges: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -285,6 +307,11 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     """
     marked = docs.withColumn(_ROW, F.monotonically_increasing_id())
     found = cut_lineage(_classes(marked, text, key, percent, n, bands, rows).select(_ROW, "key", "label", "component_key"))
-    first = (found.filter("label IS NOT NULL AND key <=> component_key").groupBy("label").agg(F.min(_ROW).alias("__kept"))
-             .select("__kept").unionByName(found.filter("label IS NULL").select(F.col(_ROW).alias("__kept"))))
-    return marked.join(first, F.col(_ROW) == F.col("__kept"), "left_semi").drop(_ROW)
+    kept = (found.filter("label IS NOT NULL AND key <=> component_key").groupBy("label").agg(F.min(_ROW).alias("kept")))
+    dropped = cut_lineage(found.filter("label IS NOT NULL").join(kept, "label", "left")
+                          .filter(f"NOT ({_ROW} <=> kept)").select(F.col(_ROW).alias("node")))
+    # Most rows are known to stay without a shuffle; the others are looked up.
+    flagged = _maybe_among(marked, dropped)
+    sure = flagged.filter("NOT __maybe")
+    looked_up = flagged.filter("__maybe").join(dropped, F.col(_ROW) == F.col("node"), "left_anti")
+    return sure.unionByName(looked_up).drop(_ROW, "__maybe")

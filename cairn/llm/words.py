@@ -143,3 +143,14 @@ def map_texts(df: DataFrame, added: str | T.StructType, compute: Compute, text:
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+def neutral_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under names that clash with no added column, and the new name of each column."""
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def given_names(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``neutral_names`` alone, under their own names again."""
+    return df.select(*names.values()).toDF(*names)
