@@ -7,6 +7,7 @@ exactly half up.
 
 from __future__ import annotations
 
+from cairn.operators import quality
 from cairn.rules import WHITESPACE, Rules
 from cairn.sources.star import BENCH_RULES, SCORE_LABELS
 
@@ -524,6 +525,18 @@ _one.update({
         JOIN (SELECT spot_name, array_to_string(list(aspect_name ORDER BY sample_size DESC, aspect_name)[1:5], ',') AS top FROM aspect_stat GROUP BY spot_name) a USING (spot_name)""",
 })
 
+_blocking = texts(quality.BLOCKING)
+_one.update({
+    "hash_sample": f"SELECT comment_id FROM clean WHERE ('0x' || substr(md5('{R.seed}:' || comment_id), 1, 8))::BIGINT % 1000000 < 200000",
+    "table_fingerprint": """SELECT count(*) AS row_count, sum(('0x' || substr(md5(concat_ws('|', comment_id, spot_name, score, score_desc, content, content_length,
+        publish_date, publish_year, publish_month, ip_location, ip_is_unknown, ip_province, user_nick, like_count, image_count, image_urls, is_low_info)), 1, 8))::BIGINT)
+        ::DECIMAL(38, 0) AS checksum FROM clean""",
+    "readiness": f"""SELECT CASE WHEN issues = '' THEN 'READY' ELSE 'BLOCKED' END AS status, issues, warnings FROM (
+        SELECT coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (list_contains({_blocking}, check_name)), '') AS issues,
+          coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (list_contains({texts(quality.WARNING)}, check_name)), '') AS warnings
+        FROM ({_one['integrity_checks']} UNION ALL SELECT 'open_failures', count(*) FROM events WHERE event_type = 'error' AND NOT value > 10) WHERE actual > 0)""",
+})
+
 _bayes = f"""
 , feat AS (SELECT comment_id, words FROM {_terms}),
 tf AS (SELECT comment_id, term, count(*) AS n FROM (SELECT comment_id, unnest(words) AS term FROM feat) GROUP BY 1, 2),

@@ -15,7 +15,8 @@ def seeded_sample(df: DataFrame, rows: int, total: int, seed: int = 42) -> DataF
 
 def hash_sample(df: DataFrame, fraction: float, key: str, seed: int = 42) -> DataFrame:
     """The same rows for the same seed, whatever the partitioning."""
-    slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1_000_000
     return df.filter(slot < int(fraction * 1_000_000))
 
 
