@@ -28,11 +28,11 @@ from cairn.llm.words import Sums, mix, quoted, slices, utf8
 from cairn.session import cut_lineage
 
 LENGTH, GRAM = 50, 20
-BLOCK_ROWS_LOG2 = 10
+BLOCK_ROWS_LOG2 = 9
 #: Anchors are looked for in slices of about so many bytes; each byte takes some 100 bytes of memory.
 SLICE_BYTES = 1 << 18
 #: A part gets the anchors of about so many documents; a shard takes some 150 bytes of memory for each byte.
-ROWS_PER_PART = 512
+ROWS_PER_PART = 256
 #: An anchor with more different surroundings has its windows dealt one by one.
 MANY_SURROUNDINGS = 4096
 NO_KEY = np.iinfo(np.int64).max
