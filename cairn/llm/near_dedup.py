@@ -2,9 +2,9 @@
 
 Documents with equal shingle sets are one node, so a group of exact copies costs one node.  A bucket
 names as its centre the member that shares most buckets with others, and every member is compared
-with it on full sets.  Buckets that then still hold several components are compared once more: all
-through if they are small, else with eight further centres.  Two texts that are both far from every
-centre of all their large buckets meet in the small buckets of the changes they share.
+with it on full sets.  Buckets that then still hold several components name further centres, more in
+each round, until all their members that were no centre are in one component.  So no pair of a bucket
+is lost to the choice of a centre.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ SHINGLE = 5
 BANDS, ROWS = 40, 6
 #: A centre with more members is compared in several tasks.
 MEMBERS_PER_TASK = 4096
-#: Buckets of up to so many members are compared all through, larger ones with so many centres.
-SMALL_BUCKET, CENTERS = 8, 8
+#: Buckets of up to so many members are compared all through; larger ones name CENTERS further centres
+#: at first, and GROWTH times as many in each round.
+SMALL_BUCKET, CENTERS, GROWTH = 8, 8, 4
+#: A bucket with more members meets its centres in several tasks.
+BUCKET_PER_TASK = 512
 #: Bits of the filter that keeps rows from needless shuffles.
 FILTER_LOG2 = 22
 _ROW = "__row"
@@ -225,37 +228,57 @@ def _with_popularity(buckets: DataFrame) -> DataFrame:
 
 def _tested(rows: DataFrame, centers: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the centres of each bucket and its members of other components."""
+    parts = F.ceil(F.col("size") / BUCKET_PER_TASK).cast("int")
     named = centers.join(rows.select("bucket", F.col("node").alias("center"), F.col("label").alias("center_label"),
-                                     F.col("n").alias("center_n")), ["bucket", "center"])
+                                     F.col("n").alias("center_n"), parts.alias("parts")), ["bucket", "center"])
+    named = named.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
     # The smaller set must be large enough to be that share of the union.
     alike = 100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n")
-    edges = (rows.join(named, "bucket").filter(alike & F.expr("label <> center_label AND node <> center"))
+    edges = (dealt.join(named, ["bucket", "part"]).filter(alike & F.expr("label <> center_label AND node <> center"))
              .select("center", F.col("node").alias("member"), F.least("n", "center_n").alias("n")).distinct())
     edges = cut_lineage(_promising(edges, sketches, percent))
     return cut_lineage(_verify(sets, edges, percent))
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components; ``outside`` are those that are not of the largest."""
+    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
+    most = (sizes.groupBy("bucket").agg(F.max(F.struct("members", "label")).alias("m"), F.count(F.lit(1)).alias("several"))
+            .filter("several > 1").select("bucket", F.col("m.label").alias("most")))
+    return rows.join(most, "bucket").withColumn("outside", F.expr("label <> most")).drop("most")
+
+
 def _linked(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all nodes that have a link; buckets has (bucket, node, n) with two nodes or more.
 
     First every member is compared with its bucket's most popular one.  Then the buckets that hold
-    several components are compared again: small ones all through, larger ones with the most popular
-    member of each of CENTERS hash classes.  So a group of k gives about k edges a bucket and centre.
+    several components name further centres among the members outside their largest component: small
+    ones all of them, larger ones the most popular of each of a number of hash classes, which grows
+    from round to round.  A centre has met all members of its bucket, so it leaves the bucket, and a
+    bucket is done when those left are in one component.  So a group of k gives about k edges a bucket
+    and centre, and only members that stay apart are all compared with each other.
     """
     rows = cut_lineage(_with_popularity(buckets).withColumn("label", F.col("node")))
-    top = F.max(F.struct("popularity", "node"))
-    centers = rows.groupBy("bucket").agg(top.alias("c")).select("bucket", F.col("c.node").alias("center"))
+    top = F.max(F.struct("popularity", "node")).alias("c")
+    centers = rows.groupBy("bucket").agg(top).select("bucket", F.col("c.node").alias("center"))
     links = _tested(rows, centers, sketches, sets, percent)
-    labels = cut_lineage(components(links))
-    named = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("bucket")
-    open_ = cut_lineage(named.join(split, "bucket", "left_semi"))
-    few = open_.filter(F.col("size") <= SMALL_BUCKET).select("bucket", F.col("node").alias("center"))
-    turn = F.pmod(F.xxhash64("node"), F.lit(CENTERS))
-    many = (open_.filter(F.col("size") > SMALL_BUCKET).groupBy("bucket", turn.alias("turn")).agg(top.alias("c"))
-            .select("bucket", F.col("c.node").alias("center")))
-    more = _tested(open_, few.unionByName(many), sketches, sets, percent)
-    return components(links.unionByName(more))
+    labels, classes = cut_lineage(components(links)), CENTERS
+    while True:
+        left = rows.drop("label", "outside").join(centers.withColumnRenamed("center", "node"), ["bucket", "node"], "left_anti")
+        named = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = cut_lineage(_open(named))
+        if rows.isEmpty():
+            return labels
+        mixed = F.xxhash64("node", F.lit(classes))
+        turn = F.when(F.col("size") <= SMALL_BUCKET, F.col("node")).otherwise(F.pmod(mixed, F.lit(classes)))
+        centers = cut_lineage(rows.filter("outside").groupBy("bucket", turn.alias("turn")).agg(top)
+                              .select("bucket", F.col("c.node").alias("center")))
+        links = _tested(rows, centers, sketches, sets, percent)
+        if not links.isEmpty():
+            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = cut_lineage(components(known.unionByName(links)))
+        classes = min(GROWTH * classes, 1 << 30)
 
 
 def _classes(docs: DataFrame, text: str, key: str, percent: int, n: int, bands: int, rows: int) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, mixing, near_dedup, sharding
@@ -214,5 +215,20 @@ def test_components_of_a_path(spark):
     assert labels == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_no_link_of_a_large_bucket_is_lost_to_its_centres(spark):
+    """Forty pairs in one bucket, each near its partner and far from all other members."""
+    rng, sets = np.random.default_rng(4), []
+    common = rng.integers(1, 2 ** 63, 60, dtype=np.uint64)
+    for _ in range(40):
+        own = rng.integers(1, 2 ** 63, 40, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([common, own])), np.unique(np.concatenate([common, own[:37]]))]
+    buckets = spark.createDataFrame([(7, k, len(s)) for k, s in enumerate(sets)], "bucket bigint, node bigint, n bigint")
+    sketches = spark.createDataFrame([(k, bytearray(near_dedup.signature(s, 240).astype(np.uint8).tobytes()))
+                                      for k, s in enumerate(sets)], "node bigint, sketch binary")
+    stored = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node bigint, set binary")
+    found = near_dedup._linked(buckets, sketches, stored, 85).collect()
+    assert {r.node: r.label for r in found} == {k: k - k % 2 for k in range(80)}
+
+
 def test_near_duplicates_of_empty_tables(empty):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.keep_one_of_each(empty).count() == 0
