@@ -1,10 +1,11 @@
 """Language-model scores from a log-frequency Bloom filter (operator 3).
 
 Documents are read in blocks of consecutive rows.  Each block sends its distinct words and pairs of
-words, with their counts, to parts of the hash range; a part adds them up, answers the words' exact
-counts, and writes its segment of the filter: for a count c the keys (n-gram, 1) .. (n-gram, level of
-c).  The segments, whose size is bounded, are broadcast, and counts are read back by probing level
-after level until one is missing.
+words, with their counts, to parts of the hash range; a part adds them up and builds its segment of the
+filter: for a count c the keys (n-gram, 1) .. (n-gram, level of c).  Counts are read back by probing level
+after level until one is missing.  The part answers each block's words and pairs with what its segment
+says, and the words with their exact counts; so all segments together grow with the corpus, and nothing
+but one part's segment is ever held in one place.
 """
 
 from __future__ import annotations
@@ -25,16 +26,14 @@ ROWS_PER_PART = 8192
 #: Levels of the counts grow by this factor.
 BASE = 1.5
 BITS_PER_ENTRY, PROBES = 8, 5
-#: Bound of all segments of one order.  A part whose n-grams need more keeps those of higher count only.
-FILTER_BYTES = 48 << 20
 #: Pseudo-counts of the word distribution in the distribution after a word.
 PRIOR = 20.0
 WORDS, PAIRS = 0, 1
 
 _U = np.uint64
 _START, _END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
-_KEYS = "kind int, part bigint, block bigint, keys binary, counts binary, more binary, more_counts binary"
-_FOUND = "kind int, part bigint, block bigint, counts binary, distinct_n bigint, total_n bigint, bits binary, entries bigint, cutoff bigint"
+_KEYS = "kind int, part bigint, block bigint, keys binary, counts binary, more binary, more_counts binary, unlearned binary"
+_FOUND = "kind int, part bigint, block bigint, counts binary, levels binary, distinct_n bigint, total_n bigint"
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,16 +73,18 @@ def _places(low: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int) ->
     return [((h + _U(i) * step) & _U(0x7FFFFFFFFFFFFFFF)) % np.asarray(bits, np.uint64) for i in range(PROBES)]
 
 
-def build_segment(low: np.ndarray, counts: np.ndarray, most_bytes: int) -> tuple[bytes, int, int]:
+def build_segment(low: np.ndarray, counts: np.ndarray, most_bytes: int | None = None) -> tuple[bytes, int, int]:
     """Bits of one part, the number of entries, and the least count that is held.
 
-    All counts are held as long as their entries fit at BITS_PER_ENTRY; else the least counts go first.
+    Without ``most_bytes`` all counts are held, at BITS_PER_ENTRY; with it the least counts go first if
+    their entries do not fit.
     """
     level = levels(counts)
     by_count = np.bincount(level)
     # Entries if only levels of k or more are held: each n-gram has as many entries as its level.
     entries = np.cumsum((by_count * np.arange(len(by_count)))[::-1])[::-1]
     least = 1
+    most_bytes = 1 << 62 if most_bytes is None else most_bytes
     while least < len(entries) and entries[least] * BITS_PER_ENTRY > most_bytes * 8:
         least += 1
     held = level >= least
@@ -111,7 +112,10 @@ class LogFilter:
         return cls(bits, np.cumsum(size) - size, size)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts read by probing: the last of the levels 1, 2, ... that are all there."""
+        return decoded(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels read by probing: the last of 1, 2, ... that are all there."""
         level = np.zeros(len(keys), np.int64)
         part = part_of(keys, len(self.size)) if len(self.size) else np.zeros(len(keys), np.int64)
         open_ = np.flatnonzero(self.size[part] > 0) if len(self.size) else np.zeros(0, np.int64)
@@ -125,7 +129,7 @@ class LogFilter:
                 there &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
             open_ = open_[there]
             level[open_] = j
-        return decoded(level)
+        return level
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,59 +145,76 @@ def _as_batches(table: pa.Table, text: str):
             yield part, *tokens_of(*utf8(part.column(part.schema.get_field_index(text))))
 
 
+def _learned(part: pa.RecordBatch, at: np.ndarray) -> np.ndarray:
+    """Whether each token is one to learn from."""
+    return np.repeat(~part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False), np.diff(at))
+
+
+def _block_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a block with their training counts, 0 for pairs of held-out rows only."""
+    pairs = ([], [])
+    for part, tokens, before, at in _as_batches(table, "text"):
+        keys, place = np.unique(pair_keys(before, tokens), return_inverse=True)
+        pairs[0].append(keys)
+        pairs[1].append(np.bincount(place[_learned(part, at)], minlength=len(keys)))
+    return _summed(*pairs)
+
+
+def _list_of(counts: np.ndarray) -> np.ndarray:
+    """The list that a pair is sent in: those of count 1, those of more, those of none."""
+    return np.where(counts == 1, 0, np.where(counts > 1, 1, 2))
+
+
 def _ask(parts: int):
     def ask(table: pa.Table) -> pa.Table:
-        """Distinct words of a block with their training counts, and its training pairs, by part."""
-        words, pairs = ([], []), ([], [])
-        for part, tokens, before, at in _as_batches(table, "text"):
-            learn = np.repeat(~part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False), np.diff(at))
+        """Distinct words and pairs of a block with their training counts, by part."""
+        words = ([], [])
+        for part, tokens, _, at in _as_batches(table, "text"):
             keys, place = np.unique(tokens, return_inverse=True)
             words[0].append(keys)
-            words[1].append(np.bincount(place[learn], minlength=len(keys)))
-            keys, counts = np.unique(pair_keys(before[learn], tokens[learn]), return_counts=True)
-            pairs[0].append(keys)
-            pairs[1].append(counts)
+            words[1].append(np.bincount(place[_learned(part, at)], minlength=len(keys)))
         block, rows = table["block"][0].as_py(), []
-        for kind, (keys, counts) in ((WORDS, _summed(*words)), (PAIRS, _summed(*pairs))):
+        for kind, (keys, counts) in ((WORDS, _summed(*words)), (PAIRS, _block_pairs(table))):
             of = part_of(keys, parts)
             edges = np.searchsorted(of, np.arange(parts + 1))
             for p in np.unique(of).tolist():
                 k, c = keys[edges[p]:edges[p + 1]], counts[edges[p]:edges[p + 1]]
                 if kind == WORDS:
-                    rows.append((kind, p, block, k.tobytes(), c.astype(np.uint32).tobytes(), None, None))
+                    rows.append((kind, p, block, k.tobytes(), c.astype(np.uint32).tobytes(), None, None, None))
                 else:  # the part and 32 bits more name a pair; most pairs are there once
-                    low = k.astype(np.uint32)
-                    rows.append((kind, p, block, low[c == 1].tobytes(), None, low[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
+                    low, of_list = k.astype(np.uint32), _list_of(c)
+                    single, more, unlearned = (low[of_list == j].tobytes() for j in range(3))
+                    rows.append((kind, p, block, single, None, more, c[of_list == 1].astype(np.uint32).tobytes(), unlearned))
         return table_of(rows, _KEYS)
 
     return ask
 
 
-def _answer(parts: int, filter_bytes: int):
-    most = max(64, filter_bytes // parts)
-
-    def answer(table: pa.Table) -> pa.Table:
-        """Sums of one part: its filter segment and, for words, the counts in the order they were asked."""
-        kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
-        keys, counts, asked = [], [], []
-        for row in table.select(["block", "keys", "counts", "more", "more_counts"]).to_pylist():
-            if kind == WORDS:
-                k = np.frombuffer(row["keys"], np.uint64)
-                asked.append((row["block"], k))
-                keys.append(k)
-                counts.append(np.frombuffer(row["counts"], np.uint32))
-            else:
-                single = np.frombuffer(row["keys"], np.uint32).astype(np.uint64)
-                keys += [single, np.frombuffer(row["more"], np.uint32).astype(np.uint64)]
-                counts += [np.ones(len(single), np.uint32), np.frombuffer(row["more_counts"], np.uint32)]
-        unique, total = _summed(keys, counts)
-        seen = total > 0
-        bits, entries, cutoff = build_segment(unique[seen], total[seen], most)
-        rows = [(kind, part, -1, None, int(seen.sum()), int(total.sum()), bits, entries, cutoff)]
-        rows += [(kind, part, block, total[np.searchsorted(unique, k)].tobytes(), None, None, None, None, None) for block, k in asked]
-        return table_of(rows, _FOUND)
-
-    return answer
+def _answer(table: pa.Table) -> pa.Table:
+    """Sums of one part; for each block what the part's segment says, and words' exact counts, in the order they were asked."""
+    kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
+    keys, counts, asked = [], [], []
+    for row in table.select(["block", "keys", "counts", "more", "more_counts", "unlearned"]).to_pylist():
+        if kind == WORDS:
+            k, c = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.uint32)
+        else:
+            lists = [np.frombuffer(row[name], np.uint32) for name in ("keys", "more", "unlearned")]
+            k = np.concatenate(lists)
+            c = np.concatenate([np.ones(len(lists[0]), np.uint32), np.frombuffer(row["more_counts"], np.uint32),
+                                np.zeros(len(lists[2]), np.uint32)])
+        asked.append((row["block"], k))
+        keys.append(k)
+        counts.append(c)
+    unique, total = _summed(keys, counts)
+    seen = total > 0
+    low = unique.astype(np.uint64)
+    bits, _, _ = build_segment(low[seen], total[seen])
+    level = LogFilter.of({0: bits}, 1).levels(low).astype(np.uint8)
+    rows = [(kind, part, -1, None, None, int(seen.sum()), int(total.sum()))]
+    for block, k in asked:
+        at = np.searchsorted(unique, k)
+        rows.append((kind, part, block, total[at].tobytes() if kind == WORDS else None, level[at].tobytes(), None, None))
+    return table_of(rows, _FOUND)
 
 
 def held_out(key: str) -> Column:
@@ -205,42 +226,41 @@ _SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score doub
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", train: Column | None = None,
-                    filter_bytes: int = FILTER_BYTES, prior: float = PRIOR) -> DataFrame:
+                    prior: float = PRIOR) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Tokens are the words between ASCII blanks, A-Z lowered, and one end; null and empty texts are
     the end alone.  ``base_score`` uses exact counts.  ``score`` is the log10 probability under
     (c(v w) + prior * P(w)) / (c(v) + prior) with P(w) = (c(w) + 1) / (N + V + 1) and counts read from
-    the filters.  Rows are scored each for itself, so repeated or null keys do no harm; an empty table
+    the filters, which hold all n-grams of the corpus.  Rows are scored each for itself, so repeated or null keys do no harm; an empty table
     gives an empty table.  The input must be a stored table, which is read alike twice.
     """
-    context = docs.sparkSession.sparkContext
     out_rows = held_out(key) if train is None else ~train
     rows = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"),
                        F.coalesce(out_rows, F.lit(True)).alias("held_out")).withColumn("block", block_number(BLOCK_ROWS_LOG2))
     parts = 8 + rows.count() // ROWS_PER_PART
     asked = map_blocks(rows, _ask(parts), _KEYS)
-    found = cut_lineage(asked.groupBy("kind", "part").applyInArrow(_answer(parts, filter_bytes), _FOUND))
-    segments = found.filter("block = -1").drop("counts").collect()
-    n = sum(r["total_n"] for r in segments if r["kind"] == WORDS)
-    v = sum(r["distinct_n"] for r in segments if r["kind"] == WORDS)
-    word_filter, pair_filter = (context.broadcast(LogFilter.of({r["part"]: bytes(r["bits"]) for r in segments if r["kind"] == k}, parts))
-                                for k in (WORDS, PAIRS))
+    found = cut_lineage(asked.groupBy("kind", "part").applyInArrow(_answer, _FOUND))
+    sums = found.filter(f"block = -1 AND kind = {WORDS}").agg(F.sum("total_n").alias("n"), F.sum("distinct_n").alias("v")).first()
+    n, v = sums["n"] or 0, sums["v"] or 0
 
     def score(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        by = np.argsort(answers["part"].to_numpy())
-        counts = answers["counts"].to_pylist()
-        exact = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(counts[i], np.int64) for i in by])
+        by = np.lexsort((answers["part"].to_numpy(), answers["kind"].to_numpy()))
+        kinds, counts, levels_of = answers["kind"].to_pylist(), answers["counts"].to_pylist(), answers["levels"].to_pylist()
+        exact = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(counts[i], np.int64) for i in by if kinds[i] == WORDS])
+        word_counts, told = (decoded(np.concatenate([np.zeros(0, np.uint8)] + [np.frombuffer(levels_of[i], np.uint8) for i in by if kinds[i] == k]))
+                             for k in (WORDS, PAIRS))
+        known_pairs, pair_n = _block_pairs(mine)
+        pair_counts = np.empty(len(known_pairs))
+        pair_counts[np.lexsort((_list_of(pair_n), part_of(known_pairs, parts)))] = told
         known = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [np.unique(t) for _, t, _, _ in _as_batches(mine, "text")]))
-        word_counts = word_filter.value.counts(known)
         base = np.log10((exact + 1) / (n + v + 1))
         chance = (word_counts + 1) / (n + v + 1)
         columns = [[] for _ in range(4)]
         for part, tokens, before, at in _as_batches(mine, "text"):
             word = np.searchsorted(known, tokens)
             last = np.minimum(np.searchsorted(known, before), len(known) - 1)
-            pairs, place = np.unique(pair_keys(before, tokens), return_inverse=True)
-            pair = pair_filter.value.counts(pairs)[place]
+            pair = pair_counts[np.searchsorted(known_pairs, pair_keys(before, tokens))]
             # The start comes before as many first words as there are ends.
             end = word_counts[np.searchsorted(known, _END)]
             context_count = np.where(before == _START, end, word_counts[last])
@@ -253,7 +273,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
             "key": mine["key"], "held_out": mine["held_out"], "n_tokens": n_tokens.astype(np.int64),
             "n_known": n_known.astype(np.int64), "train_tokens": np.full(len(n_tokens), n), "base_score": base_score, "score": model})
 
-    answers = found.filter(f"kind = {WORDS} AND block >= 0").select("block", "part", "counts")
+    answers = found.filter("block >= 0").select("kind", "block", "part", "counts", "levels")
     schema = f"key {docs.schema[key].dataType.simpleString()}, held_out boolean, {_SCORES}"
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
     return scored.withColumnRenamed("key", key)

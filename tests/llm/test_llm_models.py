@@ -57,6 +57,18 @@ def test_filter_holds_every_level_and_drops_low_counts_only_beyond_its_bound():
     assert (bloom_lm.LogFilter.of({0: small}, 1).counts(keys[counts >= 2 * least]) > 0).all()
 
 
+def test_parts_hold_and_answer_every_pair_seen_once():
+    """Whatever the size of the corpus, a part holds all its pairs, and answers learned and held-out ones."""
+    rng = np.random.default_rng(2)
+    low = np.unique(rng.integers(0, 1 << 32, 400_000, dtype=np.uint64)).astype(np.uint32)
+    learned, held = low[::2], low[1::2]
+    asked = bloom_lm.table_of([(bloom_lm.PAIRS, 5, 9, learned.tobytes(), None, b"", b"", held.tobytes())], bloom_lm._KEYS)
+    total, answer = bloom_lm._answer(asked).to_pylist()
+    level = np.frombuffer(answer["levels"], np.uint8)
+    assert total["total_n"] == total["distinct_n"] == len(learned) and answer["block"] == 9
+    assert (level[:len(learned)] >= 1).all() and np.mean(level[len(learned):] > 0) < 0.06
+
+
 def test_scores_of_edge_tables(spark, stored, empty):
     assert bloom_lm.score_documents(empty).count() == 0
     none = bloom_lm.score_documents(spark.createDataFrame([(None, None), (1, "")], "doc_id bigint, text string")).collect()
