@@ -89,7 +89,75 @@ SELECT doc.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIG
   coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM doc LEFT JOIN cut USING (doc_id)"""
 
+#: crc32 (unsigned) of the ASCII text in {0}, bit by bit.
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce(
+  list_concat([4294967295::UBIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], list_transform(range(8), lambda z: 0::UBIGINT)),
+    lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))::BIGINT"""
+
+#: Every prefix of a rebuilt conversation is a list of its turns' digests.
+_OP11 = f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (
+  SELECT c.conv_id, 0 AS own, n, turn FROM conv c JOIN turns b ON b.conv_id = c.base AND b.n <= c.h
+  UNION ALL SELECT c.conv_id, 1, n, turn FROM conv c JOIN turns o ON o.conv_id = c.conv_id AND o.n > c.h),
+rebuilt AS (SELECT conv_id, list(turn ORDER BY own, n) AS s FROM parts GROUP BY conv_id),
+whole AS (SELECT conv_id, coalesce(s, []) AS s FROM conv LEFT JOIN rebuilt USING (conv_id)),
+path AS (SELECT conv_id, d, len(s) AS n, s[1:d] AS key, s[1:d - 1] AS up, s[d].t AS last FROM whole, unnest(range(len(s) + 1)) u(d)),
+node AS (
+  SELECT key, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(last) AS last,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM path GROUP BY key, d),
+kids AS (SELECT up AS key, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY up, d),
+full_node AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children,
+    (n_convs - 1) * octet_length(encode(coalesce(last, ''))) AS own FROM node LEFT JOIN kids USING (key, d)),
+below AS (
+  SELECT key[1:a] AS key, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved_tokens
+  FROM full_node, unnest(range(d + 1)) u(a) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN below USING (key, d) LEFT JOIN node up ON up.key = f.up AND up.d = f.d - 1"""
+
+_OP12 = (_OP6.replace("w[k:k + 4]", "w[k:k + 2]").replace("len(w) < 5", "len(w) < 3").replace("len(w) - 4", "len(w) - 2")
+         .replace(">= 85 *", ">= 90 *").replace(", doc_id = component_id AS kept", ""))
+
+#: Equal words on one diagonal; of the periods of one stretch the smallest counts.
+_OP13 = f"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {_CRC32.format("doc_id::VARCHAR")} AS h FROM documents),
+tail AS (
+  SELECT doc_id, w, len(w)::BIGINT AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a, h FROM doc),
+word AS (
+  SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END] AS s
+  FROM tail, unnest(range(n)) t(i)),
+cell AS (
+  SELECT x.doc_id, x.i - y.i AS q, x.i FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i > y.i
+  WHERE 4 * (x.i - y.i) <= x.n),
+diagonal AS (
+  SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM cell) GROUP BY doc_id, q, k),
+run AS (
+  SELECT doc_id, start, length, min(q) AS period FROM diagonal WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+best AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := period), (-length, start, period)) AS top,
+    string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+  FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM run, unnest(range(start + period, start + length)) t(i)),
+kept AS (
+  SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS words FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.l::BIGINT AS length, top.p::BIGINT AS period,
+  (1000 * top.l // top.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(words, '')) AS collapsed_sha256
+FROM doc LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 
 def all_oracles() -> dict[str, str]:
     return {"op1_benchmark_decontamination": _OP1, "op5_source_mixing": _OP5, "op6_minhash_near_dedup": _OP6,
-            "op8_suffix_array_dedup": _OP8}
+            "op8_suffix_array_dedup": _OP8, "op11_conversation_prefix_trie": _OP11,
+            "op12_ngram_jaccard_join": _OP12, "op13_periodic_runs": _OP13}

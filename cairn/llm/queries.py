@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bloom_lm, decontamination, licenses, mixing, near_dedup, perplexity, pii, rule_ensemble, sharding, suffix_dedup
+from cairn.llm import bloom_lm, decontamination, licenses, mixing, near_dedup, periodic_runs, perplexity, pii, prefix_trie, rule_ensemble, sharding, suffix_dedup
 
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -91,3 +91,17 @@ def op7_license_scan(spark, sf_dir):
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     return licenses.with_licenses(files, "path", ["doc_id"])
+
+
+@_register
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs.collapse_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"],
+                                        rewrite=periodic_runs.repeated_tails, reads="doc_id")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "longest.start", "longest.length", "longest.period",
+                        F.expr("(1000 * longest.length) div longest.period").alias("exponent_milli"), "runs_sha256",
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_register
+def op11_conversation_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt_turns(table(spark, sf_dir, "conversations")))
