@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bloom_lm, decontamination, licenses, mixing, near_dedup, periodic_runs, perplexity, pii, prefix_trie, rule_ensemble, sharding, suffix_dedup
+from cairn.llm import bloom_lm, decontamination, jaccard_join, licenses, mixing, near_dedup, periodic_runs, perplexity, pii, prefix_trie, rule_ensemble, sharding, suffix_dedup
 
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -105,3 +105,8 @@ def op13_periodic_runs(spark, sf_dir):
 @_register
 def op11_conversation_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt_turns(table(spark, sf_dir, "conversations")))
+
+
+@_register
+def op12_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
