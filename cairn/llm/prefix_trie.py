@@ -339,9 +339,10 @@ def prefix_trie(turns: DataFrame, convs: DataFrame | None = None, tree_bytes: in
     one = F.lit(1).cast("bigint")
     parts = _through_trees(turns.join(totals, "conv").select("conv", "place", "turn", "bytes", F.col("total").alias("weight"), one.alias("mark")),
                            tree_bytes)
-    merged = parts.filter(f"kind = {_NODES}").groupBy("pid").agg(
+    # Stored, so that the join with the node above deals both sides anew and can split a node with many children.
+    merged = cut_lineage(parts.filter(f"kind = {_NODES}").groupBy("pid").agg(
         F.first("up").alias("up"), F.first("depth").alias("depth"), F.min("conv").alias("conv"), F.sum("n").alias("n_convs"),
-        F.sum("weight").alias("weight"), F.first("before").alias("before"))
+        F.sum("weight").alias("weight"), F.first("before").alias("before")))
     children = parts.filter(f"kind = {_NODES} AND up IS NOT NULL").groupBy("up").agg(F.countDistinct("pid").alias("n_children"))
     counted = merged.join(children.withColumnRenamed("up", "pid"), "pid", "left").na.fill(0, ["n_children"])
     above = merged.select(F.col("pid").alias("up"), F.col("conv").alias("parent_conv_id"), F.col("before").alias("above"))
