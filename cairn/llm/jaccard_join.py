@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions.skew import salted_lookup_join
 from cairn.llm.blocks import table_of
-from cairn.llm.near_dedup import _maybe_among, _verify, components, shingle_sets
-from cairn.llm.words import mix, quoted, slices, utf8
+from cairn.llm.sets import ROW, components, shingle_sets, verify
+from cairn.llm.similar_lists import folded, joining_links, least_overlap, one_center_each, parity_bits, sets_of
+from cairn.llm.words import quoted, slices, utf8
 from cairn.session import cut_lineage
 
 SHINGLE, PERCENT = 3, 90
@@ -38,11 +39,8 @@ SHINGLE, PERCENT = 3, 90
 BLOCK_ROWS_LOG2, LONG_TEXT = 12, 1 << 16
 #: A part gets the n-grams of about so many documents.
 ROWS_PER_PART = 4096
-#: A list of more members is dealt to tasks in pairs of chunks of about so many.
-CHUNK = 1024
 #: Rows of one text beyond which they get their component in several tasks.
 COPIES_PER_TASK = 4096
-_ROW = "__row"
 
 _U = np.uint64
 _ASKED = "part bigint, block bigint, single binary, more binary, counts binary"
@@ -126,34 +124,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def least_overlap(total, percent: int):
-    """How many elements two sets of together ``total`` share at least if they are linked."""
-    return -(-percent * total // (100 + percent))
-
-
-def parity_bits(elements: np.ndarray) -> bytes:
-    """Bit j says whether an odd number of elements fall on it; four bits or more for each element.
-
-    Elements that two sets share cancel out when their bits are XORed, so the bits left are no more than
-    the elements that only one of them has.
-    """
-    width = max(64, 1 << (4 * len(elements) - 1).bit_length())
-    place = (mix(elements ^ _U(0x5BD1E995C2B2AE35)) & _U(width - 1)).astype(np.int64)
-    return np.packbits(np.bincount(place, minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
-
-
-def _folded(bits: np.ndarray) -> np.ndarray:
-    """The parity bits (rows of words) for half as many bits."""
-    half = bits.shape[1] // 2
-    return bits[:, :half] ^ bits[:, half:] if half else bits
-
-
 _SET = "n_shingles bigint, print binary, first int, tokens array<bigint>, elements binary, bits binary"
 
 
 def _rare_first(parts: int, n: int, percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def order(mine: pa.Table, told: pa.Table) -> pa.Table:
-        rows = mine[_ROW].to_numpy()
+        rows = mine[ROW].to_numpy()
         found = [(rows[at], print_, own) for at, print_, own in _distinct_sets(mine, n)]
         least: dict[bytes, int] = {}
         for row, print_, _ in found:
@@ -181,160 +157,13 @@ def _rare_first(parts: int, n: int, percent: int) -> Callable[[pa.Table, pa.Tabl
             elements.append(own.tobytes())
             bits.append(parity_bits(own))
         return pa.table({
-            _ROW: mine[_ROW], "key": mine["key"], "n_shingles": pa.array(sizes, pa.int64()), "print": pa.array(prints, pa.binary()),
+            ROW: mine[ROW], "key": mine["key"], "n_shingles": pa.array(sizes, pa.int64()), "print": pa.array(prints, pa.binary()),
             "first": pa.array(firsts, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64())),
             "elements": pa.array(elements, pa.binary()), "bits": pa.array(bits, pa.binary())})
 
     return order
 
 
-# --- pairs of a list --------------------------------------------------------------------------------------
-
-class Members:
-    """Members of one list, or of two chunks of it, as arrays; ``linkable(i)`` filters the later ones.
-
-    ``at`` is each member's place of the list's n-gram among its ``tokens``.
-    """
-
-    def __init__(self, columns: dict, percent: int):
-        self.n, self.label, self.node = (np.array(columns[c], np.int64) for c in ("n", "label", "node"))
-        self.chunk, self.chunks = np.array(columns["chunk"], np.int64), columns["chunks"]
-        self.center = np.array([-1 if c is None else c for c in columns["center"]], np.int64)
-        self.percent = percent
-        tokens = columns["tokens"]
-        at = [int(np.flatnonzero(t == columns["token"])[0]) for t in tokens]
-        self.rest = self.n - np.array(columns["first"], np.int64) - np.array(at, np.int64) - 1
-        # Earlier tokens that several members have, as bits.
-        before = [t[:k] for t, k in zip(tokens, at)]
-        every, count = np.unique(np.concatenate([np.zeros(0, np.int64), *before]), return_counts=True)
-        every = every[count > 1]
-        self.earlier = np.zeros((len(tokens), -(-len(every) // 64)), np.uint64)
-        if len(every):
-            for i, t in enumerate(before):
-                own = np.searchsorted(every, t)
-                own = own[every[np.minimum(own, len(every) - 1)] == t]
-                np.bitwise_or.at(self.earlier[i], own >> 6, _U(1) << (own & 63).astype(np.uint64))
-        self.width = np.array([len(b) for b in columns["bits"]])
-        self.bits, self.half, self.row = {}, {}, np.zeros(len(tokens), np.int64)
-        for w in np.unique(self.width).tolist():
-            own = np.flatnonzero(self.width == w)
-            self.row[own] = np.arange(len(own))
-            self.bits[w] = np.frombuffer(b"".join(columns["bits"][i] for i in own), np.uint64).reshape(len(own), -1)
-            self.half[w] = _folded(self.bits[w])
-
-    def linkable(self, i: int) -> np.ndarray:
-        """Later members of other components that no filter keeps from a link with member i."""
-        j = np.arange(i + 1, len(self.n))
-        ok = self.label[j] != self.label[i]
-        if self.chunks[0] != self.chunks[1]:
-            ok &= self.chunk[j] != self.chunk[i]
-        ok &= 100 * np.minimum(self.n[j], self.n[i]) >= self.percent * np.maximum(self.n[j], self.n[i])
-        j = j[ok]
-        total = self.n[j] + self.n[i]
-        least = least_overlap(total, self.percent)
-        ok = 1 + np.minimum(self.rest[j], self.rest[i]) >= least
-        ok &= (self.center[j] != self.node[i]) & (self.center[i] != self.node[j])
-        if self.earlier.shape[1]:
-            ok &= ~(self.earlier[j] & self.earlier[i]).any(axis=1)
-        j, apart = j[ok], (total - 2 * least)[ok]
-        keep = np.zeros(len(j), bool)
-        w = self.width[i]
-        for other in np.unique(self.width[j]).tolist():
-            of = np.flatnonzero(self.width[j] == other)
-            mine = self.half[w][self.row[i]] if other < w else self.bits[w][self.row[i]]
-            theirs = (self.half if other > w else self.bits)[other][self.row[j[of]]]
-            keep[of] = np.bitwise_count(theirs ^ mine).sum(axis=1) <= apart[of]
-        return j[keep]
-
-
-_MEMBER = ("token", "i", "j", "chunk", "node", "label", "n", "first", "center", "tokens", "bits", "elements")
-
-
-def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, Members, list]]:
-    """Consecutive rows of one (token, i, j)."""
-    def members(rows):
-        columns = dict(zip(_MEMBER, zip(*rows)))
-        columns["tokens"] = [np.array(t, np.int64) for t in columns["tokens"]]
-        token, chunks = columns["token"][0], (columns["i"][0], columns["j"][0])
-        return token, Members({**columns, "token": token, "chunks": chunks}, percent), columns["elements"]
-
-    held = []
-    for batch in batches:
-        for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _MEMBER)):
-            if held and held[0][:3] != row[:3]:
-                if len(held) > 1:
-                    yield members(held)
-                held = []
-            held.append(row)
-    if len(held) > 1:
-        yield members(held)
-
-
-def _survivors(percent: int):
-    """(token, node) of the members that any pair of different components needs to verify."""
-    def run(batches):
-        for token, m, _ in _lists(batches, percent):
-            found = np.zeros(len(m.n), bool)
-            for i in range(len(m.n) - 1):
-                j = m.linkable(i)
-                found[j] = True
-                found[i] |= len(j) > 0
-            if found.any():
-                nodes = m.node[found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), token)), pa.array(nodes)], ["token", "node"])
-
-    return run
-
-
-def _joining_links(percent: int):
-    """Links, verified on full sets, between members that no link found before has joined."""
-    def run(batches):
-        for _, m, elements in _lists(batches, percent):
-            sets = [np.frombuffer(e, np.uint64) for e in elements]
-            top = {label: label for label in m.label.tolist()}
-
-            def find(x):
-                while top[x] != x:
-                    top[x] = x = top[top[x]]
-                return x
-
-            links = []
-            for i in range(len(sets) - 1):
-                for j in m.linkable(i).tolist():
-                    a, b = find(m.label[i]), find(m.label[j])
-                    if a == b:
-                        continue
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                        top[a] = b
-                        links.append((m.node[i], m.node[j]))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return run
-
-
-def _dealt(entries: DataFrame) -> DataFrame:
-    """Rows of open lists (token, node, label, ...) with the pairs (i, j) of chunks that they go to.
-
-    Lists of up to CHUNK members are one chunk.  In longer ones the largest component has chunks of its
-    own, which meet only those of the others.
-    """
-    sizes = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("members"))
-    lists = (sizes.groupBy("token").agg(F.sum("members").alias("size"), F.max(F.struct("members", "label")).alias("m"), F.count(F.lit(1)).alias("several"))
-             .filter("several > 1").select("token", "size", F.col("m.label").alias("most"), F.col("m.members").alias("main")))
-    lists = lists.withColumns({"outer": F.expr(f"CAST(ceil((size - main) / {CHUNK}) AS INT)"), "inner": F.expr(f"CAST(ceil(main / {CHUNK}) AS INT)")})
-    rows = entries.join(lists, "token")
-    chunk = F.expr(f"""CASE WHEN size <= {CHUNK} THEN 0 WHEN label = most THEN outer + CAST(pmod(xxhash64(node), inner) AS INT)
-                       ELSE CAST(pmod(xxhash64(node), outer) AS INT) END""")
-    other = F.expr(f"CASE WHEN size <= {CHUNK} THEN array(0) WHEN label = most THEN sequence(0, outer - 1) ELSE sequence(0, outer + inner - 1) END")
-    rows = rows.withColumn("chunk", chunk).withColumn("other", F.explode(other))
-    return rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("size", "most", "main", "outer", "inner", "other")
-
-
-def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.select(*_MEMBER).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
-
 
 def _near_by_bits(edges: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """(center, member) edges that the length and the suffix filter leave."""
@@ -348,54 +177,30 @@ def _near_by_bits(edges: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
             for n_a, n_b, a, b in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
                 a, b = (np.frombuffer(x, np.uint64).reshape(1, -1) for x in (a, b))
                 while a.shape[1] > b.shape[1]:
-                    a = _folded(a)
+                    a = folded(a)
                 while b.shape[1] > a.shape[1]:
-                    b = _folded(b)
+                    b = folded(b)
                 near.append(int(np.bitwise_count(a ^ b).sum()) <= n_a + n_b - 2 * least_overlap(n_a + n_b, percent))
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     return both.mapInArrow(compare, "center bigint, member bigint")
 
 
-def _one_center_each(entries: DataFrame, percent: int) -> DataFrame:
-    """(center, member): for each node the member of its lists that shares most list places with others."""
-    sizes = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    popular = entries.join(sizes, "token").groupBy("node").agg(F.sum("size").alias("popularity"))
-    rated = entries.join(popular, "node")
-    centers = rated.groupBy("token").agg(F.max(F.struct("popularity", "node", "n")).alias("c"))
-    alike = f"c.node <> node AND 100 * least(c.n, n) >= {percent} * greatest(c.n, n)"
-    return (entries.join(centers, "token").filter(alike).groupBy("node").agg(F.max("c").alias("c"))
-            .select(F.col("c.node").alias("center"), F.col("node").alias("member")))
-
-
-def _sets_of(found: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
-    """(node, columns) of the rows among ids (node); most others do not leave their place."""
-    rows = _maybe_among(found.filter("tokens IS NOT NULL").select(_ROW, *columns), ids).filter("__maybe")
-    return rows.drop("__maybe").withColumnRenamed(_ROW, "node")
-
-
 def _labels(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the nodes that have a link; ``found`` has the sets, ``nodes`` (node) one row of equal ones."""
-    listed = found.filter("tokens IS NOT NULL").select(F.col(_ROW).alias("node"), F.col("n_shingles").alias("n"), "first", "tokens")
-    keys = listed.join(nodes, "node", "left_semi").select("node", "n", F.explode("tokens").alias("token"))
+    sets = found.filter("tokens IS NOT NULL")
+    keys = (sets.select(F.col(ROW).alias("node"), F.col("n_shingles").alias("n"), "tokens").join(nodes, "node", "left_semi")
+            .select("node", "n", F.explode("tokens").alias("token")))
     several = keys.groupBy("token").agg(F.min("node").alias("l"), F.max("node").alias("h")).filter("l < h").select("token")
     entries = cut_lineage(keys.join(several, "token", "left_semi"))
-    bits = _sets_of(found, entries.select("node"), "n_shingles", "bits").withColumnRenamed("n_shingles", "n")
-    stars = cut_lineage(_one_center_each(entries, percent))
+    bits = sets_of(sets.select(ROW, F.col("n_shingles").alias("n"), "bits"), entries)
+    stars = cut_lineage(one_center_each(entries, percent))
     near = cut_lineage(_near_by_bits(stars, bits, percent))
     ends = near.select(F.col("center").alias("node")).unionAll(near.select("member"))
-    sets = _sets_of(found, ends, "elements").withColumnRenamed("elements", "set")
-    labels = cut_lineage(components(_verify(sets, near, percent)))
-    # Close what is open: which members have any candidate, then the sets of those alone.
-    label = F.coalesce("label", "node")
-    rows = entries.join(labels, "node", "left").withColumn("label", label).join(stars.withColumnRenamed("member", "node"), "node", "left")
-    lists = cut_lineage(_dealt(rows))
-    about = _sets_of(found, lists.select("node"), "first", "tokens", "bits")
-    no_set = F.lit(None).cast("binary").alias("elements")
-    left = cut_lineage(_grouped(lists.join(about, "node").select("*", no_set)).mapInArrow(_survivors(percent), "token bigint, node bigint").distinct())
-    again = _dealt(rows.join(left, ["token", "node"], "left_semi"))
-    about = _sets_of(found, left.select("node"), "first", "tokens", "bits", "elements")
-    links = cut_lineage(_grouped(again.join(about, "node")).mapInArrow(_joining_links(percent), "a bigint, b bigint"))
+    full = sets.select(ROW, "first", "tokens", F.col("elements").alias("about"))
+    labels = cut_lineage(components(verify(sets_of(full.select(ROW, F.col("about").alias("set")), ends), near, percent)))
+    about = sets.select(ROW, "first", "tokens", F.col("bits").alias("about"))
+    links = cut_lineage(joining_links(entries, labels, stars, about, full, "bits", percent))
     if links.isEmpty():
         return labels
     return cut_lineage(components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
@@ -412,20 +217,20 @@ def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     another plan whose rows come in the same order when they are read again.
     """
     row = F.monotonically_increasing_id()
-    block = F.when(F.octet_length("text") > LONG_TEXT, -1 - F.col(_ROW)).otherwise(F.shiftright(_ROW, BLOCK_ROWS_LOG2))
-    rows = docs.select(row.alias(_ROW), F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text")).withColumn("block", block)
+    block = F.when(F.octet_length("text") > LONG_TEXT, -1 - F.col(ROW)).otherwise(F.shiftright(ROW, BLOCK_ROWS_LOG2))
+    rows = docs.select(row.alias(ROW), F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text")).withColumn("block", block)
     parts = 8 + docs.count() // ROWS_PER_PART
     told = cut_lineage(_by_block(rows.select("block", "text"), _ask(parts, n), _ASKED).groupBy("part").applyInArrow(_answer, _TOLD))
-    schema = f"{_ROW} bigint, key {docs.schema[key].dataType.simpleString()}, {_SET}"
+    schema = f"{ROW} bigint, key {docs.schema[key].dataType.simpleString()}, {_SET}"
     found = cut_lineage(rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_rare_first(parts, n, percent), schema))
     filled = found.filter("n_shingles > 0")
-    nodes = cut_lineage(filled.groupBy("print").agg(F.min(_ROW).alias("node"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")))
+    nodes = cut_lineage(filled.groupBy("print").agg(F.min(ROW).alias("node"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")))
     labels = _labels(found, nodes.select("node"), percent)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = cut_lineage(named.filter("copies > 1 OR label IS NOT NULL").select("print", "label", "key"))
     smallest = named.groupBy("label").agg(F.min("key").alias("component_key"))
     of_print = named.select("print", "label").join(smallest, "label")
     copies = nodes.select("print", F.col("copies").alias("members"))
-    told = salted_lookup_join(found.select(_ROW, "key", "n_shingles", "print"), of_print, copies, ["print"], _ROW, COPIES_PER_TASK)
+    told = salted_lookup_join(found.select(ROW, "key", "n_shingles", "print"), of_print, copies, ["print"], ROW, COPIES_PER_TASK)
     component = F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("component_key"))
     return told.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"))

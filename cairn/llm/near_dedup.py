@@ -1,10 +1,12 @@
 """Near-duplicates by one-permutation MinHash, banded buckets and star-shaped candidates (operator 6).
 
-Documents with equal shingle sets are one node, so a group of exact copies costs one node.  A bucket
-names as its centre the member that shares most buckets with others, and every member is compared
-with it on full sets.  Buckets that then still hold several components name further centres, more in
-each round, until all their members that were no centre are in one component.  So no pair of a bucket
-is lost to the choice of a centre.
+Documents with equal shingle sets are one node, so a group of exact copies costs one node.  Each bucket
+names as its centre the member that shares most buckets with others, and each node is compared with one
+centre, the best of all its buckets: a star has one edge a node, however many buckets two nodes share.
+Buckets that then still hold several components are closed exactly by ``similar_lists``: pairs of
+different components that no filter excludes are verified on full sets in the first bucket they share,
+and a task sends only links that join components.  So no pair of a bucket is lost to the choice of a
+centre, and no bucket gives more rows than it has members.
 """
 
 from __future__ import annotations
@@ -17,37 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.words import LOWER, NOT_BLANK, Sums, Words, grams, map_texts, mix, quoted, utf8
+from cairn.llm.sets import ROW, components, maybe_among, shingle_sets, verify
+from cairn.llm.similar_lists import SIGNATURE_DEVIATIONS, joining_links, one_center_each, sets_of
+from cairn.llm.words import map_texts, mix, quoted, utf8
 from cairn.session import cut_lineage
 
 SHINGLE = 5
 #: 40 bands of 6: two sets of similarity 0.85 miss all bands once in 10^8 pairs.
 BANDS, ROWS = 40, 6
-#: A centre with more members is compared in several tasks.
-MEMBERS_PER_TASK = 4096
-#: Buckets of up to so many members are compared all through; larger ones name CENTERS further centres
-#: at first, and GROWTH times as many in each round.
-SMALL_BUCKET, CENTERS, GROWTH = 8, 8, 4
-#: A bucket with more members meets its centres in several tasks.
-BUCKET_PER_TASK = 512
-#: Bits of the filter that keeps rows from needless shuffles.
-FILTER_LOG2 = 22
-_ROW = "__row"
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each document's n-word shingles; fewer words are one shingle."""
-    data = LOWER[data]
-    words = Words(data, offsets, NOT_BLANK)
-    hashes = Sums(data).of(words.start, words.end)
-    whole = grams(hashes, n)
-    out = []
-    for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()):
-        if b - a >= n:
-            out.append(np.unique(whole[a:b - n + 1]))
-        else:  # the number of words tells short texts from each other and from shingles
-            out.append(grams(hashes[a:b], b - a) ^ np.uint64(b - a) if b > a else np.zeros(0, np.uint64))
-    return out
 
 
 @lru_cache(maxsize=4)
@@ -101,32 +80,12 @@ def _sketches(docs: DataFrame, text: str, keep: list[str], n: int, bands: int, r
     return map_texts(docs, "n_shingles bigint, print binary, sketch binary, bands array<bigint>", compute, text, keep)
 
 
-def _maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows with ``__maybe``: false only if the row's number is not among the ids.
-
-    A bit for each of 2^FILTER_LOG2 hash values, 64 to a word: a table of at most 65,536 rows whatever
-    the input, which spares most rows the shuffle of an exact join.
-    """
-    size = 1 << FILTER_LOG2
-
-    def place(c: str):
-        return F.pmod(F.xxhash64(c), F.lit(size))
-
-    bit = F.expr("shiftleft(1L, cast(place % 64 AS int))")
-    words = (ids.select(place("node").alias("place")).groupBy(F.floor(F.col("place") / 64).alias("__word"))
-             .agg(F.bit_or(bit).alias("__bits")))
-    asked = rows.withColumn("__place", place(_ROW)).withColumn("__word", F.floor(F.col("__place") / 64))
-    hit = F.expr("shiftrightunsigned(__bits, cast(__place % 64 AS int)) & 1L") == 1
-    return asked.join(F.broadcast(words), "__word", "left").withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop(
-        "__word", "__place", "__bits")
-
-
 def _stored_sets(docs: DataFrame, text: str, nodes: DataFrame, n: int) -> DataFrame:
     """(node, set): the full sets of the candidate nodes, read from their first rows' texts."""
     def compute(data, offsets, batch):
         return [pa.array([s.tobytes() for s in shingle_sets(data, offsets, n)], pa.binary())]
 
-    rows = _maybe_among(docs, nodes).filter("__maybe").select(F.col(_ROW).alias("node"), text)
+    rows = maybe_among(docs, nodes).filter("__maybe").select(F.col(ROW).alias("node"), text)
     return map_texts(rows, "set binary", compute, text, ["node"]).join(nodes, "node", "left_semi")
 
 
@@ -148,146 +107,38 @@ def _promising(edges: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
                 continue
             a, b = (utf8(batch.column(i))[0].reshape(batch.num_rows, -1) for i in (3, 4))
             slots = np.minimum(batch.column(2).to_numpy(), a.shape[1])
-            near = (a == b).mean(axis=1) >= least - 6 * np.sqrt(least * (1 - least) / slots)
+            near = (a == b).mean(axis=1) >= least - SIGNATURE_DEVIATIONS * np.sqrt(least * (1 - least) / slots)
             yield batch.select([0, 1]).filter(pa.array(near))
 
     return both.mapInArrow(compare, "center bigint, member bigint")
 
 
-def _verify(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """The (centre, member) edges whose full sets have 100 * intersection >= percent * union.
-
-    Every set goes to the centres that it is compared with, the centre's own set first; a task reads
-    its rows in order and holds one centre's set at a time.
-    """
-    parts = edges.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("parts"))
-    to = edges.join(parts, "center").select(
-        "center", F.col("member").alias("node"), F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"),
-        F.lit(True).alias("is_member"))
-    own = parts.select("center", F.col("center").alias("node"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"),
-                       F.lit(False).alias("is_member"))
-    rows = sets.join(to.unionByName(own), "node").repartition("center", "part").sortWithinPartitions("center", "part", "is_member")
-
-    def compare(batches):
-        center, held = None, None
-        for batch in batches:
-            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            centers, nodes, members = (at[c].to_numpy(zero_copy_only=False) for c in ("center", "node", "is_member"))
-            found = []
-            for i in range(len(centers)):
-                elements = np.frombuffer(at["set"][i].as_buffer(), np.uint64)
-                if not members[i]:
-                    center, held = centers[i], elements
-                    continue
-                assert center == centers[i]
-                place = np.searchsorted(held, elements)
-                both = int((held[np.minimum(place, len(held) - 1)] == elements).sum())
-                if 100 * both >= percent * (len(held) + len(elements) - both):
-                    found.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(centers[found], pa.int64()), pa.array(nodes[found], pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(compare, "a bigint, b bigint")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component, for nodes that have an edge.
-
-    Large-star and small-star steps in turn, until no edge changes; each needs a minimum per node
-    (combined before the shuffle) and a join with it.
-    """
-    edges = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionByName(low.select("a", F.col("m").alias("b"))))
-        small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-        edges = cut_lineage(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    roots = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
-        roots.select("node", F.col("node").alias("label")))
-
-
-def _with_popularity(buckets: DataFrame) -> DataFrame:
-    """Bucket rows with the bucket's size and the node's popularity, the sum of its buckets' sizes.
-
-    Of the copies of one text, the one nearest to all others shares most buckets with them.
-    """
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    sized = buckets.join(sizes, "bucket")
-    popular = sized.groupBy("node").agg(F.sum("size").alias("popularity"))
-    return sized.join(popular, "node")
-
-
-def _tested(rows: DataFrame, centers: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the centres of each bucket and its members of other components."""
-    parts = F.ceil(F.col("size") / BUCKET_PER_TASK).cast("int")
-    named = centers.join(rows.select("bucket", F.col("node").alias("center"), F.col("label").alias("center_label"),
-                                     F.col("n").alias("center_n"), parts.alias("parts")), ["bucket", "center"])
-    named = named.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    # The smaller set must be large enough to be that share of the union.
-    alike = 100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n")
-    edges = (dealt.join(named, ["bucket", "part"]).filter(alike & F.expr("label <> center_label AND node <> center"))
-             .select("center", F.col("node").alias("member"), F.least("n", "center_n").alias("n")).distinct())
-    edges = cut_lineage(_promising(edges, sketches, percent))
-    return cut_lineage(_verify(sets, edges, percent))
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components; ``outside`` are those that are not of the largest."""
-    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
-    most = (sizes.groupBy("bucket").agg(F.max(F.struct("members", "label")).alias("m"), F.count(F.lit(1)).alias("several"))
-            .filter("several > 1").select("bucket", F.col("m.label").alias("most")))
-    return rows.join(most, "bucket").withColumn("outside", F.expr("label <> most")).drop("most")
-
-
 def _linked(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of all nodes that have a link; buckets has (bucket, node, n) with two nodes or more.
-
-    First every member is compared with its bucket's most popular one.  Then the buckets that hold
-    several components name further centres among the members outside their largest component: small
-    ones all of them, larger ones the most popular of each of a number of hash classes, which grows
-    from round to round.  A centre has met all members of its bucket, so it leaves the bucket, and a
-    bucket is done when those left are in one component.  So a group of k gives about k edges a bucket
-    and centre, and only members that stay apart are all compared with each other.
-    """
-    rows = cut_lineage(_with_popularity(buckets).withColumn("label", F.col("node")))
-    top = F.max(F.struct("popularity", "node")).alias("c")
-    centers = rows.groupBy("bucket").agg(top).select("bucket", F.col("c.node").alias("center"))
-    links = _tested(rows, centers, sketches, sets, percent)
-    labels, classes = cut_lineage(components(links)), CENTERS
-    while True:
-        left = rows.drop("label", "outside").join(centers.withColumnRenamed("center", "node"), ["bucket", "node"], "left_anti")
-        named = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rows = cut_lineage(_open(named))
-        if rows.isEmpty():
-            return labels
-        mixed = F.xxhash64("node", F.lit(classes))
-        turn = F.when(F.col("size") <= SMALL_BUCKET, F.col("node")).otherwise(F.pmod(mixed, F.lit(classes)))
-        centers = cut_lineage(rows.filter("outside").groupBy("bucket", turn.alias("turn")).agg(top)
-                              .select("bucket", F.col("c.node").alias("center")))
-        links = _tested(rows, centers, sketches, sets, percent)
-        if not links.isEmpty():
-            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-            labels = cut_lineage(components(known.unionByName(links)))
-        classes = min(GROWTH * classes, 1 << 30)
+    """(node, label) of all nodes that have a link; buckets has (bucket, node, n) with two nodes or more."""
+    entries = cut_lineage(buckets.select(F.col("bucket").alias("token"), "node", "n"))
+    stars = cut_lineage(one_center_each(entries, percent))
+    sizes = entries.select(F.col("node").alias("member"), "n").distinct()
+    near = cut_lineage(_promising(stars.join(sizes, "member"), sketches, percent))
+    stored = sets.withColumnRenamed("node", ROW)
+    labels = cut_lineage(components(verify(sets_of(stored, near.select(F.col("center").alias("node")).unionAll(near.select("member"))), near, percent)))
+    in_buckets = entries.groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("tokens"))  # BANDS at most
+    about = cut_lineage(in_buckets.join(sketches, "node").select(F.col("node").alias(ROW), "tokens", F.col("sketch").alias("about"))
+                        .withColumn("first", F.lit(None).cast("int")))
+    full = about.drop("about").join(stored.select(ROW, F.col("set").alias("about")), ROW)
+    links = cut_lineage(joining_links(entries, labels, stars, about, full, "signature", percent))
+    if links.isEmpty():
+        return labels
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return cut_lineage(components(links.unionByName(known)))
 
 
 def _classes(docs: DataFrame, text: str, key: str, percent: int, n: int, bands: int, rows: int) -> DataFrame:
     """Row id, key, ``n_shingles`` and the component's label and smallest (key, row) of every row."""
-    narrow = docs.select(_ROW, F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
-    sketches = cut_lineage(_sketches(narrow, "text", [_ROW, "key"], n, bands, rows))
+    narrow = docs.select(ROW, F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
+    sketches = cut_lineage(_sketches(narrow, "text", [ROW, "key"], n, bands, rows))
     filled = sketches.filter("n_shingles > 0")
     nodes = cut_lineage(filled.groupBy("print").agg(
-        F.min(_ROW).alias("node"), F.min("key").alias("key"), F.first("n_shingles").alias("n"),
+        F.min(ROW).alias("node"), F.min("key").alias("key"), F.first("n_shingles").alias("n"),
         F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     keys = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     several = keys.groupBy("bucket").agg(F.min("node").alias("l"), F.max("node").alias("h")).filter("l < h").select("bucket")
@@ -300,7 +151,7 @@ def _classes(docs: DataFrame, text: str, key: str, percent: int, n: int, bands:
     named = cut_lineage(named.select("print", "key", "label"))
     smallest = named.groupBy("label").agg(F.min("key").alias("component_key"))
     of_print = named.select("print", "label").join(smallest, "label")
-    return sketches.select(_ROW, "key", "n_shingles", "print").join(of_print, "print", "left")
+    return sketches.select(ROW, "key", "n_shingles", "print").join(of_print, "print", "left")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, n: int = SHINGLE,
@@ -314,7 +165,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     is that key, so repeated rows of one key are kept alike.  The input must be a stored table or
     another plan whose rows come in the same order when they are read again.
     """
-    docs = docs.select(quoted(key), quoted(text)).withColumn(_ROW, F.monotonically_increasing_id())
+    docs = docs.select(quoted(key), quoted(text)).withColumn(ROW, F.monotonically_increasing_id())
     found = _classes(docs, text, key, percent, n, bands, rows)
     component = F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("component_key"))
     return found.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"),
@@ -328,13 +179,13 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     Repeated rows of that key leave one; a null key stays only if no member has another.  Documents
     without shingles stay.  Columns stay as they are; the input must be a stored table.
     """
-    marked = docs.withColumn(_ROW, F.monotonically_increasing_id())
-    found = cut_lineage(_classes(marked, text, key, percent, n, bands, rows).select(_ROW, "key", "label", "component_key"))
-    kept = (found.filter("label IS NOT NULL AND key <=> component_key").groupBy("label").agg(F.min(_ROW).alias("kept")))
+    marked = docs.withColumn(ROW, F.monotonically_increasing_id())
+    found = cut_lineage(_classes(marked, text, key, percent, n, bands, rows).select(ROW, "key", "label", "component_key"))
+    kept = (found.filter("label IS NOT NULL AND key <=> component_key").groupBy("label").agg(F.min(ROW).alias("kept")))
     dropped = cut_lineage(found.filter("label IS NOT NULL").join(kept, "label", "left")
-                          .filter(f"NOT ({_ROW} <=> kept)").select(F.col(_ROW).alias("node")))
+                          .filter(f"NOT ({ROW} <=> kept)").select(F.col(ROW).alias("node")))
     # Most rows are known to stay without a shuffle; the others are looked up.
-    flagged = _maybe_among(marked, dropped)
+    flagged = maybe_among(marked, dropped)
     sure = flagged.filter("NOT __maybe")
-    looked_up = flagged.filter("__maybe").join(dropped, F.col(_ROW) == F.col("node"), "left_anti")
-    return sure.unionByName(looked_up).drop(_ROW, "__maybe")
+    looked_up = flagged.filter("__maybe").join(dropped, F.col(ROW) == F.col("node"), "left_anti")
+    return sure.unionByName(looked_up).drop(ROW, "__maybe")

@@ -9,7 +9,7 @@ import pytest
 from llm_rows import SCHEMA, prose
 from pyspark.sql import functions as F
 
-from cairn.llm import jaccard_join
+from cairn.llm import jaccard_join, similar_lists
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -93,7 +93,8 @@ def test_components_equal_all_pairs(table, rows):
 
 @pytest.mark.parametrize("percent,n", [(80, 5), (90, 3)])
 def test_small_chunks_blocks_and_parts_lose_no_link(monkeypatch, table, rows, percent, n):
-    for name, value in (("CHUNK", 7), ("BLOCK_ROWS_LOG2", 3), ("LONG_TEXT", 700), ("ROWS_PER_PART", 20), ("COPIES_PER_TASK", 1)):
+    monkeypatch.setattr(similar_lists, "CHUNK", 7)
+    for name, value in (("BLOCK_ROWS_LOG2", 3), ("LONG_TEXT", 700), ("ROWS_PER_PART", 20), ("COPIES_PER_TASK", 1)):
         monkeypatch.setattr(jaccard_join, name, value)
     assert found(jaccard_join.linked_documents(table, percent=percent, n=n)) == joined(rows, percent, n)[0]
 
@@ -110,9 +111,9 @@ def test_parity_bits_bound_the_difference_from_below():
     for _ in range(200):
         a, b, c = (rng.integers(0, 2**63, rng.integers(1, 200), dtype=np.uint64) for _ in range(3))
         x, y = np.unique(np.concatenate([a, c])), np.unique(np.concatenate([b, c]))
-        p, q = (np.frombuffer(jaccard_join.parity_bits(s), np.uint64).reshape(1, -1) for s in (x, y))
+        p, q = (np.frombuffer(similar_lists.parity_bits(s), np.uint64).reshape(1, -1) for s in (x, y))
         while p.shape[1] != q.shape[1]:
-            p, q = (jaccard_join._folded(p), q) if p.shape[1] > q.shape[1] else (p, jaccard_join._folded(q))
+            p, q = (similar_lists.folded(p), q) if p.shape[1] > q.shape[1] else (p, similar_lists.folded(q))
         assert int(np.bitwise_count(p ^ q).sum()) <= len(np.setxor1d(x, y))
 
 
@@ -120,6 +121,6 @@ def test_prefixes_of_linked_sets_meet():
     for percent in (80, 85, 90):
         for n in range(1, 80):
             for m in range(n, 100):
-                least = jaccard_join.least_overlap(n + m, percent)
+                least = similar_lists.least_overlap(n + m, percent)
                 if least <= n:  # more elements in common than a set has after its prefix
                     assert least > n - jaccard_join.prefix_length(n, percent) and least > m - jaccard_join.prefix_length(m, percent)
