@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.operators.features import term_rows, term_weights
 from cairn.operators.statistics import polarity_name, weak_label
 from cairn.rules import DEFAULT_RULES, Rules
+from cairn.session import cut_lineage
 
 LABELS = (0.0, 1.0, 2.0)
 METRICS = ("accuracy", "f1", "weightedPrecision", "weightedRecall")
@@ -31,25 +32,33 @@ def _by_label(value, name: str) -> list[Column]:
     return [value(label).alias(f"{name}{i}") for i, label in enumerate(LABELS)]
 
 
-def scored(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """(comment_id, prediction) of every row by naive Bayes with smoothing 1 on TF-IDF.
+def train(features: DataFrame, rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
+    """The model as two tables: a row per term (term, idf, s0..s2) and one row (vocabulary, t0..t2, d0..d2).
 
-    One row per term holds its idf and its weight in each class; a document's score is a sum over
-    its terms.  Classes without a training row are never predicted; equal scores go to the smaller
-    label.  Nothing but the three class totals is broadcast.
+    ``s`` is a term's TF-IDF weight in each class, ``t`` the sum over all terms, ``d`` the training rows.
     """
     terms = term_rows(features)
     weights = term_weights(terms, features, rules)
-    train = labelled(features, rules).filter("training")
-    sums = (terms.join(train, "comment_id").join(weights, "term").groupBy("term").agg(*_by_label(
+    chosen = labelled(features, rules).filter("training")
+    sums = (terms.join(chosen, "comment_id").join(weights, "term").groupBy("term").agg(*_by_label(
         lambda x: F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n") * F.col("idf"))), F.lit(0.0)), "s")))
-    table = weights.join(sums, "term", "left").select(
-        "term", "idf", *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in range(len(LABELS))])
+    table = cut_lineage(weights.join(sums, "term", "left").select(
+        "term", "idf", *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in range(len(LABELS))]))
+    totals = table.agg(F.count(F.lit(1)).alias("vocabulary"), *[
+        F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"t{i}") for i in range(len(LABELS))])
+    docs = chosen.agg(*_by_label(lambda x: F.count_if(F.col("label") == x), "d"))
+    return table, totals.join(F.broadcast(docs))
+
+
+def predict(features: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
+    """(comment_id, prediction) of every row by a model of ``train``, fresh or stored.
+
+    A document's score is a sum over its terms.  Classes without a training row are never predicted;
+    equal scores go to the smaller label.  Nothing but the one row of class totals is broadcast.
+    """
     size = len(LABELS)
-    totals = table.agg(F.count(F.lit(1)).alias("vocabulary"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"t{i}") for i in range(size)])
-    docs = train.agg(*_by_label(lambda x: F.count_if(F.col("label") == x), "d"))
-    classes = F.broadcast(totals.join(F.broadcast(docs)))
-    parts = terms.join(table, "term").join(classes).groupBy("comment_id").agg(*[
+    classes = F.broadcast(classes)
+    parts = term_rows(features).join(table, "term").join(classes).groupBy("comment_id").agg(*[
         F.sum(F.col("n") * F.col("idf") * (F.log(F.col(f"s{i}") + 1) - F.log(F.col(f"t{i}") + F.col("vocabulary")))).alias(f"p{i}")
         for i in range(size)])
     present = reduce(lambda a, b: a + b, [(F.col(f"d{i}") > 0).cast("int") for i in range(size)])
@@ -61,6 +70,12 @@ def scored(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     return features.select("comment_id").join(parts, "comment_id", "left").join(classes).select("comment_id", prediction.alias("prediction"))
 
 
+def scored(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """(comment_id, prediction) of every row by naive Bayes with smoothing 1 on TF-IDF."""
+    table, classes = train(features, rules)
+    return predict(features, table, cut_lineage(classes))
+
+
 def confusion(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Rows per (true label, prediction) of the test part."""
     test = labelled(features, rules).filter(~F.col("training"))
@@ -94,9 +109,10 @@ def evaluation(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     return row.withColumn("metrics_json", F.to_json(F.struct(*row.columns)))
 
 
-def predictions(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Polarity of every modelling row, scored or not."""
-    return features.select("comment_id", "spot_name").join(scored(features, rules), "comment_id").select(
+def predictions(features: DataFrame, rules: Rules = DEFAULT_RULES, scores: DataFrame | None = None) -> DataFrame:
+    """Polarity of every modelling row, scored or not; ``scores`` come from ``predict``."""
+    scores = scored(features, rules) if scores is None else scores
+    return features.select("comment_id", "spot_name").join(scores, "comment_id").select(
         "comment_id", "spot_name", F.lit(rules.baseline_method).alias("method"),
         polarity_name(F.col("prediction")).alias("polarity"),
         F.lit(None).cast("int").alias("intensity"), F.lit(1).alias("is_valid"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import rates
 from cairn.functions.text import norm_text, strip, to_nullable
 from cairn.rules import DEFAULT_RULES, Rules
+from cairn.session import cut_lineage
 
 
 def parse_day(c: Column) -> Column:
@@ -159,3 +160,53 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Q10: count rows of a stage while it runs, without a second pass."""
     watch = Observation(name)
     return df.observe(watch, F.count(F.lit(1)).alias("rows")), watch
+
+
+class ObservedRun:
+    """Q10: counters of every stage of one write, taken while the rows pass.
+
+    ``watch`` marks a stage; after ``store`` has written the last one, ``counts`` has each stage's numbers.
+    A stage may count more than rows; what it counts must be an aggregate.
+    """
+
+    def __init__(self):
+        self._watches: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, stage: str, **counts: Column) -> DataFrame:
+        self._watches[stage] = Observation(stage)
+        return df.observe(self._watches[stage], F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counts.items()])
+
+    def store(self, df: DataFrame, path: str) -> DataFrame:
+        """Writes the rows, which runs all stages once, and returns the stored table."""
+        df.write.mode("errorifexists").parquet(path)
+        return df.sparkSession.read.parquet(path)
+
+    def counts(self, stage: str) -> dict[str, int]:
+        return {n: v or 0 for n, v in self._watches[stage].get.items()}
+
+
+def store_counted(raw: DataFrame, path: str, rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, ObservedRun]:
+    """Q10: clean, flag and store all reviews in one write that also counts its stages.
+
+    Rejected rows are counted where the dates are parsed, so ``raw`` is read once by the cleaning; the
+    duplicate digests alone are grouped beside it.  Returns the stored reviews and the counters.
+    """
+    from cairn.operators.duplicates import flag_exact_duplicates
+
+    run = ObservedRun()
+    good = parse_day(F.col("publish_date")).isNotNull() & strip(F.col("comment_id")).try_cast("bigint").isNotNull()
+    rows = run.watch(raw, "read source", rejected=F.count_if(~good))
+    clean = run.watch(clean_reviews(rows, rules), "normalise fields")
+    usable = (F.col("is_low_info") == 0) & (F.col("is_dup_content") == 0)
+    flagged = run.watch(flag_exact_duplicates(cut_lineage(clean), rules), "flags", usable=F.count_if(usable))
+    return run.store(flagged, path), run
+
+
+def observed_steps(spark: SparkSession, run: ObservedRun) -> DataFrame:
+    """The counters of ``store_counted`` in the layout of ``step_counters``: four rows."""
+    read, clean, flags = (run.counts(s) for s in ("read source", "normalise fields", "flags"))
+    steps = [("read source", read["rows"], read["rows"], 0), ("normalise fields", read["rows"], clean["rows"], read["rejected"]),
+             ("mark duplicates and short texts", clean["rows"], flags["rows"], 0),
+             ("text modelling input", flags["rows"], flags["usable"], 0)]
+    return spark.createDataFrame([(s, i, o, i - o, a) for s, i, o, a in steps],
+                                 "stage string, input_count bigint, output_count bigint, dropped_count bigint, abnormal_count bigint")

@@ -102,7 +102,7 @@ def with_spot_fields(reviews: DataFrame, spots: DataFrame) -> DataFrame:
 
 
 def natural_id(*columns: str) -> Column:
-    """K5: a surrogate key that needs no sequence: a hash of the natural key."""
+    """K5: a surrogate key that needs no sequence: a hash of the natural key; ``numbering.numbered`` has gapless ones."""
     return F.xxhash64(*columns)
 
 

@@ -39,9 +39,13 @@ def modelling_rows(reviews: DataFrame) -> DataFrame:
 
 
 def modelling_input(reviews: DataFrame, stop_words: Sequence[str] = (),
-                    tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """Tokens of two or more characters, rows without any dropped, stop words removed."""
-    words = F.filter(tokenizer(F.col("content")), lambda t: F.length(t) >= 2)
+                    tokenizer: Callable[[Column], Column] = tokens, token_column: str | None = None) -> DataFrame:
+    """Tokens of two or more characters, rows without any dropped, stop words removed.
+
+    ``token_column`` names tokens that are there already, e.g. those of ``segmentation.segment``.
+    """
+    given = F.col(token_column) if token_column else tokenizer(F.col("content"))
+    words = F.filter(given, lambda t: F.length(t) >= 2)
     rows = modelling_rows(reviews).select("comment_id", "spot_name", "score", words.alias("tokens")).filter(
         F.size("tokens") > 0)
     if not stop_words:

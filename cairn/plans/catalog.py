@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +10,15 @@ from pyspark.sql import functions as F
 
 from cairn.functions.json_body import json_mode, json_source, usage_tokens
 from cairn.operators import (
-    annotation, baseline, cleaning, compare, costs, duplicates, entities, facts, features, linking,
-    numbers, opinions, quality, questions, statistics, topics, validation,
+    annotation, baseline, cleaning, compare, costs, duplicates, entities, facts, features, increments, linking,
+    numbering, numbers, opinions, quality, questions, segmentation, statistics, topics, validation,
 )
 from cairn.plans import views
 from cairn.plans.bench_tables import BenchTables
 from cairn.rules import caliber_notes
-from cairn.session import cut_lineage
+from cairn.session import cut_lineage, ensure_checkpoint_dir
 from cairn.sinks import tables as sinks
+from cairn.sinks.models import ModelStore
 from cairn.sources import gates, queries as table_queries, sampling, sidefiles, star
 
 Query = Callable[[BenchTables], DataFrame]
@@ -788,6 +790,17 @@ def hash_sample(t):  # S10
     return sampling.hash_sample(t.clean, 0.2, "comment_id", t.rules.seed).select("comment_id")
 
 
+@register
+def exact_sample(t):  # S10 with its cap
+    return sampling.exact_sample(t.clean, 137, "comment_id", t.rules.seed).select("comment_id", "spot_name")
+
+
+@register
+def exact_line_sample(t):  # S10 over line items, more rows than one class of digests holds
+    lines = t.table("lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    return sampling.exact_sample(lines, 20_000, "line", t.rules.seed)
+
+
 @register
 def first_reviews(t):  # S11
     return sampling.first_rows(t.clean, 50, "comment_id").select("comment_id", "spot_name")
@@ -836,13 +849,6 @@ def top_terms(t):  # T6
     return features.top_terms(t.features)
 
 
-def _vectors(t: BenchTables):
-    """Tokens are read by every fit, so they are stored once."""
-    rows = cut_lineage(t.features)
-    model = features.fit_text_model(rows, t.rules)
-    return model, model.transform(rows)
-
-
 @register
 def tfidf_rows(t):  # T4 T5
     return features.weighted_terms(t.features, t.rules).filter("weight > 0").groupBy("comment_id").agg(
@@ -871,33 +877,143 @@ def mean_sentiment(t):  # sentiment_avg from the annotated rows
     return baseline.mean_sentiment(t.sentiment, ["spot_name"])
 
 
+def _global_model(t: BenchTables):
+    """Term numbers, counts, and the fitted document and term weights of the model over everything."""
+    rows = cut_lineage(t.features)
+    terms = topics.numbered_terms(rows, t.rules)
+    counts = cut_lineage(topics.global_counts(rows, terms))
+    return terms, counts, *topics.fit_per_entity(counts, t.rules)
+
+
 @register
-def global_topics(t):  # T14 T16
-    vectors = _vectors(t)[1]
-    return topics.global_topics(topics.fit_global(vectors, t.rules), vectors, t.rules)
+def global_topics(t):  # T14 T16 K5
+    _, counts, docs, _ = _global_model(t)
+    return topics.with_topic_ids(topics.global_topics(docs, counts, t.rules))
 
 
 @register
-def global_topic_words(t):  # T15 W3
-    model, vectors = _vectors(t)
-    return topics.global_topic_words(topics.fit_global(vectors, t.rules), model.counts.vocabulary, t.rules)
+def global_topic_words(t):  # T15 W3 K5
+    terms, counts, docs, weights = _global_model(t)
+    ids = topics.with_topic_ids(topics.global_topics(docs, counts, t.rules))
+    return topics.with_topic_numbers(topics.global_topic_words(weights, terms, t.rules), ids)
 
 
 @register
 def entity_topics(t):  # T17 T16
     counts = topics.term_counts(t.features, t.spots, t.rules)
     docs, _ = topics.fit_per_entity(counts, t.rules)
-    return topics.entity_topics(docs, counts, t.rules)
+    return topics.with_topic_ids(topics.entity_topics(docs, counts, t.rules))
 
 
 @register
 def topics_shown(t):  # T19 T15 J11
     counts = topics.term_counts(t.features, t.spots, t.rules)
     docs, terms = topics.fit_per_entity(counts, t.rules)
-    model, vectors = _vectors(t)
-    fitted = topics.fit_global(vectors, t.rules)
-    rates = topics.entity_topics(docs, counts, t.rules).unionByName(topics.global_topics(fitted, vectors, t.rules))
-    words = topics.entity_topic_words(terms, t.rules).unionByName(
-        topics.global_topic_words(fitted, model.counts.vocabulary, t.rules))
+    numbers, all_counts, all_docs, weights = _global_model(t)
+    rates = topics.with_topic_ids(topics.entity_topics(docs, counts, t.rules).unionByName(
+        topics.global_topics(all_docs, all_counts, t.rules)))
+    words = topics.entity_topic_words(terms, t.rules).unionByName(topics.global_topic_words(weights, numbers, t.rules))
     shown = topics.topics_for(t.spots, rates, words)
     return shown.withColumn("words", F.array_join(F.transform("words", lambda w: w["word"]), ","))
+
+
+# --- segmentation (T1): the bench texts have no Chinese, so their runs of letters are segmented -----
+
+LETTER_RUNS = segmentation.SegmentRules(run="\\p{L}+", other="\\p{N}+")
+
+
+@register
+def segment_words(t):  # T1, the model
+    runs = segmentation.run_counts(t.table("documents"), "text", LETTER_RUNS)
+    return segmentation.segment_words(cut_lineage(runs), LETTER_RUNS)
+
+
+@register
+def segmented_tokens(t):  # T1, the tokens of every document
+    texts = t.table("documents").select("doc_id", "text")
+    return segmentation.segment(texts, "doc_id", "text", LETTER_RUNS).select(
+        "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+def _segmented_features(t: BenchTables) -> DataFrame:
+    """T2 to T6 on segmented tokens."""
+    texts = segmentation.segment(t.reviews, "comment_id", "content", LETTER_RUNS)
+    return features.modelling_input(texts, ("la", "le"), token_column="tokens")
+
+
+@register
+def segmented_token_report(t):  # T2 T3 T6
+    return features.token_report(_segmented_features(t), ("la", "le"))
+
+
+@register
+def segmented_top_terms(t):  # T6
+    return features.top_terms(_segmented_features(t))
+
+
+# --- gapless numbers (K5) ---------------------------------------------------------------------------
+
+@register
+def numbered_terms(t):  # K5 T4, the vocabulary of the topics
+    return topics.numbered_terms(t.features, t.rules)
+
+
+@register
+def numbered_reviews(t):  # K5, parent and child: entities get a number by their reviews, reviews carry it
+    counts = t.clean.groupBy("spot_name").agg(F.count(F.lit(1)).alias("n"))
+    spots = numbering.numbered(counts, ["n", "spot_name"], "spot_no", descending=["n"])
+    rows = numbering.with_parent_number(t.clean.select("comment_id", "spot_name", "publish_date"), spots, ["spot_name"], "spot_no", "comment_id", 1_000)
+    return numbering.numbered(rows, ["spot_no", "publish_date", "comment_id"], "review_no").select("comment_id", "spot_no", "review_no")
+
+
+# --- statistics by increments (K1, K3), stored models (K11), counters of one write (Q10, S12) ----------
+
+def fresh_folder(t: BenchTables, name: str) -> str:
+    """A new folder that all executors reach."""
+    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _kept_statistics(t: BenchTables) -> increments.IncrementalStatistics:
+    """All reviews in three batches: earlier dates under other values, then later dates, then the corrections."""
+    kept = increments.IncrementalStatistics(t.spark, fresh_folder(t, "increments"))
+    rows = cut_lineage(t.clean.select(*increments.READ))
+    early = F.coalesce(F.col("publish_date") < "1996-01-01", F.lit(True))
+    wrong = {"score": F.lit(1), "ip_province": F.lit("elsewhere"), "publish_date": F.date_add("publish_date", 4000),
+             "spot_name": F.concat(F.lit("old "), "spot_name"), "like_count": F.col("like_count") + 7}
+    kept.apply(rows.filter(early).withColumns(wrong).withColumn("written", F.lit(0)), 0)
+    kept.apply(rows.filter(~early).withColumn("written", F.lit(1)), 1)
+    kept.compact()
+    kept.apply(rows.filter(early).withColumn("written", F.lit(2)), 2)
+    return kept
+
+
+@register
+def incremental_spot_statistics(t):  # K1 K3 A1 A2
+    return increments.spot_statistics(_kept_statistics(t).state(), t.rules)
+
+
+@register
+def incremental_time_statistics(t):  # K1 K3 A3 A4
+    return increments.time_statistics(_kept_statistics(t).state(), t.rules).drop("sentiment_avg", "stat_version")
+
+
+@register
+def incremental_origin_statistics(t):  # K1 K3 A5 A6
+    return increments.origin_statistics(_kept_statistics(t).state(), t.rules).drop("stat_version")
+
+
+@register
+def stored_model_predictions(t):  # K11 T12: trained, stored, loaded, applied
+    rows = cut_lineage(t.features)
+    store = ModelStore(t.spark, fresh_folder(t, "models"))
+    terms, classes = baseline.train(rows, t.rules)
+    store.save("bayes", {"terms": terms, "classes": classes})
+    scores = baseline.predict(rows, *store.load("bayes", "terms", "classes"))
+    return baseline.predictions(rows, t.rules, scores).select("comment_id", "spot_name", "method", "polarity")
+
+
+@register
+def observed_cleaning_steps(t):  # Q10 S12: counted by the write itself
+    stored, run = cleaning.store_counted(t.raw_with_bad_dates, fresh_folder(t, "cleaned"), t.rules)
+    gates.require_count(run.counts("normalise fields")["rows"], run.counts("flags")["rows"])
+    return cleaning.observed_steps(t.spark, run)

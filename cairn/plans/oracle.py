@@ -572,5 +572,74 @@ _one.update({
 })
 
 
+def _segmented(source: str, key: str, column: str) -> str:
+    """WITH items for the words, the segmented runs and the tokens of a table's texts."""
+    low = f"lower(coalesce({column}, ''))"
+    entropy = "ln(sum(n)) - sum(n * ln(n)) / sum(n)"
+    return f""", seg_runs AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all({low}, '\\p{{L}}+')) AS run FROM {source}) GROUP BY run),
+place AS (SELECT run, n, p, l, substr(run, p, l) AS gram, CASE WHEN p > 1 THEN substr(run, p - 1, 1) ELSE '' END AS pre,
+    substr(run, p + l, 1) AS post FROM seg_runs, unnest(range(1, 5)) a(l), unnest(range(1, length(run) - l + 2)) b(p)),
+gram AS (SELECT gram, sum(n)::BIGINT AS n FROM place GROUP BY gram),
+chars AS (SELECT sum(n)::BIGINT AS chars FROM gram WHERE length(gram) = 1),
+held AS (
+  SELECT g.gram, min(ln(g.n * chars / (h.n * t.n))) AS cohesion FROM gram g, unnest(range(1, length(g.gram))) c(k), chars, gram h, gram t
+  WHERE g.n >= 5 AND h.gram = substr(g.gram, 1, k) AND t.gram = substr(g.gram, k + 1) GROUP BY g.gram),
+pre AS (SELECT gram, {entropy} AS e FROM (SELECT gram, pre, sum(n) AS n FROM place GROUP BY ALL) GROUP BY gram),
+post AS (SELECT gram, {entropy} AS e FROM (SELECT gram, post, sum(n) AS n FROM place GROUP BY ALL) GROUP BY gram),
+chosen AS (
+  SELECT gram, n FROM gram WHERE length(gram) = 1 UNION ALL
+  SELECT gram, n FROM gram JOIN held USING (gram) JOIN pre USING (gram) JOIN post USING (gram)
+  WHERE cohesion >= 1.0 AND pre.e >= 0.8 AND post.e >= 0.8),
+seg_words AS (SELECT gram AS word, n, round(ln((SELECT sum(n) FROM chosen) / n) * 1000000)::BIGINT AS cost FROM chosen),
+ends AS (
+  SELECT run, p + l - 1 AS e, list(struct_pack(l := l, cost := cost) ORDER BY l) AS ways
+  FROM place JOIN seg_words ON word = gram GROUP BY run, e),
+lattice AS (SELECT run, list(ways ORDER BY e) AS ends FROM ends GROUP BY run),
+best AS (
+  SELECT run, list_reduce(range(1, length(run) + 1), lambda path, i: list_append(path, list_min(list_transform(ends[i],
+      lambda w: struct_pack(cost := path[i - w.l + 1].cost + w.cost, back := -w.l)))),
+    [struct_pack(cost := 0::BIGINT, back := 0::BIGINT)]) AS path FROM lattice),
+seg AS (
+  SELECT run, list_reduce(range(length(run), 0, -1), lambda s, k: CASE WHEN k = s.at THEN
+      struct_pack(at := k + path[k + 1].back, words := list_concat([substr(run, k + path[k + 1].back + 1, -path[k + 1].back)], s.words))
+      ELSE s END, struct_pack(at := length(run), words := []::VARCHAR[])).words AS words FROM best),
+item AS (
+  SELECT {key}, i, m[i] AS run FROM (SELECT {key}, regexp_extract_all({low}, '\\p{{L}}+|\\p{{N}}+') AS m FROM {source}), unnest(range(1, len(m) + 1)) t(i)),
+seg_tokens AS (
+  SELECT s.{key}, coalesce(flatten(list(coalesce(words, [item.run]) ORDER BY i) FILTER (i IS NOT NULL)), []) AS tokens
+  FROM {source} s LEFT JOIN item USING ({key}) LEFT JOIN seg ON seg.run = item.run GROUP BY s.{key})
+"""
+
+
+_seg_features = _segmented("flagged", "comment_id", "content") + """, seg_features AS (
+  SELECT comment_id, list_filter(tokens, lambda w: w NOT IN ('la', 'le')) AS words FROM (
+    SELECT comment_id, list_filter(tokens, lambda w: length(w) >= 2) AS tokens FROM seg_tokens JOIN flagged USING (comment_id)
+    WHERE coalesce(content, '') <> '' AND is_low_info = 0 AND is_dup_content = 0) WHERE len(tokens) > 0)"""
+
+_one |= {
+    "incremental_spot_statistics": "SELECT * FROM stat",
+    "incremental_time_statistics": _one["time_statistics"],
+    "incremental_origin_statistics": "SELECT * FROM stat_ip",
+    "stored_model_predictions": _one["baseline_predictions"],
+    "observed_cleaning_steps": _one["cleaning_steps"],
+    "exact_sample": f"SELECT comment_id, spot_name FROM clean ORDER BY md5('{R.seed}:' || comment_id), comment_id LIMIT 137",
+    "exact_line_sample": f"""SELECT l_orderkey, l_linenumber, l_orderkey || '-' || l_linenumber AS line FROM lineitem
+      ORDER BY md5('{R.seed}:' || l_orderkey || '-' || l_linenumber), line LIMIT 20000""",
+    "numbered_terms": f"""SELECT *, row_number() OVER (ORDER BY n DESC, term) - 1 AS term_id FROM (
+      SELECT term, count(*) AS df, sum(n)::BIGINT AS n FROM (SELECT comment_id, term, count(*) AS n FROM (
+        SELECT comment_id, unnest(words) AS term FROM {_terms}) GROUP BY ALL) GROUP BY term HAVING count(*) >= {R.min_df})""",
+    "numbered_reviews": """SELECT comment_id, spot_no, row_number() OVER (ORDER BY spot_no, publish_date NULLS FIRST, comment_id) AS review_no
+      FROM clean JOIN (SELECT spot_name, row_number() OVER (ORDER BY count(*) DESC, spot_name) AS spot_no FROM clean GROUP BY spot_name)
+      USING (spot_name)""",
+    "segment_words": _segmented("documents", "doc_id", "text") + "SELECT word, n, cost FROM seg_words",
+    "segmented_tokens": _segmented("documents", "doc_id", "text")
+                        + "SELECT doc_id, len(tokens)::BIGINT AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM seg_tokens",
+    "segmented_token_report": _seg_features + "SELECT count(*) AS rows, sum(len(words))::BIGINT AS token_count, "
+                              "round(sum(len(words)) / count(*), 1) AS mean_tokens, 0::BIGINT AS leaked_stop_words FROM seg_features",
+    "segmented_top_terms": _seg_features + "SELECT term, count(*) AS n FROM (SELECT unnest(words) AS term FROM seg_features) "
+                                           "GROUP BY term ORDER BY n DESC, term LIMIT 20",
+}
+
+
 def all_oracles() -> dict[str, str]:
     return {name: f"{PRELUDE}\n{body}" for name, body in _one.items()}

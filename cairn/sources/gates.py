@@ -17,7 +17,11 @@ class GateError(ValueError):
 
 def require_rows(df: DataFrame, expected: int, sample: bool = False, what: str = "rows") -> int:
     """A full run must match exactly, a sample may not exceed the full size."""
-    found = df.count()
+    return require_count(df.count(), expected, sample, what)
+
+
+def require_count(found: int, expected: int, sample: bool = False, what: str = "rows") -> int:
+    """S12 on a count that was taken before, e.g. by ``cleaning.ObservedRun`` during a write."""
     if sample and found > expected:
         raise GateError(f"sample has {found} {what}, more than the full {expected}")
     if not sample and found != expected:
