@@ -120,11 +120,36 @@ def read_responses(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
 Annotator = Callable[[pd.Series], list]
 
 
-def run_annotator(rows: DataFrame, annotate: Annotator, partitions: int | None = None) -> DataFrame:
+def _answers(annotate: Annotator, texts: pd.Series, calls: int, limit: int) -> tuple[list, list[int]]:
+    """One answer or exception per text, and how many calls each text was part of.
+
+    A call that raises, or answers with another number of items, is repeated on both halves of its texts,
+    down to single texts; a single text is called until it has been part of ``limit`` calls at least.
+    So a text that breaks a call loses its own row only, after about log2 of the batch more calls.
+    """
+    if not len(texts):
+        return [], []
+    try:
+        found = list(annotate(texts))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} answers to {len(texts)} texts")
+        return found, [calls] * len(texts)
+    except Exception as error:
+        if len(texts) == 1:
+            return ([error], [calls]) if calls >= limit else _answers(annotate, texts, calls + 1, limit)
+    half = len(texts) // 2
+    first, second = (_answers(annotate, part, calls + 1, limit) for part in (texts.iloc[:half], texts.iloc[half:]))
+    return first[0] + second[0], first[1] + second[1]
+
+
+def run_annotator(rows: DataFrame, annotate: Annotator, partitions: int | None = None, batch_rows: int | None = None,
+                  attempts: int = 1) -> DataFrame:
     """M5: call an annotator batch by batch; a failing text becomes a failure row, not a failed job.
 
     ``annotate`` maps a Series of texts to a list with one item per text: a dict with ``raw_text``
-    and token counts, or an exception.  ``partitions`` bounds how many calls run at once.
+    and token counts, or an exception.  If it raises, the guilty texts are found by halving the batch, and
+    ``attempt`` tells how many calls a text was part of, ``attempts`` at least for one that fails alone.
+    ``partitions`` bounds how many calls run at once, ``batch_rows`` the texts of one call.
     """
     work = rows.select("comment_id", "spot_name", "content")
     if partitions:
@@ -133,17 +158,15 @@ def run_annotator(rows: DataFrame, annotate: Annotator, partitions: int | None =
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                answers = annotate(batch["content"])
-            except Exception as error:
-                answers = [error] * len(batch)
-            records = []
-            for row, answer in zip(batch.itertuples(index=False), answers):
-                if isinstance(answer, Exception):
-                    answer = {"error_kind": type(answer).__name__, "error_reason": str(answer)}
-                records.append({**row._asdict(), "attempt": 1, **answer})
-            # Plain object columns: a missing count stays NULL instead of becoming NaN.
-            yield pd.DataFrame({n: pd.Series([r.get(n) for r in records], dtype=object) for n in names})
+            size = batch_rows or max(1, len(batch))
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at:at + size]
+                answers, calls = _answers(annotate, part["content"], 1, attempts)
+                answers = [{"error_kind": type(a).__name__, "error_reason": str(a)} if isinstance(a, Exception) else a for a in answers]
+                given = {"attempt": calls, **{n: part[n].tolist() for n in part.columns}}
+                # Plain object columns: a missing count stays NULL instead of becoming NaN.
+                yield pd.DataFrame({n: pd.Series([a.get(n, k) for a, k in zip(answers, given.get(n, [None] * len(answers)))], dtype=object)
+                                    for n in names})
 
     return work.mapInPandas(job, RESPONSE_SCHEMA)
 

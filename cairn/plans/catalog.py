@@ -17,9 +17,10 @@ from cairn.plans import views
 from cairn.plans.bench_tables import BenchTables
 from cairn.rules import caliber_notes
 from cairn.session import cut_lineage, ensure_checkpoint_dir
-from cairn.sinks import tables as sinks
+from cairn.sinks import files, tables as sinks
 from cairn.sinks.models import ModelStore
-from cairn.sources import gates, queries as table_queries, sampling, sidefiles, star
+from cairn.schema import CLEANED_CSV_SCHEMA
+from cairn.sources import gates, queries as table_queries, reviews as review_sources, sampling, sidefiles, star
 
 Query = Callable[[BenchTables], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -1017,3 +1018,64 @@ def observed_cleaning_steps(t):  # Q10 S12: counted by the write itself
     stored, run = cleaning.store_counted(t.raw_with_bad_dates, fresh_folder(t, "cleaned"), t.rules)
     gates.require_count(run.counts("normalise fields")["rows"], run.counts("flags")["rows"])
     return cleaning.observed_steps(t.spark, run)
+
+
+# --- failing texts (M5), exact files (K6, S3-S5), union of pools (U2) ---------------------------------
+
+def breaking_annotator():
+    """Raises, for the whole call, if any of its texts has no small letter."""
+    def annotate(texts):
+        given = texts.fillna("")
+        if (given.str.upper() == given).any():
+            raise ValueError("no small letter")
+        return [{"raw_text": str(n), "prompt_tokens": n} for n in given.str.len().tolist()]
+
+    return annotate
+
+
+@register
+def isolated_annotator_failures(t):  # M5 M12: one text breaks the call of many
+    return annotation.run_annotator(t.clean, breaking_annotator(), batch_rows=500).select(
+        "comment_id", "error_kind", "prompt_tokens")
+
+
+def _exact_files(t: BenchTables) -> str:
+    """All flagged reviews with their entity's fields as exact CSV in a fresh folder."""
+    folder = fresh_folder(t, "exact-csv")
+    rows = t.reviews.drop(*entities.DESCRIPTIVE_COLUMNS)
+    files.write_exact_csv(entities.with_spot_fields(rows, t.spots), folder)
+    return folder
+
+
+@register
+def exact_csv_lines(t):  # K6: the records between line ends, and the header once (readers take the byte-order mark away)
+    lines = t.spark.read.option("lineSep", "\r\n").text(_exact_files(t))
+    marked = lines.select((F.col("value") == ",".join(CLEANED_CSV_SCHEMA.fieldNames())).alias("is_header"), F.sha2("value", 256).alias("line_sha256"))
+    return marked.filter("NOT is_header").unionByName(marked.filter("is_header").distinct())
+
+
+@register
+def csv_round_trip(t):  # K6 S3 S4 S5: written, its headers checked, read with the declared schema
+    back = review_sources.read_cleaned_csv(t.spark, _exact_files(t))
+    return back.select("comment_id", "spot_name", "score", F.md5("content").alias("content_md5"), "publish_date", "like_count", "address",
+                       "phone", "content_length", "ip_province", "is_low_info", "is_dup_content", "dup_group_id")
+
+
+@register
+def header_contract(t):  # S4: files by what their header lacks, with the rows that lie under it
+    folder = _exact_files(t)
+    wrong = CLEANED_CSV_SCHEMA.fieldNames()[:3][::-1]
+    rows = t.clean.select(F.to_csv(F.struct("score", "comment_id", F.concat(F.lit('a "b", '), "spot_name"))).alias("line"))
+    header = t.spark.createDataFrame([(",".join(wrong),)], "line string")
+    header.unionByName(rows).coalesce(1).write.text(f"{folder}/late")  # one deviating file
+    headers = review_sources.file_headers(t.spark, f"{folder}/*")
+    found = review_sources.header_deviations(headers, CLEANED_CSV_SCHEMA.fieldNames())
+    return found.groupBy("columns", "position", "found", "wanted").agg(F.count(F.lit(1)).alias("files"))
+
+
+@register
+def precedence_union(t):  # U2 J7: three overlapping pools, the first that has a review names it
+    pool = lambda name, rows: rows.select("comment_id", "spot_name", F.lit(name).alias("pool"))
+    return sinks.precedence_union([
+        pool("duplicate", t.reviews.filter("is_dup_content = 1")), pool("short", t.reviews.filter("is_low_info = 1")),
+        pool("rated", t.reviews.filter("score IS NOT NULL"))], ["comment_id"])

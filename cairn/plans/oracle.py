@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from cairn.operators import quality
 from cairn.rules import WHITESPACE, Rules
+from cairn.schema import CLEANED_CSV_SCHEMA, DERIVED_COLUMNS, DESCRIPTIVE_COLUMNS, SOURCE_HEADER
 from cairn.sources.star import BENCH_RULES, SCORE_LABELS
 
 
@@ -616,7 +617,28 @@ _seg_features = _segmented("flagged", "comment_id", "content") + """, seg_featur
     SELECT comment_id, list_filter(tokens, lambda w: length(w) >= 2) AS tokens FROM seg_tokens JOIN flagged USING (comment_id)
     WHERE coalesce(content, '') <> '' AND is_low_info = 0 AND is_dup_content = 0) WHERE len(tokens) > 0)"""
 
+def _csv(column: str) -> str:
+    """A field as CSV writes it: quoted if it holds a comma, a quote or a line break."""
+    return (f"CASE WHEN regexp_matches({column}, '[,\"\\r\\n]') THEN '\"' || replace({column}, '\"', '\"\"') || '\"' "
+            f"ELSE coalesce({column}, '') END")
+
+
+_csv_line = " || ',' || ".join(_csv(f"f.{c}::VARCHAR" if c not in DESCRIPTIVE_COLUMNS else f"s.{c}::VARCHAR") for c in (
+    *[n for _, n in SOURCE_HEADER], *[n for n, _ in DERIVED_COLUMNS]))
+_csv_header = ",".join(CLEANED_CSV_SCHEMA.fieldNames())
+
 _one |= {
+    "isolated_annotator_failures": """SELECT comment_id, CASE WHEN bad THEN 'ValueError' END AS error_kind,
+      CASE WHEN NOT bad THEN length(coalesce(content, '')) END AS prompt_tokens
+      FROM (SELECT *, upper(coalesce(content, '')) = coalesce(content, '') AS bad FROM clean)""",
+    "exact_csv_lines": f"""SELECT false AS is_header, sha256({_csv_line}) AS line_sha256 FROM flagged f JOIN spots s USING (spot_name)
+      UNION ALL SELECT true, sha256('{_csv_header}')""",
+    "csv_round_trip": """SELECT comment_id, spot_name, score, md5(content) AS content_md5, publish_date, like_count, address, phone,
+      content_length, ip_province, is_low_info, is_dup_content, dup_group_id FROM flagged JOIN spots USING (spot_name)""",
+    "header_contract": f"""SELECT 3 AS columns, 0 AS position, {text(CLEANED_CSV_SCHEMA.fieldNames()[2])} AS found,
+      {text(CLEANED_CSV_SCHEMA.fieldNames()[0])} AS wanted, 1::BIGINT AS files FROM (SELECT count(*) FROM clean)""",
+    "precedence_union": """SELECT comment_id, spot_name, CASE WHEN is_dup_content = 1 THEN 'duplicate' WHEN is_low_info = 1 THEN 'short'
+      ELSE 'rated' END AS pool FROM flagged WHERE is_dup_content = 1 OR is_low_info = 1 OR score IS NOT NULL""",
     "incremental_spot_statistics": "SELECT * FROM stat",
     "incremental_time_statistics": _one["time_statistics"],
     "incremental_origin_statistics": "SELECT * FROM stat_ip",

@@ -33,6 +33,33 @@ def write_cleaned_csv(reviews: DataFrame, path: str, force: bool = False) -> Non
     )
 
 
+def cleaned_lines(reviews: DataFrame) -> DataFrame:
+    """(line): the 23 columns of each review as one CSV record, quoted only where it has to be."""
+    rows = cleaned_layout(reviews)
+    record = F.to_csv(F.struct(*rows.columns), {
+        "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "dateFormat": "yyyy-MM-dd",
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    return rows.select(record.alias("line"))
+
+
+def write_exact_csv(reviews: DataFrame, path: str, force: bool = False) -> None:
+    """K6 byte for byte: a byte-order mark and the header at the start of each file, records that end in CR LF.
+
+    Every task writes one file; the first record of a task carries mark and header before it, so rows and
+    header are written in one pass.  An empty table gives one file with the header alone.  Line breaks inside
+    a field stay as they are; Spark's CSV reader gives a quoted CR LF back as LF.
+    """
+    header = "\ufeff" + ",".join(CLEANED_CSV_SCHEMA.fieldNames())
+    lines = cleaned_lines(reviews)
+    if reviews.isEmpty():
+        lines = reviews.sparkSession.createDataFrame([(header,)], "line string").coalesce(1)
+    else:
+        # Rows of a task are numbered from 0 in the low bits; rows pass on to the files as they are numbered.
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        lines = lines.select(F.when(first, F.concat(F.lit(header + "\r\n"), "line")).otherwise(F.col("line")).alias("line"))
+    lines.write.mode("overwrite" if force else "errorifexists").option("lineSep", "\r\n").text(path)
+
+
 def write_statistics(row: DataFrame, path: str) -> None:
     """K7: counters as JSON."""
     row.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -1,7 +1,10 @@
-"""Keyed upsert, scope replace, child replace and keyed storage."""
+"""Keyed upsert, scope replace, child replace and keyed storage."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,20 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def precedence_union(pools: Sequence[DataFrame], keys: list[str]) -> DataFrame:
+    """The rows of all pools, one for each key; the first pool that has a key wins.
+
+    Columns are those of the first pool.  Of rows that repeat a key within one pool the smallest is taken,
+    so the result does not depend on the layout; a null key is a key like others.  One shuffle, combined
+    before it, however many pools there are.
+    """
+    columns = pools[0].columns
+    others = [c for c in columns if c not in keys]
+    rows = reduce(DataFrame.unionByName, [p.select(*columns, F.lit(i).alias("__pool")) for i, p in enumerate(pools)])
+    best = F.min(F.struct("__pool", *others))
+    return rows.groupBy(*keys).agg(best.alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in others]).select(*columns)
+
+
 def replace_children(existing: DataFrame, incoming: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """K4: all child rows of the given parents make way for the new set, which may be empty."""
     return existing.join(parents.select(key).distinct(), key, "left_anti").unionByName(incoming)

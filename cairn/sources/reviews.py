@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +17,50 @@ CSV_OPTIONS = {
 }
 
 
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header), the first line of every file that has one, without its byte-order mark.
+
+    Files are read in blocks and line by line, as text always is; only the lines of each file's first
+    block are looked at, and the first of them is a minimum that every task takes for itself.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    first = lines.withColumn("line", F.monotonically_increasing_id()).filter("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("h"))
+    return first.select("file", F.regexp_replace(F.regexp_replace("h", "^\ufeff", ""), "\r$", "").alias("header"))
+
+
+def header_deviations(headers: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """(file, columns, position, found, wanted) of every header that is not exactly the expected names in order.
+
+    ``position`` is that of the first difference, from 0; a name too few or too many is null on its side.
+    Names are read as a CSV line, so a quoted name may hold a comma.
+    """
+    room = 2 * len(expected) + 2
+    schema = ", ".join(f"c{i} string" for i in range(room))
+    # A comma and a mark behind the line tell a missing column from an empty name.
+    parsed = F.from_csv(F.concat("header", F.lit(",\u0001")), F.lit(schema), {"quote": '"', "escape": '"'})
+    names = headers.select("file", parsed.alias("p")).select("file", F.array(*[F.trim(f"p.c{i}") for i in range(room)]).alias("all"))
+    names = names.withColumn("columns", F.coalesce(F.nullif(F.array_position("all", "\u0001"), F.lit(0)) - 1, F.lit(room)).cast("int"))
+    wanted = F.array(*[F.lit(n) for n in expected])
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(room - 1)), lambda i: F.struct(
+        i.alias("position"), F.when(i < F.col("columns"), F.coalesce(F.get("all", i), F.lit(""))).alias("found"), F.get(wanted, i).alias("wanted")))
+    wrong = F.filter(pairs, lambda p: ~p["found"].eqNullSafe(p["wanted"]))
+    return names.withColumn("d", F.get(wrong, F.lit(0))).filter("d IS NOT NULL").select("file", "columns", "d.position", "d.found", "d.wanted")
+
+
 def check_header(spark: SparkSession, path: str, expected: list[str]) -> None:
     """The first line of every file must carry exactly the expected names in order (BOM ignored).
 
-    Only distinct headers reach the driver.
+    One deviating file at most reaches the driver.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split("value", "\r\n|\n|\r"), 1).alias("h"))
-    headers = [r.h for r in lines.distinct().orderBy("h").limit(len(expected) + 2).collect()]
-    if not any(h.strip() for h in headers):
+    headers = file_headers(spark, path).filter(F.trim("header") != "")
+    if headers.isEmpty():
         raise ValueError(f"source file is empty: {path}")
-    for header in headers:
-        names = [n.strip().strip('"') for n in header.replace("\ufeff", "").split(",")]
-        if len(names) != len(expected):
-            raise ValueError(f"{path}: expected {len(expected)} columns, found {len(names)}")
-        for position, (found, wanted) in enumerate(zip(names, expected)):
-            if found != wanted:
-                raise ValueError(f"{path}: column {position} is {found!r}, expected {wanted!r}")
+    wrong = header_deviations(headers, expected).orderBy("file").limit(1).collect()
+    for r in wrong:
+        if r.columns != len(expected):
+            raise ValueError(f"{r.file}: expected {len(expected)} columns, found {r.columns}")
+        raise ValueError(f"{r.file}: column {r.position} is {r.found!r}, expected {r.wanted!r}")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
