@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.words import quoted
+from cairn.llm.words import given_names, neutral_names, quoted
 from cairn.session import cut_lineage
 
 BLANKS = "\t\n\x0b\f\r "
@@ -163,15 +163,17 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epoch
     """The mixture as documents: each as often as its taken words come nearest to whole copies.
 
     Equal rows share the words of their unit evenly; documents without words are not taken.  Columns
-    stay as they are.
+    stay as they are, whatever their names.
     """
-    columns = docs.columns
+    docs, names = neutral_names(docs)
+    key, text, source, columns = names[key], names[text], names[source], docs.columns
     units, slots = _plan(docs, weights, max_epochs, seed, key, text, source, columns, bits)
     words = F.col("size") * F.col("copies")
     takes = join_blocks(units, slots, words, max_epochs)
     repeats = takes.select(F.col("row_hash").alias("__row"), F.col("key").alias("__key"), F.col("source").alias("__source"),
                            F.round(F.try_divide("taken", words)).cast("int").alias("__times")).filter("__times > 0")
     rows = docs.withColumn("__hash", F.xxhash64(*map(quoted, columns)))
-    return (rows.join(repeats, (F.col("__hash") == F.col("__row")) & F.col(quoted(key)).eqNullSafe(F.col("__key"))
-                      & F.col(quoted(source)).eqNullSafe(F.col("__source")))
-            .withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*map(quoted, columns)))
+    taken = (rows.join(repeats, (F.col("__hash") == F.col("__row")) & F.col(quoted(key)).eqNullSafe(F.col("__key"))
+                          & F.col(quoted(source)).eqNullSafe(F.col("__source")))
+             .withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))))
+    return given_names(taken, names)

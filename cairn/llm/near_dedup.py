@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.sets import ROW, components, maybe_among, shingle_sets, verify
 from cairn.llm.similar_lists import SIGNATURE_DEVIATIONS, joining_links, one_center_each, sets_of
-from cairn.llm.words import map_texts, mix, quoted, utf8
+from cairn.llm.words import given_names, map_texts, mix, neutral_names, quoted, utf8
 from cairn.session import cut_lineage
 
 SHINGLE = 5
@@ -177,10 +177,11 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     """The documents without near-duplicates: of each component the row with the smallest key.
 
     Repeated rows of that key leave one; a null key stays only if no member has another.  Documents
-    without shingles stay.  Columns stay as they are; the input must be a stored table.
+    without shingles stay.  Columns stay as they are, whatever their names; the input must be a stored table.
     """
-    marked = docs.withColumn(ROW, F.monotonically_increasing_id())
-    found = cut_lineage(_classes(marked, text, key, percent, n, bands, rows).select(ROW, "key", "label", "component_key"))
+    plain, names = neutral_names(docs)
+    marked = plain.withColumn(ROW, F.monotonically_increasing_id())
+    found = cut_lineage(_classes(marked, names[text], names[key], percent, n, bands, rows).select(ROW, "key", "label", "component_key"))
     kept = (found.filter("label IS NOT NULL AND key <=> component_key").groupBy("label").agg(F.min(ROW).alias("kept")))
     dropped = cut_lineage(found.filter("label IS NOT NULL").join(kept, "label", "left")
                           .filter(f"NOT ({ROW} <=> kept)").select(F.col(ROW).alias("node")))
@@ -188,4 +189,4 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     flagged = maybe_among(marked, dropped)
     sure = flagged.filter("NOT __maybe")
     looked_up = flagged.filter("__maybe").join(dropped, F.col(ROW) == F.col("node"), "left_anti")
-    return sure.unionByName(looked_up).drop(ROW, "__maybe")
+    return given_names(sure.unionByName(looked_up), names)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.words import quoted
+from cairn.llm.words import neutral_names, quoted
 
 SLOTS, LANES = 4096, 16
 _MAP_SCHEMA = "version bigint, slot int, lane int, shard int, bytes bigint, rows bigint, first bigint"
@@ -49,7 +49,7 @@ def first_map(shards: int, slots: int = SLOTS) -> ShardMap:
 
 
 def _spread_of(total: int, shards: int) -> int:
-    """A slot above this size is split: an eighth of a percent of a shard is too coarse to balance."""
+    """A slot above this size is split: a sixteenth of a shard is too coarse to balance."""
     return max(1, total // (shards * 16))
 
 
@@ -167,8 +167,9 @@ def assign_shards(docs: DataFrame, shard_map: ShardMap, key: str = "doc_id", tex
     A null key or text is a value like any other; equal rows get the same slot, which is split by
     lanes when it is large.  Columns with these two names are replaced.
     """
-    kept = [F.col(quoted(c)) for c in docs.columns if c not in ("shard", "virtual_slot")]
-    placed = _with_entries(with_slots(docs, key, text, slots), shard_map)
+    plain, names = neutral_names(docs)
+    kept = [F.col(names[c]).alias(c) for c in docs.columns if c not in ("shard", "virtual_slot")]
+    placed = _with_entries(with_slots(plain, names[key], names[text], slots), shard_map)
     return placed.select(*kept, F.col("__shard").alias("shard"), F.col("__slot").alias("virtual_slot"))
 
 

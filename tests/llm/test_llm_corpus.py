@@ -232,3 +232,20 @@ def test_no_link_of_a_large_bucket_is_lost_to_its_centres(spark):
 
 def test_near_duplicates_of_empty_tables(empty):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.keep_one_of_each(empty).count() == 0
+
+
+# --- clashing names -----------------------------------------------------------------------------------
+
+def test_stage_operators_keep_columns_of_their_own_names(spark, data, tmp_path):
+    """Columns named like those that the operators add on their way pass through untouched."""
+    names = ["__row", "__maybe", "__slot", "__lane", "__size", "__crc", "__hash", "__copy", "__times", "__word", "size", "first", "key"]
+    folder = str(tmp_path / "documents")
+    rows = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    slotted = sharding.with_slots(docs)
+    for out in (near_dedup.keep_one_of_each(docs), mixing.mix_documents(docs),
+                sharding.assign_shards(docs, sharding.balanced_map(slotted, 3)).drop("shard", "virtual_slot")):
+        assert out.columns == docs.columns and out.count() > 0
+        wrong = [~F.col(n).eqNullSafe(F.concat(F.lit(n), F.col("doc_id").cast("string"))) for n in names]
+        assert out.filter(F.array_contains(F.array(*wrong), True)).isEmpty()
