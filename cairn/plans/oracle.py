@@ -663,5 +663,58 @@ _one |= {
 }
 
 
+_C = R.cost
+_share = _C.input_share * _C.price_input + _C.output_share * _C.price_output
+_report_price = (_C.report_input_tokens * _C.price_input + _C.report_output_tokens * _C.price_output) / 1_000_000
+_edges = (20, 40, 60, 80, 100, 150, 200, 300, 500, 1000)
+_class = "CASE " + " ".join(f"WHEN content_length <= {e} THEN {i}" for i, e in enumerate(_edges)) + f" ELSE {len(_edges)} END"
+
+
+def _measured(no: int, label: str, value: str) -> str:
+    return f"""SELECT 0 AS block_no, {no} AS item_no, '{{"指标": "{label}", "值": ' || {value} || '}}' AS item"""
+
+
+_one |= {
+    "metric_items": f"""
+      {_measured(0, "评论总数", "count(*)")} FROM flagged
+      UNION ALL {_measured(1, "景点总数", "count(*)")} FROM spots
+      UNION ALL {_measured(2, "有评分评论数", "count(score)")} FROM flagged
+      UNION ALL {_measured(3, "低信息量评论数", "count(*) FILTER (is_low_info = 1)")} FROM flagged
+      UNION ALL {_measured(4, "重复正文评论数", "count(*) FILTER (is_dup_content = 1)")} FROM flagged
+      UNION ALL SELECT 1, 5 - score, '{{"星级": "' || score || ' 星", "条数": ' || n || ', "占比": ' || {half_up('n', 'total')} || '}}' FROM (
+        SELECT score, count(*) AS n, (sum(count(*)) OVER ())::BIGINT AS total FROM clean WHERE score IS NOT NULL GROUP BY score)
+      UNION ALL SELECT 2, 0, '{{"指标": "有效 IP 样本量", "值": ' || coalesce(max(sample_size), 0) || '}}' FROM stat_ip WHERE scope_type = 'global'""",
+    "cost_projection": f"""
+      SELECT comment_calls, round(w, 1) AS weighted_tokens, max_body_chars, longer_than_sample, report_calls, low AS comment_cost_min,
+        high AS comment_cost_max, usual AS comment_cost_conservative, report_cost, comment_calls + report_calls AS total_calls,
+        round(low + report_cost, 2) AS total_cost_min, round(high + report_cost, 2) AS total_cost_max, round(usual + report_cost, 2) AS total_cost_conservative
+      FROM (SELECT *, round(comment_calls * {_C.measured_min} * {_share / 1e6!r}, 2) AS low, round(comment_calls * {_C.observed_max} * {_share / 1e6!r}, 2) AS high,
+          round(comment_calls * w * {_share / 1e6!r}, 2) AS usual, round(report_calls * {_report_price!r}, 2) AS report_cost
+        FROM (SELECT sum(n)::BIGINT AS comment_calls, sum(n * tokens) / sum(n) AS w, max(longest) AS max_body_chars, sum(longer)::BIGINT AS longer_than_sample
+          FROM (SELECT count(*) AS n, max(content_length) AS longest, count(*) FILTER (content_length > {_C.sample_max_chars}) AS longer,
+              {_C.fixed_prompt_tokens} + round_even(floor({half_up('sum(content_length)', 'count(*)', 1)}) * {_C.tokens_per_char!r}::DOUBLE, 0) + {_C.output_tokens} AS tokens
+            FROM layered WHERE layer = 'call' GROUP BY {_class})),
+          (SELECT count(*) AS report_calls FROM spots ANTI JOIN reports USING (spot_name) WHERE has_full_evaluation = 1))""",
+    "linked_entities": """
+      SELECT question_id, spot_name, row_number() OVER (PARTITION BY question_id ORDER BY p, i)::INT AS mention_no FROM (
+        SELECT question_id, spot_name, min(i) AS i, CASE WHEN contains(any_value(t), spot_name) THEN instr(any_value(t), spot_name)
+            WHEN contains(any_value(t), substr(spot_name, 1, 3)) THEN instr(any_value(t), substr(spot_name, 1, 3)) ELSE 1000000 END AS p
+        FROM (SELECT question_id, t, i, kept[i].spot_name AS spot_name FROM (
+          SELECT question_id, t, list_reduce(c, lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: x.s < k.e AND k.s < x.e)) > 0
+              OR len(list_distinct(list_transform(kept, lambda k: k.spot_name))) >= 5 THEN kept ELSE list_append(kept, x) END,
+            list_filter(c, lambda x: false)) AS kept
+          FROM (SELECT question_id, t, list_sort(list(struct_pack(o1 := part, o2 := -length(token), o3 := -n, s := instr(t, token),
+                e := instr(t, token) + length(token), token := token, spot_name := name))) AS c
+            FROM (SELECT question_id, t, token, (arg_min(spot_name, (token <> spot_name, -review_count, spot_name))) AS name,
+                (min(token <> spot_name))::INT AS part, arg_min(review_count, (token <> spot_name, -review_count, spot_name)) AS n
+              FROM (SELECT question_id, t, spot_name, review_count, CASE WHEN contains(t, spot_name) THEN spot_name
+                    WHEN length(spot_name) = 5 AND contains(t, substr(spot_name, 1, 4)) THEN substr(spot_name, 1, 4)
+                    WHEN contains(t, substr(spot_name, 1, 3)) THEN substr(spot_name, 1, 3) END AS token FROM asked CROSS JOIN spots)
+              WHERE token IS NOT NULL GROUP BY question_id, t, token)
+            GROUP BY question_id, t)), unnest(range(1, len(kept) + 1)) u(i))
+        GROUP BY question_id, spot_name)""",
+}
+
+
 def all_oracles() -> dict[str, str]:
     return {name: f"{PRELUDE}\n{body}" for name, body in _one.items()}
