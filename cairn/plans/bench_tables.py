@@ -112,11 +112,12 @@ class BenchTables:
 
     @cached_property
     def reports(self) -> DataFrame:
-        """Stored reports: every third entity has none, every fifth an old version."""
+        """Stored reports: entities introduced by a building or furniture have none, every fifth has an old version."""
         number = F.substring("spot_name", 4, 10).cast("int")
         lists = {n: F.to_json(F.array(F.col("source_scope"), F.lit(n))).alias(f"{n}_json")
                  for n in ("advantages", "issues", "visitor_focus")}
-        return self.spots.filter(number % 3 != 0).select(
+        without = F.coalesce(F.col("introduction").rlike("^(BUILDING|FURNITURE)"), F.lit(False))
+        return self.spots.filter(~without).select(
             "spot_name", F.when(number % 5 == 0, "v0").otherwise(self.rules.package_version).alias("fact_package_version"),
             F.concat(F.lit("共 "), F.col("review_count").cast("string"), F.lit(" 条评论")).alias("summary"),
             *lists.values(), F.lit("stub").alias("model"), F.lit("p1").alias("prompt_version"),

@@ -173,7 +173,7 @@ aspect_stat AS (
 reports AS (
   SELECT spot_name, CASE WHEN substr(spot_name, 4)::INT % 5 = 0 THEN 'v0' ELSE 'v1' END AS fact_package_version,
     '共 ' || review_count || ' 条评论' AS summary, source_scope, substr(spot_name, 4)::INT % 2 AS need_review
-  FROM spots WHERE substr(spot_name, 4)::INT % 3 <> 0),
+  FROM spots WHERE NOT coalesce(introduction LIKE 'BUILDING%' OR introduction LIKE 'FURNITURE%', false)),
 representatives AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spot_name, side ORDER BY
       CASE WHEN content_length BETWEEN 30 AND 200 THEN 0 ELSE 1 END, like_count DESC, comment_id) AS rank_no FROM (
@@ -229,8 +229,9 @@ _one = {
         {half_up('sum(is_low_info)', 'count(*)')} AS low_info_share, {half_up('sum(is_dup_content)', 'count(*)')} AS dup_share FROM flagged""",
     "duplicate_groups": "SELECT dup_group_id, count(*) AS members FROM flagged WHERE is_dup_content = 1 GROUP BY 1",
     "duplicate_flags": "SELECT comment_id, is_dup_content, dup_group_id FROM flagged",
-    "listed_duplicate_flags": """SELECT comment_id, (g IS NOT NULL)::INT AS is_dup_content, g AS dup_group_id FROM (
-        SELECT comment_id, CASE WHEN comment_id % 3 = 0 THEN comment_id WHEN comment_id % 3 = 1 THEN comment_id - 1 END AS g FROM clean)""",
+    "listed_duplicate_flags": """SELECT comment_id, (g IS NOT NULL)::INT AS is_dup_content, g AS dup_group_id FROM clean LEFT JOIN (
+        SELECT o_orderkey AS comment_id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS g FROM orders
+        QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1) USING (comment_id)""",
     "duplicate_representatives": "SELECT * FROM reps",
     "group_members": "SELECT comment_id, dup_group_id, representative_id FROM layered WHERE representative_id <> comment_id",
     "flag_overlap": """SELECT sum(is_low_info)::BIGINT AS low_info, sum(is_dup_content)::BIGINT AS dup_content,

@@ -187,11 +187,11 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate-list stand-in: every third order id starts a group of two ids."""
-    k = F.col("o_orderkey")
-    ids = F.concat(k.cast("string"), F.lit("、 "), (k + 1).cast("string"), F.lit("、"))
-    return table(spark, sf_dir, "orders").filter(k % 3 == 0).select(
-        k.cast("string").alias("group_id"), ids.alias("ids"))
+    """Duplicate-list stand-in: the orders of every customer with several are a group, named by the smallest."""
+    groups = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.min("o_orderkey").alias("first"), F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    ids = F.concat(F.array_join(F.transform("keys", lambda k: k.cast("string")), "、 "), F.lit("、"))
+    return groups.filter(F.size("keys") > 1).select(F.col("first").cast("string").alias("group_id"), ids.alias("ids"))
 
 
 def annotator_responses(reviews: DataFrame, rules: Rules = BENCH_RULES) -> DataFrame:
