@@ -28,11 +28,15 @@ from cairn.llm.words import Sums, mix, quoted, slices, utf8
 from cairn.session import cut_lineage
 
 LENGTH, GRAM = 50, 20
-BLOCK_ROWS_LOG2 = 9
+BLOCK_ROWS_LOG2 = 10
 #: Anchors are looked for in slices of about so many bytes; each byte takes some 100 bytes of memory.
 SLICE_BYTES = 1 << 18
-#: A part gets the anchors of about so many documents; a shard takes some 150 bytes of memory for each byte.
-ROWS_PER_PART = 256
+#: A part gets the anchors of about so many documents, some 100 bytes of memory for each anchor.
+ROWS_PER_PART = 1024
+#: A shard gets about so many bytes of strings, at most; each byte takes some 80 bytes of memory.
+SHARD_BYTES = 1 << 19
+#: The windows of so many entries are cut at once.
+ENTRIES_AT_ONCE = 512
 #: An anchor with more different surroundings has its windows dealt one by one.
 MANY_SURROUNDINGS = 4096
 NO_KEY = np.iinfo(np.int64).max
@@ -40,7 +44,7 @@ NO_KEY = np.iinfo(np.int64).max
 _U = np.uint64
 _NONE, _COVERED, _COMPARE, _WINDOWS = 0, 1, 2, 3
 _ASKED = "part bigint, block bigint, low binary, around binary, around_high binary, first binary, width int, base bigint"
-_CODES = "kind int, part bigint, block bigint, answer binary"
+_CODES = "kind int, part bigint, block bigint, answer binary, coming bigint"
 _STRINGS = "kind int, part bigint, block bigint, keys binary, lengths binary, bytes binary"
 
 
@@ -62,27 +66,35 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     if n < length:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     sums = Sums(data)
-    end = np.repeat(offsets[1:], size)
-    at = np.arange(n - gram + 1)
-    top = ~_U(0)
-    hashes = np.full(n, top)
-    hashes[:len(at)] = np.where(at + gram <= end[:len(at)], sums.of(at, at + gram) & ~_U(1), top)
+    left = np.repeat(offsets[1:], size) - np.arange(n)
+    hashes = sums.of_all(gram)
+    # The order of grams takes the upper half of the hash; equal halves are both anchors.
+    top = np.uint32(0xFFFFFFFF)
+    upper = np.full(n, top)
+    upper[:len(hashes)] = np.minimum(hashes >> _U(32), _U(0xFFFFFFFE))
+    upper[left < gram] = top
     windows = length - gram + 1
-    least = _slide(hashes, windows, np.minimum)
-    least[np.arange(n) + length > end] = 0
-    back = _slide(np.concatenate([np.zeros(windows - 1, np.uint64), least]), windows, np.maximum)[:n]
-    place = np.flatnonzero((back == hashes) & (hashes != top))
+    least = _slide(upper, windows, np.minimum)
+    least[left < length] = 0
+    back = _slide(np.concatenate([np.zeros(windows - 1, np.uint32), least]), windows, np.maximum)[:n]
+    place = np.flatnonzero((back == upper) & (upper != top))
     doc = np.searchsorted(offsets, place, side="right") - 1
     start, stop = np.maximum(place - (length - gram), offsets[doc]), np.minimum(place + length, offsets[doc + 1])
     around = mix(sums.of(start, stop) + (place - start).astype(np.uint64))
     return hashes[place], around, start, stop, doc
 
 
+def shard_edges(names: np.ndarray, parts: int, shards: int) -> np.ndarray:
+    """Edges of the shards among entries in order of their names, which spread evenly below parts x 2^32."""
+    shard = ((names // _U(parts)) * _U(shards)) >> _U(32)
+    return np.searchsorted(shard, np.arange(shards + 1).astype(np.uint64))
+
+
 class Block:
     """The anchors of a block: occurrences, and distinct (anchor, surroundings) entries by part."""
 
-    def __init__(self, table: pa.Table, parts: int, length: int, gram: int):
-        self.length, self.parts = length, parts
+    def __init__(self, table: pa.Table, parts: int, length: int, gram: int, shards: int = 1):
+        self.length, self.parts, self.shards = length, parts, shards
         self.data, self.offsets = utf8(table["text"])
         self.key = table["key"].fill_null(NO_KEY).to_numpy().astype(np.int64)
         found, at, row = [], 0, 0
@@ -127,7 +139,10 @@ class Block:
     def compared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries whose surroundings go to a shard, and the edges of the shards among them."""
         entries = np.flatnonzero(codes == _COMPARE)
-        return entries, np.searchsorted(self.name[entries] >> _U(32), np.arange(self.parts + 1).astype(np.uint64))
+        return entries, shard_edges(self.name[entries], self.parts, self.shards)
+
+    def window_edges(self, h: np.ndarray) -> np.ndarray:
+        return np.searchsorted(((h >> _U(32)) * _U(self.shards)) >> _U(32), np.arange(self.shards + 1).astype(np.uint64))
 
     def windows(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Windows of the many-surroundings entries: start and entry of each, its string, and for each
@@ -136,10 +151,12 @@ class Block:
         start, stop = self.start[self.holder[entries]], self.stop[self.holder[entries]]
         count = stop - start - self.length + 1
         at, of = spread(start, count), np.repeat(entries, count)
-        # Sums are taken of the cut strings, so that memory follows what is sent.
-        cut = self.data[spread(at, np.full(len(at), self.length))]
-        edge = np.arange(len(at) + 1) * self.length
-        h = Sums(cut).of(edge[:-1], edge[1:]) if len(at) else np.zeros(0, np.uint64)
+        # Sums are taken of the cut strings, a bounded number at once.
+        h, step = np.zeros(len(at), np.uint64), ENTRIES_AT_ONCE * (self.length // 2)
+        for a in range(0, len(at), step):
+            some = at[a:a + step]
+            edge = np.arange(len(some) + 1) * self.length
+            h[a:a + step] = Sums(self.data[spread(some, np.full(len(some), self.length))]).of(edge[:-1], edge[1:])
         order = np.lexsort((self.first[of], h))
         new = np.ones(len(order), bool)
         new[1:] = np.diff(h[order]) != 0
@@ -156,7 +173,7 @@ class Block:
             start, size = self.start[self.holder[e]], (self.stop - self.start)[self.holder[e]]
             rows.append((_COMPARE, p, block, self.first[e].tobytes(), size.astype(np.uint8).tobytes(), self.data[spread(start, size)].tobytes()))
         _, _, _, h, start, first = self.windows(codes)
-        edges = np.searchsorted(((h >> _U(32)) * _U(self.parts)) >> _U(32), np.arange(self.parts + 1).astype(np.uint64))
+        edges = self.window_edges(h)
         for p in np.flatnonzero(np.diff(edges)).tolist():
             s = slice(edges[p], edges[p + 1])
             size = np.full(edges[p + 1] - edges[p], self.length)
@@ -182,7 +199,7 @@ class Block:
             mask[entries[edges[p]:edges[p + 1]]] = np.frombuffer(answers[_COMPARE, p], np.uint32)
         at, of, string, h, _, first = self.windows(codes)
         if len(at):
-            edges = np.searchsorted(((h >> _U(32)) * _U(self.parts)) >> _U(32), np.arange(self.parts + 1).astype(np.uint64))
+            edges = self.window_edges(h)
             hit = np.zeros(len(h), bool)
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 hit[edges[p]:edges[p + 1]] = np.frombuffer(answers[_WINDOWS, p], np.uint32) > 0
@@ -195,9 +212,12 @@ class Block:
         return np.cumsum(edge[:-1]) > 0
 
 
-def _answer_anchors(many: int):
+def _answer_anchors(many: int, length: int, gram: int):
+    most = 2 * length - gram  # bytes of the surroundings
+
     def answer(table: pa.Table) -> pa.Table:
-        """For each entry of one part: alone, covered by an earlier document, or to be compared."""
+        """For each entry of one part: alone, covered by an earlier document, or to be compared; and
+        a bound of the bytes that its block will send to shards."""
         rows = table.to_pylist()
         low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows])
         around = np.concatenate([np.frombuffer(r["around"], np.uint32).astype(np.uint64)
@@ -216,71 +236,76 @@ def _answer_anchors(many: int):
         out = np.empty(len(order), np.uint8)
         out[order] = code
         edges = np.cumsum([0] + [len(r["low"]) // 4 for r in rows])
-        return table_of([(_NONE, r["part"], r["block"], out[a:b].tobytes()) for r, a, b in zip(rows, edges[:-1], edges[1:])], _CODES)
+        sent = np.where(out == _COMPARE, most, np.where(out == _WINDOWS, (length - gram + 1) * length, 0))
+        coming = np.diff(np.concatenate([[0], np.cumsum(sent)])[edges]).tolist()
+        return table_of([(_NONE, r["part"], r["block"], out[a:b].tobytes(), n)
+                         for r, a, b, n in zip(rows, edges[:-1], edges[1:], coming)], _CODES)
 
     return answer
 
 
-def suffix_order(keys: np.ndarray, end: np.ndarray, known: int, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes, given keys in the order of the first
-    ``known``, by doubling among those that are still equal."""
-    n = len(keys)
-    order = np.argsort(keys)
-    rank = np.zeros(n + 1, np.int64)
-    starts = np.ones(n, bool)
-    starts[1:] = np.diff(keys[order]) != 0
-    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) + 1
-    while known < depth:
-        alone = starts.copy()
-        alone[:-1] &= starts[1:]
-        at = np.flatnonzero(~alone)
-        if not len(at):
-            break
-        suffix = order[at]
-        follows = np.where(suffix + known < end[suffix], suffix + known, n)
-        key = rank[suffix] * (n + 2) + rank[follows]
-        by = np.argsort(key)
-        order[at], key = suffix[by], key[by]
-        starts[at[1:]] |= np.diff(key) != 0
-        rank[order[at]] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))[at] + 1
-        known *= 2
-    return order
+def _order(values: np.ndarray) -> np.ndarray:
+    """Places in the order of their values; a plain sort of value and place together is faster if both fit."""
+    bits = max(1, len(values) - 1).bit_length()
+    if not len(values) or int(values.max()).bit_length() + bits > 63:
+        return np.argsort(values)
+    both = (values.astype(np.int64) << bits) | np.arange(len(values))
+    both.sort()
+    return both & ((1 << bits) - 1)
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at the given places in the order of their first ``depth`` bytes, and which of them
+    are equal to the one before in all of these.
+
+    Ranks by 8, 16, 32, ... bytes follow from one another by doubling, at the places that the wanted
+    suffixes need; the last step overlaps.  Every place has ``depth`` >= 8 bytes left.
+    """
+    widths = [8]
+    while 2 * widths[-1] <= depth:
+        widths.append(2 * widths[-1])
+    n, steps = len(data), [*widths[:-1], depth - widths[-1]]
+    needed, mask = [at], np.zeros(n, bool)
+    for step in reversed(steps):  # places whose ranks by 8, 16, ... bytes are used
+        mask[needed[0]] = True
+        mask[needed[0] + step] = True
+        needed.insert(0, np.flatnonzero(mask))
+    packed = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for width in (1, 2, 4):
+        packed = (packed[:-width] << _U(8 * width)) | packed[width:]
+    value, rank = packed[needed[0]], np.zeros(n, np.int64)
+    for places, following, step in zip(needed, needed[1:], steps):
+        order = _order(value)
+        in_order = value[order]
+        rank[places[order]] = np.cumsum(np.concatenate([[False], in_order[1:] != in_order[:-1]]))
+        value = rank[following] * len(places) + rank[following + step]
+    order = _order(value)
+    in_order = value[order]
+    return order, np.concatenate([[False], in_order[1:] == in_order[:-1]])[:len(order)]
 
 
 def earlier_matches(data: np.ndarray, lengths: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
     """For each place of the concatenated strings: does its longest previous factor, cut at
     ``length`` bytes, reach that length in a string of a smaller key?"""
-    n = len(data)
-    string = np.repeat(np.arange(len(lengths)), lengths)
-    end = np.cumsum(lengths)[string]
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    at = np.arange(n)
-    packed = np.zeros(n, np.uint64)
-    for j in range(8):
-        packed = (packed << _U(8)) | np.where(at + j < end, padded[j:j + n], 0).astype(np.uint64)
-    order = suffix_order(packed, end, 8, length)
-    order = order[order + length <= end[order]]
-    # Neighbours in suffix order with a common prefix of `length` bytes.
-    joined = np.zeros(len(order), bool)
-    if len(order) > 1:
-        a, b = order[:-1], order[1:]
-        same = np.ones(len(a), bool)
-        for j in [*range(0, length - 7, 8), length - 8]:
-            same &= packed[a + j] == packed[b + j]
-        joined[1:] = same
+    # Only suffixes of `length` bytes or more can hold or be such a match.
+    count = np.maximum(lengths - length + 1, 0)
+    at, string = spread(np.cumsum(lengths) - lengths, count), np.repeat(np.arange(len(lengths)), count)
+    hit = np.zeros(len(data), bool)
+    if not len(at):
+        return hit
+    order, joined = suffix_order(data, at, length)
     rank_key = key[string[order]]
-    hit = np.zeros(n, bool)
     for forward in (False, True):
         keys, link = (rank_key[::-1], np.concatenate([[False], joined[1:][::-1]])) if forward else (rank_key, joined)
         # Previous smaller position: while the one before is not smaller, go on to the one before that.
-        before = np.where(link, np.arange(len(keys)) - 1, -1) if len(keys) else np.zeros(0, np.int64)
-        while True:
-            far = np.flatnonzero((before >= 0) & (keys[before] >= keys))
-            if not len(far):
-                break
+        before = np.where(link, np.arange(len(keys)) - 1, -1)
+        far = np.flatnonzero(link)
+        while len(far):
+            far = far[keys[before[far]] >= keys[far]]
             before[far] = before[before[far]]
+            far = far[before[far] >= 0]
         found = before >= 0
-        hit[order] |= found[::-1] if forward else found
+        hit[at[order]] |= found[::-1] if forward else found
     return hit
 
 
@@ -297,7 +322,7 @@ def _answer_strings(length: int):
             inside = np.flatnonzero(i < lengths)
             mask[inside] |= hit[first[inside] + i].astype(np.uint32) << np.uint32(i)
         edges = np.cumsum([0] + [len(r["lengths"]) for r in rows])
-        return table_of([(r["kind"], r["part"], r["block"], mask[a:b].tobytes()) for r, a, b in zip(rows, edges[:-1], edges[1:])], _CODES)
+        return table_of([(r["kind"], r["part"], r["block"], mask[a:b].tobytes(), 0) for r, a, b in zip(rows, edges[:-1], edges[1:])], _CODES)
 
     return answer
 
@@ -325,11 +350,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         return Block(table, parts, length, gram).questions(table["block"][0].as_py())
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(table, parts, length, gram)
+        block = Block(table, parts, length, gram, shards)
         return block.strings(table["block"][0].as_py(), block.codes(_by_part(answers)))
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(table, parts, length, gram)
+        block = Block(table, parts, length, gram, shards)
         gone = block.covered(_by_part(answers))
         removed, kept = [], []
         for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
@@ -342,7 +367,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                          "kept": pa.array(kept, pa.binary())})
 
     asked = map_blocks(rows, ask, _ASKED)
-    codes = cut_lineage(asked.groupBy("part").applyInArrow(_answer_anchors(many), _CODES))
+    codes = cut_lineage(asked.groupBy("part").applyInArrow(_answer_anchors(many, length, gram), _CODES))
+    shards = 1 + (codes.agg(F.sum("coming")).first()[0] or 0) // SHARD_BYTES
     strings = rows.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(send, _STRINGS)
     # Not stored: the plan then shuffles the texts once for both steps that read them.
     masks = strings.groupBy("kind", "part").applyInArrow(_answer_strings(length), _CODES)

@@ -55,6 +55,11 @@ class Sums:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_CODES[data] * self.up[:len(data)], out=self.sums[1:])
 
+    def of_all(self, width: int) -> np.ndarray:
+        """Hashes of the ``width`` bytes from each place that has so many left."""
+        n = max(0, len(self.sums) - width)
+        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n] + _U(width)) | _U(1)
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of [start, end); never 0."""
         h = (self.sums[end] - self.sums[start]) * self.down[start]
