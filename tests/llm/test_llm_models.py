@@ -194,6 +194,26 @@ def test_perplexity_band_rejects_strange_texts_and_keeps_the_rest(spark, tmp_pat
     assert all(kept[i] for i in range(300)) and not any(kept[1000 + i] for i in range(3))
 
 
+def test_every_language_has_its_own_model_and_band(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(perplexity, "LANGUAGES_AT_ONCE", 3)
+    rng = random.Random(11)
+    scripts = {"ru": "оеаинтсрвл", "el": "αοιετσνηυρ", "zh": "的一是不了人我在有他"}
+    letters = {**{f"l{k:02d}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 8)) for k in range(17)}, **scripts, None: "etaoin"}
+    junk = {"ru": "щъэюфцхчшж", "el": "ξψζφχβδθωγ", "zh": "鑫龘靐齉爨麤灪籱癵驫"}
+    def text(chars):
+        return " ".join("".join(rng.choice(chars) for _ in range(rng.randint(3, 8))) for _ in range(80))
+    rows = [(1000 * k + i, text(chars), name) for k, (name, chars) in enumerate(letters.items()) for i in range(40)]
+    rows += [(100000 + k, text(junk.get(name, "0QZ{}~#")), name) for k, name in enumerate(letters)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    kept = {r.doc_id: r.kept for r in perplexity.judge(docs, keep=["doc_id"]).collect()}
+    assert len(kept) == len(rows) and not any(k for i, k in kept.items() if i >= 100000)
+    assert np.mean([k for i, k in kept.items() if i < 100000]) > 0.99
+    # Another language's rows change nothing for this one.
+    alone = perplexity.judge(docs.filter("lang = 'l03'"), keep=["doc_id"]).collect()
+    assert {r.doc_id: r.kept for r in alone} == {i: kept[i] for i in (r.doc_id for r in alone)}
+
+
 def test_perplexity_of_an_empty_table(empty):
     assert perplexity.judge(empty).count() == 0
 
