@@ -32,12 +32,13 @@ def _by_label(value, name: str) -> list[Column]:
     return [value(label).alias(f"{name}{i}") for i, label in enumerate(LABELS)]
 
 
-def train(features: DataFrame, rules: Rules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
+def train(features: DataFrame, rules: Rules = DEFAULT_RULES, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The model as two tables: a row per term (term, idf, s0..s2) and one row (vocabulary, t0..t2, d0..d2).
 
     ``s`` is a term's TF-IDF weight in each class, ``t`` the sum over all terms, ``d`` the training rows.
+    ``terms`` are the term rows of ``features``, if they are already at hand.
     """
-    terms = term_rows(features)
+    terms = term_rows(features) if terms is None else terms
     weights = term_weights(terms, features, rules)
     chosen = labelled(features, rules).filter("training")
     sums = (terms.join(chosen, "comment_id").join(weights, "term").groupBy("term").agg(*_by_label(
@@ -50,7 +51,7 @@ def train(features: DataFrame, rules: Rules = DEFAULT_RULES) -> tuple[DataFrame,
     return table, totals.join(F.broadcast(docs))
 
 
-def predict(features: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
+def predict(features: DataFrame, table: DataFrame, classes: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(comment_id, prediction) of every row by a model of ``train``, fresh or stored.
 
     A document's score is a sum over its terms.  Classes without a training row are never predicted;
@@ -58,7 +59,8 @@ def predict(features: DataFrame, table: DataFrame, classes: DataFrame) -> DataFr
     """
     size = len(LABELS)
     classes = F.broadcast(classes)
-    parts = term_rows(features).join(table, "term").join(classes).groupBy("comment_id").agg(*[
+    terms = term_rows(features) if terms is None else terms
+    parts = terms.join(table, "term").join(classes).groupBy("comment_id").agg(*[
         F.sum(F.col("n") * F.col("idf") * (F.log(F.col(f"s{i}") + 1) - F.log(F.col(f"t{i}") + F.col("vocabulary")))).alias(f"p{i}")
         for i in range(size)])
     present = reduce(lambda a, b: a + b, [(F.col(f"d{i}") > 0).cast("int") for i in range(size)])
@@ -72,8 +74,9 @@ def predict(features: DataFrame, table: DataFrame, classes: DataFrame) -> DataFr
 
 def scored(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """(comment_id, prediction) of every row by naive Bayes with smoothing 1 on TF-IDF."""
-    table, classes = train(features, rules)
-    return predict(features, table, cut_lineage(classes))
+    terms = cut_lineage(term_rows(features))
+    table, classes = train(features, rules, terms)
+    return predict(features, table, cut_lineage(classes), terms)
 
 
 def confusion(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:

@@ -73,11 +73,20 @@ class BenchTables:
     def layered(self) -> DataFrame:
         return annotation.work_layers(self.reviews, self.rules)
 
+    @cached_property
+    def stored(self) -> StoredTables:
+        """The same tables with the shared ones stored, for queries that read them several times."""
+        return StoredTables(self.spark, self.sf_dir)
+
     @cached_property
     def stored_layers(self) -> DataFrame:
-        """The work layers as a stored table, for queries that read them several times."""
-        return cut_lineage(self.layered.select(
-            "comment_id", "spot_name", "content", "layer", "representative_id", "is_low_info"))
+        """The work layers as a stored table, for queries that read them several times.
+
+        Annotation costs much time and few bytes a row, so the rows are dealt over all shuffle partitions;
+        sized by bytes, a small table would be one task.
+        """
+        rows = self.stored.layered.select("comment_id", "spot_name", "content", "layer", "representative_id", "is_low_info")
+        return cut_lineage(rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "comment_id"))
 
     @cached_property
     def responses(self) -> DataFrame:
@@ -107,7 +116,8 @@ class BenchTables:
 
     @cached_property
     def packages(self) -> DataFrame:
-        return facts.fact_packages(self.spots, self.stats, self.sentiment, self.aspects, self.reviews,
+        t = self.stored
+        return facts.fact_packages(t.spots, t.stats, self.sentiment, self.aspects, t.reviews,
                                    self.rules, F.lit("2024-01-01 00:00:00"))
 
     @cached_property
@@ -137,3 +147,31 @@ class BenchTables:
     @cached_property
     def features(self) -> DataFrame:
         return features.modelling_input(self.reviews, stop_words=("the", "of", "and", "le", "la", "der", "die"))
+
+
+class StoredTables(BenchTables):
+    """Bench tables whose shared steps are written once, so that no later plan repeats them."""
+
+    @property
+    def stored(self) -> StoredTables:
+        return self
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return cut_lineage(super().clean)
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        return cut_lineage(super().reviews)
+
+    @cached_property
+    def spots(self) -> DataFrame:
+        return cut_lineage(super().spots)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return cut_lineage(super().stats)
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        return cut_lineage(super().questions)

@@ -605,6 +605,7 @@ def _global_items(t: BenchTables) -> DataFrame:
 
 def _retrieved(t: BenchTables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mentions and entity items are read several times below, so both are stored first."""
+    t = t.stored
     classified = cut_lineage(questions.classify(t.questions))
     linked = cut_lineage(linking.link_entities(t.questions, t.spots))
     items, shared = cut_lineage(_spot_items(t)), cut_lineage(_global_items(t))
@@ -629,7 +630,7 @@ def mention_candidates(t):  # J15 N4
 
 @register
 def linked_entities(t):  # N4 W6
-    return linking.link_entities(t.questions, t.spots)
+    return linking.link_entities(t.stored.questions, t.stored.spots)
 
 
 @register
