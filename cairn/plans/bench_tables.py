@@ -90,7 +90,8 @@ class BenchTables:
 
     @cached_property
     def responses(self) -> DataFrame:
-        return annotation.read_responses(self.stored_layers.filter(F.col("layer") == annotation.CALL), self.rules)
+        """Stored, as an annotator's answers are: their validation would otherwise repeat the reading."""
+        return cut_lineage(annotation.read_responses(self.stored_layers.filter(F.col("layer") == annotation.CALL), self.rules))
 
     @cached_property
     def results(self) -> DataFrame:
