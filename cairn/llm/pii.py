@@ -2,13 +2,17 @@
 
 The patterns give the base spans.  Numbers and addresses that no pattern takes are units of a random
 field: a unit is tied to its neighbours and to the next unit of the same document with the same
-digits or address, and loopy message passing makes their labels agree.  Spans that the field is sure
-of are added; base spans are observed and stay.
+digits or address, or of the same form, and loopy message passing makes their labels agree.  Spans that
+the field is sure of are added; base spans are observed and stay.
+
+A unit without a base span may still be personal: the patterns ask for a prefix or a check digit.
+Such a unit is unknown when the field is fitted; only units that no kind admits are known to be none.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.words import map_texts, quoted
+from cairn.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-#: The field is fitted on about so many documents, chosen by a hash of their text.
-FIT_DOCUMENTS = 20_000
+#: The field is fitted on about so many different texts, chosen by their hash, and at most so many units.
+FIT_DOCUMENTS, FIT_UNITS = 20_000, 50_000
 CERTAIN = 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,7 +36,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"\+?\(?[0-9](?:[ ().-]{0,2}[0-9])*+")
 _WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
-_NOT_DIGIT = re.compile(r"[^0-9]+")
+_DIGIT, _NOT_DIGIT = re.compile(r"[0-9]"), re.compile(r"[^0-9]+")
 
 Span = tuple[int, int, int]
 
@@ -91,6 +96,8 @@ class Units:
     features: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    #: Units whose label is unknown when the field is fitted.
+    hidden: np.ndarray | None = None
 
 
 def _features(text: str, start: int, end: int, digits: str) -> list[float]:
@@ -104,7 +111,33 @@ def _features(text: str, start: int, end: int, digits: str) -> list[float]:
             before.isalnum(), after.isalnum(), before in "\"'=" and before != "", "@" not in unit and "." in unit]
 
 
-N_FEATURES = len(_features("0", 0, 1, "0"))
+#: Shape of the unit, then the hashed word before it and the one after it.
+N_SHAPE, CONTEXT_BUCKETS, CONTEXT_CHARS = len(_features("0", 0, 1, "0")), 32, 40
+N_FEATURES = N_SHAPE + 2 * CONTEXT_BUCKETS
+
+
+def _context(text: str, start: int, end: int) -> tuple[int, int]:
+    """Buckets of the words next to a unit; -1 where there is none."""
+    def bucket(word: list[str]) -> int:
+        letters = "".join(c for c in word[0].lower() if c.isalpha()) if word else ""
+        return zlib.crc32(letters.encode()) % CONTEXT_BUCKETS if letters else -1
+
+    return bucket(text[max(0, start - CONTEXT_CHARS):start].split()[-1:]), bucket(text[end:end + CONTEXT_CHARS].split()[:1])
+
+
+def _feature_table(shapes: list[list[float]], contexts: list[tuple[int, int]]) -> np.ndarray:
+    table = np.zeros((len(shapes), N_FEATURES))
+    if shapes:
+        table[:, :N_SHAPE] = shapes
+        for k, buckets in enumerate(np.array(contexts).T):
+            at = np.flatnonzero(buckets >= 0)
+            table[at, N_SHAPE + k * CONTEXT_BUCKETS + buckets[at]] = 1
+    return table
+
+
+def _admits(unit: str, digits: str) -> bool:
+    """Whether some kind could hold the unit, with or without the prefix or check digit of its pattern."""
+    return "@" in unit or 7 <= len(digits) <= 19 or unit.count(".") == 3
 
 
 def find_units(texts: list[tuple[int, str, list[Span]]]) -> Units:
@@ -112,7 +145,7 @@ def find_units(texts: list[tuple[int, str, list[Span]]]) -> Units:
 
     A base span is a unit; so is every word with an @ and every number phrase beside them.
     """
-    rows, features, chain, skip = [], [], [], []
+    rows, features, contexts, hidden, chain, skip = [], [], [], [], [], []
     for doc, text, base in texts:
         found = [(a, b, k + 1) for k, a, b in base]
         found += [(m.start(), m.end(), 0) for m in _WORD.finditer(text) if "@" in m[0]] if "@" in text else []
@@ -137,14 +170,19 @@ def find_units(texts: list[tuple[int, str, list[Span]]]) -> Units:
                 chain.append((here - 1, here))
             same = unit.strip(".,;:!?\"'()").lower() if "@" in unit else digits[-9:] if len(digits) >= 7 else ""
             if same:
-                if same in latest:
-                    skip.append((latest[same], here))
-                latest[same] = here
+                form = "@" + same.rpartition("@")[2] if "@" in unit else "#" + _DIGIT.sub("0", unit)
+                # The latest unit with the same value, else the latest of the same form.
+                tied = latest.get(same, latest.get(form))
+                if tied is not None:
+                    skip.append((tied, here))
+                latest[same] = latest[form] = here
             rows.append((doc, a, b, k))
             features.append(_features(text, a, b, digits))
+            contexts.append(_context(text, a, b))
+            hidden.append(k == 0 and _admits(unit, digits))
     table = np.array(rows, np.int64).reshape(-1, 4)
-    return Units(*table.T, np.array(features, np.float64).reshape(-1, N_FEATURES),
-                 np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2))
+    return Units(*table.T, _feature_table(features, contexts), np.array(chain, np.int64).reshape(-1, 2),
+                 np.array(skip, np.int64).reshape(-1, 2), np.array(hidden, bool))
 
 
 @dataclass
@@ -155,22 +193,35 @@ class SkipChainField:
 
     @classmethod
     def fit(cls, units: Units, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> SkipChainField:
-        """Pseudo-likelihood: each label given its unit and the labels it is tied to, by gradient steps."""
+        """Pseudo-likelihood: each known label given its unit and the labels it is tied to, by gradient steps.
+
+        Unknown labels give no term and say nothing to their ties.  Every known unit is seen twice, once
+        without its shape: the shape of a base span is its pattern, and alone would leave the words
+        around it and the ties without weight.
+        """
         k = len(KINDS) + 1
         unary, chain, skip = np.zeros((N_FEATURES, k)), np.zeros((k, k)), np.zeros((k, k))
-        hot = np.eye(k)[units.label]
+        hidden = np.zeros(len(units.label), bool) if units.hidden is None else units.hidden
+        hot = np.eye(k)[units.label] * ~hidden[:, None]
         near, far = np.zeros_like(hot), np.zeros_like(hot)
         for ties, total in ((units.chain, near), (units.skip, far)):
             for a, b in (ties.T, ties.T[::-1]):
                 np.add.at(total, a, hot[b])
+        known = np.flatnonzero(~hidden)
+        hot, near, far, full = hot[known], near[known], far[known], units.features[known]
+        blind = full.copy()
+        blind[:, 1:N_SHAPE] = 0
         for _ in range(rounds if len(hot) else 0):
-            score = units.features @ unary + near @ chain + far @ skip
-            p = np.exp(score - score.max(axis=1, keepdims=True))
-            error = (hot - p / p.sum(axis=1, keepdims=True)) / len(hot)
-            unary += rate * (units.features.T @ error - ridge * unary)
+            steps = [np.zeros_like(unary), np.zeros_like(chain), np.zeros_like(skip)]
+            for features in (full, blind):
+                score = features @ unary + near @ chain + far @ skip
+                p = np.exp(score - score.max(axis=1, keepdims=True))
+                error = (hot - p / p.sum(axis=1, keepdims=True)) / (2 * len(hot))
+                for step, seen in zip(steps, (features, near, far)):
+                    step += seen.T @ error
+            unary += rate * (steps[0] - ridge * unary)
             # One symmetric potential for a tie, whichever end it is seen from.
-            for weights, total in ((chain, near), (skip, far)):
-                step = total.T @ error
+            for weights, step in ((chain, steps[1]), (skip, steps[2])):
                 weights += rate * ((step + step.T) / 2 - ridge * weights)
         return cls(unary, chain, skip)
 
@@ -218,39 +269,48 @@ def _marked(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str, list[
     return out
 
 
-def fit_field(docs: DataFrame, text: str, fit_documents: int) -> SkipChainField:
-    """The field fitted on a bounded sample: labels are the base spans, the rest of the units have none."""
+def fit_field(docs: DataFrame, text: str, fit_documents: int, fit_units: int = FIT_UNITS) -> SkipChainField:
+    """The field fitted on a bounded sample of different texts.
+
+    Copies of a text count once.  Texts are taken by their hash until ``fit_documents`` texts or
+    ``fit_units`` units are reached; a text with more units than that alone is not fitted on.
+    """
     total = docs.count()
     share = int((1 << 20) * min(1.0, fit_documents / max(1, total)))
-    sample = docs.filter(F.pmod(F.xxhash64(F.col(quoted(text))), F.lit(1 << 20)) < share)
+    key = F.xxhash64(F.col(quoted(text)))
+    sample = docs.select(F.col(quoted(text)).alias("text"), key.alias("key")).filter(F.pmod("key", F.lit(1 << 20)) < share)
 
     def compute(data, offsets, batch):
         units = find_units(_marked(data, offsets))
-        out = [[] for _ in range(len(offsets) - 1)]
-        offset = np.searchsorted(units.doc, np.arange(len(offsets)))
-        for i in range(len(out)):
-            a, b = offset[i], offset[i + 1]
-            if b > a:
-                mine = [t[(t[:, 0] >= a) & (t[:, 0] < b)] - a for t in (units.chain, units.skip)]
-                out[i] = [units.label[a:b].tolist(), units.features[a:b].reshape(-1).tolist(), *[t.reshape(-1).tolist() for t in mine]]
-        empty = [[], [], [], []]
-        columns = list(zip(*[o or empty for o in out])) or [[], [], [], []]
-        return [pa.array(columns[0], pa.list_(pa.int64())), pa.array(columns[1], pa.list_(pa.float64())),
-                pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.list_(pa.int64()))]
-
-    rows = map_texts(sample, "label array<bigint>, features array<double>, chain array<bigint>, skip array<bigint>",
-                     compute, text, []).filter("size(label) > 0").collect()
-    label, features, chain, skip, at = [], [], [], [], 0
-    for r in rows:
-        label += r["label"]
-        features.append(np.array(r["features"]).reshape(-1, N_FEATURES))
-        chain.append(np.array(r["chain"], np.int64).reshape(-1, 2) + at)
-        skip.append(np.array(r["skip"], np.int64).reshape(-1, 2) + at)
-        at += len(r["label"])
-    none, pairs = np.zeros(at, np.int64), np.zeros((0, 2), np.int64)
-    return SkipChainField.fit(Units(none, none, none, np.array(label, np.int64),
-                                    np.concatenate([np.zeros((0, N_FEATURES)), *features]),
-                                    np.concatenate([pairs, *chain]), np.concatenate([pairs, *skip])))
+        at = np.searchsorted(units.doc, np.arange(len(offsets)))
+        out = []
+        for a, b in zip(at[:-1], at[1:]):
+            ties = [(t[(t[:, 0] >= a) & (t[:, 0] < b)] - a).tobytes() for t in (units.chain, units.skip)] if b > a else [b"", b""]
+            out.append([int(b - a), units.label[a:b].tobytes(), units.hidden[a:b].tobytes(),
+                        units.features[a:b].astype(np.float32).tobytes(), *ties])
+        columns = list(zip(*out)) or [[]] * 6
+        return [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]]
+
+    found = map_texts(sample, "units bigint, label binary, hidden binary, features binary, chain binary, skip binary",
+                      compute, "text", ["key"]).filter("units > 0")
+    stored = cut_lineage(found.dropDuplicates(["key"]))
+    sizes = stored.filter(F.col("units") <= fit_units).select("key", "units").orderBy("key").limit(fit_documents).collect()
+    ends = np.cumsum([r["units"] for r in sizes])
+    taken = int(np.searchsorted(ends, fit_units, side="right"))
+    rows = stored.filter((F.col("units") <= fit_units) & (F.col("key") <= sizes[taken - 1]["key"])).orderBy("key").collect() if taken else []
+
+    def joined_up(name: str, dtype, width: tuple = ()) -> np.ndarray:
+        parts = [np.frombuffer(r[name], dtype).reshape(-1, *width) for r in rows]
+        return np.concatenate([np.zeros((0, *width), dtype), *parts])
+
+    first = np.cumsum([0, *[r["units"] for r in rows]])
+    ties = []
+    for name in ("chain", "skip"):
+        of = np.repeat(first[:-1], [len(r[name]) // 16 for r in rows])
+        ties.append(joined_up(name, np.int64, (2,)) + of[:, None].astype(np.int64))
+    none = np.zeros(first[-1], np.int64)
+    return SkipChainField.fit(Units(none, none, none, joined_up("label", np.int64), joined_up("features", np.float32, (N_FEATURES,)).astype(float),
+                                    *ties, joined_up("hidden", bool)))
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", certain: float = CERTAIN, fit_documents: int = FIT_DOCUMENTS,

@@ -356,6 +356,58 @@ def test_field_labels_repeated_numbers_alike(spark, tmp_path):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_field_adds_repeats_and_numbers_of_the_same_form(spark, tmp_path):
+    rng, rows, wanted, others = random.Random(8), [], set(), set()
+
+    def card(good):
+        while True:
+            digits = "".join(rng.choice("0123456789") for _ in range(16))
+            if pii.luhn(digits) == good:
+                return digits
+
+    def add(text, start, end, group):
+        group.add((len(rows), start, end))
+        return text
+
+    for i in range(600):
+        phone = f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+        if i % 3 == 0:
+            # Ties are learned from numbers that the patterns find twice.
+            rows.append((i, f"please call {phone} today or dial {phone} tonight about item {rng.randrange(9999)} of page {i % 40}"))
+        elif i % 3 == 1:
+            again = phone[4:7] + " " + phone[9:12] + " " + phone[13:]
+            text = f"please call {phone} today or dial "
+            rows.append((i, add(text + again + " tonight", len(text), len(text) + len(again), wanted)))
+        else:
+            number, text = card(i % 2 == 0), "paid with card "
+            if i % 2:
+                add("", len(text), len(text) + 16, wanted)
+            build = f"{text}{number} in 20{i % 30:02d}, order 1{rng.randrange(10 ** 6):06d} shipped"
+            at = build.index("order ") + 6
+            rows.append((i, add(build, at, at + 7, others)))
+    # A third of all rows is one text, which counts once.
+    rows += [(k, "plain 12 of 34") for k in range(1000, 1300)] + [(None, None), (2000, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    found = pii.find_personal_data(spark.read.parquet(str(tmp_path / "d")), fit_documents=5000).collect()
+    added = {(r.doc_id, s.start, s.end) for r in found for s in set(r.spans) - set(r.base)}
+    assert len(added & wanted) >= 0.95 * len(wanted) and not added & others
+    assert len(added - wanted) <= 0.02 * len(added)
+
+
+def test_fitting_sample_is_bounded_in_units(spark, tmp_path):
+    rows = [(k, f"call +1 (203) 555-{k:04d} or page {k}") for k in range(300)] + [(999, "12, " * 5000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    docs, seen = spark.read.parquet(str(tmp_path / "d")), []
+    fit = pii.SkipChainField.fit
+    try:
+        pii.SkipChainField.fit = classmethod(lambda cls, units, *a: seen.append(units) or fit.__func__(cls, units, 1))
+        pii.fit_field(docs, "text", 1000, 100)
+        pii.fit_field(docs, "text", 1000, 1)
+    finally:
+        pii.SkipChainField.fit = fit
+    assert len(seen[0].label) == 100 and len(seen[0].chain) == 50 and not len(seen[1].label)
+    assert (seen[0].chain == np.arange(100).reshape(-1, 2)).all() and set(seen[0].label) == {0, 4}
+
 def test_messages_equal_exact_marginals_on_a_tree():
     rng = np.random.default_rng(0)
     k = len(pii.KINDS) + 1
