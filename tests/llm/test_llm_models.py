@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -254,6 +255,112 @@ def test_line_cosines_equal_plain_tf_idf(stored, data):
             norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
             assert got[i, j] == pytest.approx(sum(a.get(w, 0) * x for w, x in b.items()) / norm)
 
+def commented(text, prefix, width):
+    return "\n".join(prefix + line for line in textwrap.wrap(text, width)) + "\n"
+
+
+def test_license_files_and_wrapped_headers(spark):
+    texts, headers, openings = dict(licenses.LICENSE_TEXTS), dict(licenses.HEADERS), dict(licenses.OPENINGS)
+    code = "\n".join(f"def part_{k}(x, y):\n    return x + {k} * y" for k in range(60))
+    long = "\n".join(f"{k}. clause of the terms about copying part {k} and the obligations that follow from it" for k in range(400))
+    rows = [("MIT", "MIT", "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + commented(texts["MIT"], "", 78)),
+            ("ISC", "ISC", "Copyright (c) 2019, J. Doe\n\n" + commented(texts["ISC"], "", 70)),
+            ("BSD-2-Clause", "BSD-2-Clause", "Copyright 2018 A. Person. All rights reserved.\n\n" + commented(texts["BSD-2-Clause"], "", 60)),
+            ("BSD-3-Clause", "BSD-3-Clause", "Copyright 2018 A. Person\n\n" + commented(texts["BSD-3-Clause"], " ", 72)),
+            ("Unlicense", "Unlicense", commented(texts["Unlicense"], "", 64)),
+            *[(name, name, "\n" + commented(text.upper(), " " * 10, 60) + "\n" + long) for name, text in openings.items()
+              if name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1")],
+            *[(name, None, "#!/usr/bin/env python\n" + commented(text, prefix, width) + code)
+              for (name, text), prefix, width in zip(headers.items(), ["# ", " * ", "// ", "-- ", "# ", "; ", "# "] * 2, [50, 60, 70, 44, 78, 66, 58] * 2)],
+            (None, None, code), (None, None, long), (None, None, "the permission of the author and the conditions of use"),
+            ("MIT", None, code + "\n# Released under\n# the MIT License.\n" + code)]
+    files = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, own string, file string, text string")
+    for r in licenses.scan_texts(files).collect():
+        assert (r.id, r.own_license, r.file_license) == (r.id, r.own, r.file)
+
+
+def slow_scan(texts):
+    import pyarrow as pa
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW))
+    pairs = sorted([*licenses.TEMPLATES.items(), *licenses.HEADERS, *licenses.LICENSE_TEXTS])
+    openings, found = sorted(licenses.OPENINGS), []
+    vocabulary = {w for _, t in [*pairs, *openings] for w in words(t)}
+    known = sorted({w for t in texts for w in words(t)} | vocabulary)
+    key = dict(zip(known, (w if w in vocabulary else int(licenses._slot(licenses._hashed(pa.array([w]))[0])[0]) for w in known)))
+    df = Counter(k for t in texts for k in {key[w] for w in words(t)})
+
+    def vector(t):
+        v = {w: n * (math.log((1 + len(texts)) / (1 + df[key[w]])) + 1) for w, n in Counter(words(t)).items()}
+        return v, math.sqrt(sum(x * x for x in v.values()))
+
+    rows = [(name, *vector(t)) for name, t in pairs], [(name, *vector(t)) for name, t in openings]
+
+    def best(t, among):
+        v, norm = vector(t)
+        return max([(round(sum(x * u.get(w, 0) for w, x in v.items()) / (norm * size), 9), -i, name)
+                    for i, (name, u, size) in enumerate(among)]) if norm else (0, 0, None)
+
+    for t in texts:
+        lines = [x for x in t.split("\n") if words(x)]
+        own, begun, single = (0, None), (0, None), 0
+        for length in licenses.RUN_LINES:
+            for at in range(0, len(lines), max(1, length // 4)):
+                size = min(length, len(lines) - at)
+                if size < length and (at or length >= 2 * size):
+                    continue
+                run = "\n".join(lines[at:at + size])
+                score, _, name = best(run, rows[0])
+                single += length == 1 and score >= licenses.LINE_COSINE
+                own = (score, name) if score >= licenses.LINE_COSINE and score > own[0] else own
+                score, _, name = best(run, rows[1]) if at == 0 else (0, 0, None)
+                begun = (score, name) if score >= licenses.LINE_COSINE and score > begun[0] else begun
+        score, _, name = best(t, rows[0])
+        file = (score, name) if score >= licenses.FILE_COSINE else (0, None)
+        own, file = max(own, begun, key=lambda x: x[0]), max(file, begun, key=lambda x: x[0])
+        found.append((own[1], own[0], single, file[1], file[0]))
+    return found
+
+
+def test_scan_equals_brute_force(spark):
+    rng = random.Random(12)
+    pool = [x for _, t in [*licenses.HEADERS, *licenses.LICENSE_TEXTS, *licenses.OPENINGS] for x in t.split("\n")] + list(licenses.TEMPLATES.values())
+    prose = ["a line of code and the rest", "ünd nöch eine", "x = 1", "", "  * ", "the software of the author", "public domain"]
+    whole = [t for _, t in [*licenses.HEADERS, *licenses.LICENSE_TEXTS, *licenses.OPENINGS]]
+    texts = ["", " \n\n", "license", *["\n".join([*rng.choices(prose, k=rng.randrange(4)), rng.choice(whole), *rng.choices(prose, k=rng.randrange(9))]) for _ in range(30)]]
+    texts += ["\n".join(rng.choice(pool if rng.random() < 0.4 else prose) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    texts += [texts[5]] * 3
+    files = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(3)
+    got = {r.id: (r.own_license, r.own_score or 0, r.n_license_lines, r.file_license, r.file_score or 0) for r in licenses.scan_texts(files).collect()}
+    for i, want in enumerate(slow_scan(texts)):
+        assert got[i][0::2] == want[0::2][:3] and got[i][3] == want[3], (i, got[i], want)
+        assert got[i][1] == pytest.approx(want[1]) and got[i][4] == pytest.approx(want[4])
+
+
+def test_inheritance_equals_brute_force_with_hot_directories(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        directory = "hot/a" if i % 3 == 0 else "/".join(rng.choice("abc") for _ in range(rng.randrange(5)))
+        text = rng.choice(list(licenses.TEMPLATES.values())) if rng.random() < 0.03 else "x = 1\n"
+        rows.append((i, f"{directory}/f{i:03d}" if directory else f"f{i:03d}", text))
+    files = spark.createDataFrame(rows, "id int, path string, text string").repartition(3)
+    names = {t: n for n, t in licenses.TEMPLATES.items()}
+    given = {}
+    for _, path, text in sorted(rows, key=lambda r: r[1]):
+        if text in names:
+            given.setdefault(path.rpartition("/")[0], names[text])
+    for r in licenses.with_licenses(files, "path", ["id"], hot_files=7).collect():
+        text, directory = rows[r.id][2], rows[r.id][1].rpartition("/")[0]
+        want = (names[text], None) if text in names else (None, None)
+        while text not in names:
+            if directory in given:
+                want = given[directory], directory
+                break
+            if not directory:
+                break
+            directory = directory.rpartition("/")[0]
+        assert (r.license, r.license_from) == want
+
 
 # --- repeats ------------------------------------------------------------------------------------------
 
