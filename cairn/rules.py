@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 POLARITIES = ("positive", "neutral", "negative")
 
-# --- fixed values: the lists below are part of the result definitions ---------------------
+# --- fixed values: the lists and numbers below are part of the result definitions ---------------------
 
 DOMESTIC_REGIONS = (
     "北京", "天津", "河北", "山西", "内蒙古", "辽宁", "吉林", "黑龙江", "上海", "江苏",
@@ -61,8 +61,6 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# --- end of fixed values ------------------------------------------------------------------
-
 
 @dataclass(frozen=True)
 class CostModel:
@@ -82,6 +80,8 @@ class CostModel:
     report_output_tokens: int = 700
     sample_max_chars: int = 126
 
+# --- end of fixed values ------------------------------------------------------------------
+
 
 @dataclass(frozen=True)
 class Rules:
