@@ -63,6 +63,32 @@ def test_entity_topics_cover_every_document(spark, rows):
     assert words.groupBy("scope_id", "topic_index").count().filter("count > 10").count() == 0
 
 
+def test_blocks_move_no_counts(spark):
+    """Scopes cut into blocks of a few counts give the weights of plain EM, with text and number keys."""
+    rules = Rules(topics=2, topic_iterations=3)
+    rows = [(("甲", "乙")[d % 5 == 0], d, f"w{(d * d + 3 * j) % 17}", float(1 + (d + j) % 3)) for d in range(40) for j in range(5)]
+    counts = spark.createDataFrame(rows, "scope_id string, doc long, term string, cnt double")
+    k, alpha, eta = 2, 26.0, 1.1
+    noise = [F.pmod(F.xxhash64("scope_id", "doc", "term", F.lit(rules.seed + i)), F.lit(10_000)) / 10_000.0 + 1e-4 for i in range(k)]
+    start = counts.select("scope_id", "doc", "term", "cnt", *[n.alias(f"n{i}") for i, n in enumerate(noise)]).collect()
+    edges = [(r.scope_id, r.doc, r.term, r.cnt) for r in start]
+    split = [[r.cnt * r[f"n{i}"] / (r.n0 + r.n1) for i in range(k)] for r in start]
+    words = {s: len({t for z, _, t, _ in edges if z == s}) for s in "甲乙"}
+    for turn in range(4):
+        d, t, n = {}, {}, {}
+        for (s, doc, term, _), g in zip(edges, split):
+            for held, key in ((d, doc), (t, (s, term)), (n, s)):
+                held[key] = [a + b for a, b in zip(held.get(key, [0.0, 0.0]), g)]
+        for at, (s, doc, term, cnt) in enumerate(edges):
+            p = [(t[s, term][i] + eta - 1) * (d[doc][i] + alpha - 1) / (n[s][i] + words[s] * (eta - 1)) for i in range(k)]
+            split[at] = [cnt * x / sum(p) for x in p]
+    docs, terms = topics.fit_per_entity(counts, rules, counts_per_block=20)
+    assert {r.doc: pytest.approx([r.d0, r.d1]) for r in docs.collect()} == d
+    assert {(r.scope_id, r.term): pytest.approx([r.t0, r.t1]) for r in terms.collect()} == t
+    empty = topics.fit_per_entity(counts.limit(0), rules)
+    assert [x.count() for x in empty] == [0, 0]
+
+
 def test_topic_fallback(spark):
     spots = spark.createDataFrame([("甲",), ("乙",)], ["spot_name"])
     rates = spark.createDataFrame([("spot", "甲", 0, 1.0, 9, 1), ("global", "", 0, 0.4, 99, 2), ("global", "", 1, 0.6, 99, 3)],
