@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,41 @@ def test_modelling_input_takes_segmented_tokens(spark, table):
     got = features.modelling_input(rows, ["门票"], token_column="tokens")
     assert got.filter("comment_id = 300").first().filtered_tokens == ["风景"]
     assert got.filter(F.array_contains("filtered_tokens", "门票")).isEmpty() and got.filter(F.exists("tokens", lambda w: F.length(w) < 2)).isEmpty()
+
+
+def shuffled_rows(plan):
+    """Rows that the exchanges of a finished plan have written."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_words_of_a_text_are_not_shuffled(spark):
+    """A block asks once for each distinct run; its texts move as they are."""
+    texts = spark.createDataFrame([(i, "风景很美，门票 a1 排队的人多！" * 20) for i in range(1000)], "id bigint, text string").repartition(3)
+    rules = replace(RULES, rows_per_task=100)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = segmentation.segment(texts, "id", "text", rules)
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(rows) == 1000 and len({tuple(r.tokens) for r in rows}) == 1
+    assert rows[0].tokens.count("a1") == 20 and "".join(rows[0].tokens) == "风景很美门票a1排队的人多" * 20
+    assert shuffled_rows(got._jdf.queryExecution().executedPlan()) < 10_000  # 80,000 items
+
+
+def test_blocks_without_answers_and_other_columns(spark):
+    """Blocks with no run, with no known run, and columns of other types beside the text."""
+    texts = spark.createDataFrame([(i, t, {"k": i}, None) for i, t in enumerate(["1 2", "", None, "门票", "乾坤1", "乾"] * 4)],
+                                  "id bigint, text string, m map<string,int>, `odd name` timestamp")
+    segments = spark.createDataFrame([("门票", ["门", "票"])], "run string, words array<string>")
+    got = segmentation.with_tokens(texts, "id", "text", segments, replace(RULES, rows_per_task=1))
+    assert got.columns == ["id", "text", "m", "odd name", "tokens"]
+    want = [["1", "2"], [], [], ["门", "票"], ["乾坤", "1"], ["乾"]] * 4
+    assert {r.id: (r.tokens, r.m) for r in got.collect()} == {i: (w, {"k": i}) for i, w in enumerate(want)}
