@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from cairn.functions.skew import key_sizes, salted_lookup_join
+from cairn.sources.star import raw_reviews
 
 
 def test_facts_are_never_dealt_by_the_bare_key(spark):
@@ -26,3 +27,25 @@ def test_facts_are_never_dealt_by_the_bare_key(spark):
     finally:
         for c, v in kept.items():
             spark.conf.set(c, v)
+
+
+def test_documents_without_an_order_are_not_dealt_by_their_missing_customer(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = raw_reviews(spark, "/root/testdata/sf0.001")
+        lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    depth = [len(re.match(r"[ :|+-]*", line)[0]) for line in lines]
+    below = []
+    for i, line in enumerate(lines):
+        if re.search(r"Exchange hashpartitioning\((o_custkey|c_nationkey)#", line):
+            end = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
+            below.append("\n".join(lines[i:end]))
+    assert below and not any("text#" in plan for plan in below)
+    got = {r.comment_id: r.user_nick for r in rows.select("comment_id", "user_nick").collect()}
+    orders, customer = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("orders", "customer"))
+    names = {str(r.o_orderkey): f" {r.c_name}" for r in orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
+             .select("o_orderkey", "c_name").collect() if r.c_name is not None}
+    assert len(got) == 200 and all(nick == names.get(key) for key, nick in got.items()) and any(got.values())
