@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from cairn.functions.skew import key_sizes, salted_lookup_join
+from cairn.operators.annotation import work_layers
 from cairn.sources.star import raw_reviews
 
 
@@ -49,3 +50,28 @@ def test_documents_without_an_order_are_not_dealt_by_their_missing_customer(spar
     names = {str(r.o_orderkey): f" {r.c_name}" for r in orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
              .select("o_orderkey", "c_name").collect() if r.c_name is not None}
     assert len(got) == 200 and all(nick == names.get(key) for key, nick in got.items()) and any(got.values())
+
+
+def _left_sides_of_salted_joins(node):
+    children = [node.children().apply(i) for i in range(node.children().size())]
+    found = [side for child in children for side in _left_sides_of_salted_joins(child)]
+    names = [[a.output().apply(i).name() for i in range(a.output().size())] for a in children]
+    if node.nodeName() == "Join" and "__salt" in names[0] and "__salt" in names[1]:
+        found.append(names[0])
+    return found
+
+
+def test_layers_alone_move_no_text_through_the_join(spark):
+    """Whether a text is empty is told before the representatives are looked up."""
+    i = F.col("id")
+    reviews = spark.range(8).select(
+        i.alias("comment_id"), F.when(i == 7, F.lit(" \n")).when(i != 6, F.concat(F.lit("text "), (i % 3).cast("string"))).alias("content"),
+        F.lit(6).alias("content_length"), (i == 5).cast("int").alias("is_low_info"), (i < 4).cast("int").alias("is_dup_content"),
+        F.when(i < 4, 0).cast("long").alias("dup_group_id"))
+    layered = work_layers(reviews)
+    plan = layered.select("comment_id", "layer")._jdf.queryExecution().optimizedPlan()
+    sides = _left_sides_of_salted_joins(plan)
+    assert sides and all("content" not in side for side in sides)
+    assert set(layered.columns) == {*reviews.columns, "representative_id", "layer"}
+    got = {r.comment_id: r.layer for r in layered.collect()}
+    assert got == {0: "call", 1: "reuse", 2: "reuse", 3: "reuse", 4: "call", 5: "rule", 6: "excluded", 7: "excluded"}
