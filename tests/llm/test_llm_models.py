@@ -215,6 +215,63 @@ def test_every_language_has_its_own_model_and_band(spark, tmp_path, monkeypatch)
     assert {r.doc_id: r.kept for r in alone} == {i: kept[i] for i in (r.doc_id for r in alone)}
 
 
+def test_perplexity_equals_its_definition_over_characters(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("aab cD. E17é的一是😀") for _ in range(60 + 40 * i)), "xy"[i % 2]) for i in range(6)] + [(9, "的一是", "x")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.log_perplexity for r in perplexity.judge(spark.read.parquet(str(tmp_path / "d")), keep=["doc_id"]).collect()}
+    assert got.pop(9) is None
+    for lang in "xy":
+        mine = {i: t for i, t, name in rows if name == lang and i < 9}
+        tables = [Counter(), Counter(), Counter(), Counter(t[i:i + 4] for t in mine.values() for i in range(len(t) - 3))]
+        for order in (2, 1, 0):
+            tables[order] = Counter(g[1:] for g in tables[order + 1])
+
+        def p(gram):
+            if not gram:
+                return 1 / len(tables[0])
+            c = tables[len(gram) - 1]
+            numbers = Counter(c.values())
+            d = [0, *perplexity.KneserNey.discounts_of(*(numbers[k] for k in (1, 2, 3, 4)))[1:]]
+            after = [n for g, n in c.items() if g[:-1] == gram[:-1]]
+            return (c[gram] - d[min(c[gram], 3)] + sum(d[min(a, 3)] for a in after) * p(gram[1:])) / sum(after)
+
+        for i, t in mine.items():
+            grams = [t[k:k + 4] for k in range(len(t) - 3)]
+            assert got[i] == pytest.approx(-sum(math.log10(p(g)) for g in grams) / len(grams), abs=1e-9)
+
+
+def test_characters_of_one_byte_class_are_told_apart(spark, tmp_path):
+    """Capitals, digits, and characters beyond ASCII with the same first byte, in sound and in odd mixtures."""
+    rng = random.Random(13)
+    usual = {"a": "ETAOIN", "b": "123", "c": "的一是不了人"}
+    odd = {"a": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "b": "0123456789", "c": "皂皃皆皇皈皊皋皌皍皎皏皐皑皒皓皔皕皖皗皘皙皚"}
+    def text(chars):
+        return " ".join("".join(rng.choice(chars) for _ in range(rng.randint(3, 8))) for _ in range(150))
+    rows = [(1000 * k + i, text(usual[name]), name) for k, name in enumerate(usual) for i in range(100)]
+    rows += [(100000 + k, text(odd[name]), name) for k, name in enumerate(usual)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "d"))
+    kept = {r.doc_id: r.kept for r in perplexity.judge(spark.read.parquet(str(tmp_path / "d")), keep=["doc_id"]).collect()}
+    assert not any(k for i, k in kept.items() if i >= 100000)
+    assert np.mean([k for i, k in kept.items() if i < 100000]) > 0.98
+
+
+def test_blocks_share_one_model_and_keep_all_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(perplexity, "BLOCK_ROWS_LOG2", 3)
+    rng = random.Random(17)
+    rows = [(i, None if i % 9 == 8 else "".join(rng.choice("etaoin shrdlu") for _ in range(400)), "en" if i % 3 else None, [i, None]) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, other array<int>").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    small = {r.doc_id: r for r in perplexity.judge(docs).collect()}
+    monkeypatch.undo()
+    large = {r.doc_id: r for r in perplexity.judge(docs).collect()}
+    assert small.keys() == large.keys() == {r[0] for r in rows}
+    for r in rows:
+        assert (small[r[0]].text, small[r[0]].lang, small[r[0]].other) == r[1:]
+        assert small[r[0]].kept == large[r[0]].kept and (small[r[0]].log_perplexity is None) == (r[1] is None)
+        assert r[1] is None or small[r[0]].log_perplexity == pytest.approx(large[r[0]].log_perplexity, abs=1e-9)
+
+
 def test_perplexity_of_an_empty_table(empty):
     assert perplexity.judge(empty).count() == 0
 
