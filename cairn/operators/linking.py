@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import strip
+from cairn.session import cut_lineage
 
 MIN_NAME, MIN_PREFIX = 2, 3
 _NOT_FOUND = 10**6
@@ -81,7 +82,7 @@ def matched_prefixes(questions: DataFrame, prefixes: DataFrame) -> DataFrame:
 def mention_candidates(questions: DataFrame, spots: DataFrame) -> DataFrame:
     """(question_id, text, token, spot_name, review_count, is_whole), best entity per token."""
     prefixes = name_prefixes(spots)
-    matched = matched_prefixes(questions, prefixes)
+    matched = cut_lineage(matched_prefixes(questions, prefixes))
     # A name is a candidate through its longest matched prefix: its next prefix must not match.
     hits = matched.join(prefixes, "prefix")
     longer = matched.select("question_id", F.col("prefix").alias("child"))
