@@ -41,10 +41,11 @@ def train(features: DataFrame, rules: Rules = DEFAULT_RULES, terms: DataFrame |
     terms = term_rows(features) if terms is None else terms
     weights = term_weights(terms, features, rules)
     chosen = labelled(features, rules).filter("training")
-    sums = (terms.join(chosen, "comment_id").join(weights, "term").groupBy("term").agg(*_by_label(
-        lambda x: F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n") * F.col("idf"))), F.lit(0.0)), "s")))
+    # Counts are added up by term before they meet the weights: idf is the same in all rows of a term.
+    sums = terms.join(chosen, "comment_id").groupBy("term").agg(*_by_label(
+        lambda x: F.sum(F.when(F.col("label") == x, F.col("n"))), "n"))
     table = cut_lineage(weights.join(sums, "term", "left").select(
-        "term", "idf", *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in range(len(LABELS))]))
+        "term", "idf", *[(F.coalesce(f"n{i}", F.lit(0)) * F.col("idf")).alias(f"s{i}") for i in range(len(LABELS))]))
     totals = table.agg(F.count(F.lit(1)).alias("vocabulary"), *[
         F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"t{i}") for i in range(len(LABELS))])
     docs = chosen.agg(*_by_label(lambda x: F.count_if(F.col("label") == x), "d"))
@@ -73,8 +74,12 @@ def predict(features: DataFrame, table: DataFrame, classes: DataFrame, terms: Da
 
 
 def scored(features: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """(comment_id, prediction) of every row by naive Bayes with smoothing 1 on TF-IDF."""
-    terms = cut_lineage(term_rows(features))
+    """(comment_id, prediction) of every row by naive Bayes with smoothing 1 on TF-IDF.
+
+    The features are read several times: store them first, by ``comment_id`` so that their terms are counted
+    where they lie.  The term rows, many times their size, are not stored.
+    """
+    terms = term_rows(features)
     table, classes = train(features, rules, terms)
     return predict(features, table, cut_lineage(classes), terms)
 
