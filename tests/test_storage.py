@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,7 +28,11 @@ def checkpoints(spark) -> set[str]:
 def test_a_stored_step_leaves_no_shuffle_files(spark):
     before = shuffles(spark)
     stored = cut_lineage(spark.range(ROWS).repartition(4, "id").groupBy((F.col("id") % 3).alias("k")).count())
-    assert shuffles(spark) <= before and stored.count() == 3
+    assert len(stored.collect()) == 3
+    until = time.time() + 20  # executors remove them on their own time
+    while not shuffles(spark) <= before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffles(spark) <= before
 
 
 def test_a_forgotten_step_leaves_no_files(spark):
@@ -41,9 +46,9 @@ def test_topics_keep_no_iteration_but_the_last(spark):
     rows = [("a", f"d{d}", f"t{(d * t) % 7}", float(t)) for d in range(8) for t in range(1, 4)]
     counts = cut_lineage(spark.createDataFrame(rows, "scope_id string, doc string, term string, cnt double").dropDuplicates(["doc", "term"]))
     before = checkpoints(spark)
-    docs, terms = topics.fit_per_entity(counts, Rules(topics=2, topic_iterations=4))
-    # The two results, and the scopes' numbers.
-    assert len(checkpoints(spark) - before) <= 4
+    docs, terms = topics.fit_per_entity(counts, Rules(topics=2, topic_iterations=8))
+    # The two results, the numbers of terms and scopes, and none of the iterations.
+    assert len(checkpoints(spark) - before) < 8
     assert docs.count() == 8 and terms.count() == 7 and counts.count() > 0
 
 
